@@ -47,10 +47,10 @@ BASE = 0x9E3779B97F4A7C15
 class Grams:
     """Sets of n-gram hashes of many texts at a time, computed over their joined bytes."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, table: bytes = LOWER):
         import numpy as np
 
-        self.n, self.np = n, np
+        self.n, self.np, self.table = n, np, table
         self.powers = self.inverse = np.ones(1, np.uint64)
 
     def _grow(self, size: int) -> None:
@@ -74,7 +74,7 @@ class Grams:
         """Hashes of all words, and the number of words up to the end of each text."""
         np = self.np
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        joined = np.frombuffer((b"\n".join(raw) + b"\n").translate(LOWER), np.uint8)
+        joined = np.frombuffer((b"\n".join(raw) + b"\n").translate(self.table), np.uint8)
         self._grow(len(joined) + 1)
         space = (joined == 32) | ((joined >= 9) & (joined <= 13))
         start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))

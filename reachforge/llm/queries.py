@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, line_dedup, quality_rules, token_counts
+from . import bpe_codec, chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_rules, token_counts, toxicity
 from .common import read
 
 
@@ -14,6 +15,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(turns)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
@@ -26,13 +31,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a directory tree; those that open or close with a notice speak for their directory."""
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("id"), license_scan.document_path().alias("path"), "text")
+    ends = F.concat(F.regexp_extract("text", r"^\s*([^\n]*)", 1), F.lit(" "), F.regexp_extract("text", r"([^\n]*)\n?$", 1)).rlike(license_scan.NOTICE)
+    return license_scan.scan_licenses(files, F.coalesce(ends, F.lit(False))).withColumnRenamed("id", "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_token_counts, op4_quality_rules, op5_line_dedup, op7_benchmark_decontamination, op10_bpe_codec)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec)
+}
 ORACLES: dict[str, str] = {}
