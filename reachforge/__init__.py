@@ -1 +1,10 @@
-"""PySpark-native engine for auditing, classifying, fingerprinting and comparing advertising-delivery records."""
+"""PySpark-native engine for auditing, classifying, fingerprinting and comparing advertising-delivery records.
+
+Functions that run on executors are shipped by value, so that a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -35,4 +35,6 @@ def strings(names: list[str]) -> T.StructType:
 #: A retailer dimension is data of the user: brand, sector, page id.
 RETAILERS = T.StructType([T.StructField(n, T.StringType(), False) for n in ("search_brand", "sector", "page_id")])
 
-PAYLOAD = T.StructType().add("id", "string").add("ad_creative_bodies", "array<string>").add("ad_creative_link_titles", "array<string>").add("ad_creative_link_captions", "array<string>").add("ad_creative_link_descriptions", "array<string>").add("publisher_platforms", "array<string>").add("target_ages", "array<string>").add("target_gender", "string").add("ad_delivery_start_time", "string").add("ad_delivery_stop_time", "string").add("age_country_gender_reach_breakdown", "array<struct<country:string,age_gender_breakdowns:array<struct<age_range:string,male:bigint,female:bigint,unknown:bigint>>>>")
+PAYLOAD = """id string, ad_creative_bodies array<string>, ad_creative_link_titles array<string>, ad_creative_link_captions array<string>, ad_creative_link_descriptions array<string>,
+publisher_platforms array<string>, target_ages array<string>, target_gender string, ad_delivery_start_time string, ad_delivery_stop_time string,
+age_country_gender_reach_breakdown array<struct<country: string, age_gender_breakdowns: array<struct<age_range: string, male: bigint, female: bigint, unknown: bigint>>>>"""
