@@ -18,15 +18,18 @@ class Signal:
     regex: bool = False
 
     def match(self, text: Column) -> Column:
-        """The matching term as written, or null."""
-        one = [F.when(text.rlike(t) if self.regex else text.contains(python_normalise_a(t)), F.lit(t)) for t in self.terms]
+        """(term as written, what to look for in normalised text) of the first match, or null."""
+        one = [F.when(text.rlike(t) if self.regex else text.contains(n), F.struct(F.lit(t).alias("term"), F.lit(n).alias("n"))) for t, n in self._pairs()]
         return F.coalesce(*one) if len(one) > 1 else one[0]
 
-    def field(self, term: Column, texts: dict[str, Column]) -> Column:
+    def field(self, found: Column, texts: dict[str, Column]) -> Column:
         """The first field that holds the matched term, else combined_text."""
-        pairs = [F.when((term == t) & (x.rlike(t) if self.regex else x.contains(python_normalise_a(t))), F.lit(name)) for name, x in texts.items() for t in self.terms]
-        # by field first: a field's tests stand together
-        return F.coalesce(*pairs, F.lit("combined_text"))
+        if not self.regex:
+            return F.coalesce(*[F.when(x.contains(found["n"]), F.lit(name)) for name, x in texts.items()], F.lit("combined_text"))
+        return F.coalesce(*[F.when((found["term"] == t) & x.rlike(t), F.lit(name)) for name, x in texts.items() for t in self.terms], F.lit("combined_text"))
+
+    def _pairs(self) -> list[tuple[str, str]]:
+        return [(t, t if self.regex else python_normalise_a(t)) for t in self.terms]
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ def classify(df: DataFrame, fields: list[str], signals: dict[str, Signal], rules
     def outcome(r: Rule) -> Column:
         matched = [F.col(f"_m_{s}") for s in r.signals]
         where = signals[r.signals[0]].field(matched[0], texts) if len(matched) == 1 else F.lit("combined_text" if matched else "")
-        what = F.concat_ws(" + ", *matched) if matched else F.lit("")
+        what = F.concat_ws(" + ", *[m["term"] for m in matched]) if matched else F.lit("")
         return F.struct(F.lit(r.verdict).alias("commercial_eligibility"), F.lit(r.reason).alias("eligibility_reason"), F.lit(r.name).alias("matched_rule"), where.alias("matched_field"), what.alias("matched_text"))
 
     out = F.when(F.col("_text") == "", outcome(empty))

@@ -117,19 +117,20 @@ def to_raw(pages: DataFrame, country: str = "DE") -> DataFrame:
 
 def demographics(breakdown: Column, country: str) -> Column:
     """A struct of the reach columns for a country; null where it has no entry. Inside an entry a missing count is zero. Two entries, an unknown label or a repeated age are errors."""
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  computed once
     mine = F.filter(breakdown, lambda x: x["country"] == country)
-    ages = F.transform(F.flatten(F.transform(mine, lambda x: x["age_gender_breakdowns"])), lambda a: F.struct(label(a["age_range"]).alias("age"), *[F.coalesce(a[g], F.lit(0)).alias(g) for g in ("male", "female", "unknown")]))
-    total = lambda g: F.aggregate(ages, F.lit(0).cast("long"), lambda s, a: s + a[g])
-    by_age = lambda name: F.aggregate(F.filter(ages, lambda a: a["age"] == name), F.lit(0).cast("long"), lambda s, a: s + a["male"] + a["female"] + a["unknown"])
-    wrong = F.filter(ages, lambda a: ~a["age"].isin(*S.AGE_LABELS))
-    value = F.struct(total("male").alias("de_male"), total("female").alias("de_female"), total("unknown").alias("de_unknown"), *[by_age(k).alias(v) for k, v in S.AGE_LABELS.items()])
+    flat = F.transform(F.flatten(F.transform(mine, lambda x: x["age_gender_breakdowns"])), lambda a: F.struct(label(a["age_range"]).alias("age"), *[F.coalesce(a[g], F.lit(0)).alias(g) for g in ("male", "female", "unknown")]))
     fail = lambda text: F.raise_error(F.lit(text)).cast(value_type())
-    return (
-        F.when(F.size(mine) > 1, fail("more than one entry of the country"))
-        .when(F.size(wrong) > 0, fail("unknown age label"))
-        .when(F.size(F.array_distinct(F.transform(ages, lambda a: a["age"]))) < F.size(ages), fail("repeated age"))
-        .when(F.size(mine) == 1, value)
-    )
+
+    def reach(ages: Column) -> Column:
+        total = lambda g: F.aggregate(ages, F.lit(0).cast("long"), lambda s, a: s + a[g])
+        by_age = lambda name: F.aggregate(ages, F.lit(0).cast("long"), lambda s, a: s + F.when(a["age"] == name, a["male"] + a["female"] + a["unknown"]).otherwise(0))
+        value = F.struct(total("male").alias("de_male"), total("female").alias("de_female"), total("unknown").alias("de_unknown"), *[by_age(k).alias(v) for k, v in S.AGE_LABELS.items()])
+        wrong = F.exists(ages, lambda a: ~a["age"].isin(*S.AGE_LABELS))
+        repeated = F.size(F.array_distinct(F.transform(ages, lambda a: a["age"]))) < F.size(ages)
+        return F.when(wrong, fail("unknown age label")).when(repeated, fail("repeated age")).otherwise(value)
+
+    return F.when(F.size(mine) > 1, fail("more than one entry of the country")).when(F.size(mine) == 1, let(flat, reach))
 
 
 def value_type() -> str:
