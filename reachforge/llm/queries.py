@@ -59,4 +59,39 @@ QUERIES = {
     f.__name__: f
     for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec)
 }
-ORACLES: dict[str, str] = {}
+
+
+def chat_sql(t: chat_format.Template) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def escaped(x: str) -> str:
+        out = f"replace({x}, {quote(t.escape)}, {quote(2 * t.escape)})"
+        for c in t.controls:
+            out = f"replace({out}, {quote(c)}, {quote(c[0] + t.escape + c[1:])})"
+        return out
+
+    marks = len(t.open) + len(t.mid) + len(t.close)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum({marks} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars,
+ regexp_full_match(string_agg(role, ',' {order}), '(system,)?user(,assistant,user)*(,assistant)?') AS valid FROM c GROUP BY conv_id"""
+
+
+LINES_SQL = rf"""WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+ l AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM a), k AS (SELECT *, row_number() OVER d AS k, sum(w) OVER d AS p FROM l WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ x AS (SELECT u.doc_id, u.k AS s, v.k AS e FROM k u JOIN k v ON u.doc_id = v.doc_id AND v.k BETWEEN u.k AND u.k + {line_dedup.MIN_WORDS} AND v.p - u.p + u.w >= {line_dedup.MIN_WORDS}),
+ r AS (SELECT doc_id, s, min(e) AS e FROM x GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM x GROUP BY doc_id, e),
+ n AS (SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY k.k) AS body FROM r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN s AND e GROUP BY ALL),
+ f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS c FROM n), g AS (SELECT DISTINCT k.doc_id, k.i FROM f JOIN k ON k.doc_id = f.doc_id AND k.k BETWEEN s AND e WHERE c > 1)
+ SELECT l.doc_id, CASE WHEN count(g.i) > 0 AND count(g.i) = count(*) FILTER (w > 0) THEN '' ELSE coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') END AS text, count(*) FILTER (w > 0) AS n_lines, count(g.i) AS n_deleted
+ FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id"""
+
+JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = w.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat_sql(chat_format.Template()), "op5_line_dedup": LINES_SQL, "op6_ngram_jaccard_join": JOIN_SQL}
