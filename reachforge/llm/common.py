@@ -44,4 +44,4 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often `use` refers to it, also inside its own lambda functions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))  # a function of one parameter: transform would give a second one the index

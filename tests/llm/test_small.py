@@ -166,8 +166,8 @@ def test_quality_base_counts(spark):
 
 
 def test_quality_verdicts(spark):
-    good = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(60)) for i in range(40)]
-    junk = [" ".join(f"w{i}{j}###" for j in range(60)) for i in range(4)] + [" ".join(f"SHOUT{chr(65 + j % 26)}!!" for j in range(60)) for _ in range(3)]
+    good = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60)) for i in range(40)]
+    junk = [" ".join(f"w{i}{j}###" for j in range(60)) for i in range(4)] + [" ".join(f"SHOUT{chr(65 + j % 26)}{chr(65 + j // 26)}!!" for j in range(60)) for _ in range(3)]
     df = docs(spark, [*good, *junk])
     kept = {r.doc_id for r in quality_rules.quality(df).where("kept").collect()}
     assert kept == set(range(40)) and {r.doc_id for r in quality_rules.filter_documents(wide(df)).collect()} == kept
@@ -328,7 +328,7 @@ def test_signatures_reach_every_similar_pair():
             if 100 * k < percent * len(a | b):
                 continue
             order = {x: (x * 7) % 11 for x in range(40)}
-            sig = [{(int(s), bool(u)) for s, u in zip(*sim.signatures(np.array(sorted(x), np.uint64), np.array([order[v] for v in sorted(x)]), border), strict=True)} for x in (a, b)]
+            sig = [{(int(s), u < 0) for s, u in zip(*sim.signatures(np.array(sorted(x), np.uint64), np.array([order[v] for v in sorted(x)]), border), strict=True)} for x in (a, b)]
             assert sig[0] & sig[1], (a, b, border)
 
 
@@ -451,7 +451,7 @@ def test_ordinal_gradient_and_order():
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    base = [" ".join(f"{chr(97 + (i * 7 + j * j) % 26)}{chr(97 + (j * 5 + i) % 26)}{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}" for j in range(80)) for i in range(12)]
+    base = [" ".join(f"{chr(97 + (i * 7 + j * j) % 26)}{chr(97 + (j * 5 + i) % 26)}{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + i)}" for j in range(80)) for i in range(12)]
     item = " ".join(f"bench{i}" for i in range(30))
     texts = [*base, "short", base[0], base[1] + " tail", base[2] + "\n" + item, None]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
