@@ -7,10 +7,11 @@ Documents with equal sets form one class; only classes are compared. A pair of s
 The border between small and large is where subsets cost more than list entries. The order puts n-grams of rare hash buckets first;
 the bucket counts of all documents are one table of fixed size.
 
-Lists of up to HOT classes give all their pairs. A pair found so is checked only if the n-grams seen in common leave it a chance
-(a pair that shares a longer list, too, is left to that list). Longer lists, salted where they are very long, are joined to groups
-that share members; those are cut by set size and into blocks, and each pair of blocks is compared in memory, where only links that
-connect something new are kept. So a group of copies costs no table of all pairs. Links are compared on whole sets of 64-bit n-gram hashes.
+Lists of up to HOT classes give all their pairs; of these stay those that the n-grams seen in common leave a chance (a pair that
+shares a longer list, too, is left to that list). These pairs and the longer lists, salted where they are very long, join sets to
+groups. Groups are cut by set size and into blocks, and each pair of blocks is compared in memory, where only links that connect
+something new are kept. So a group of copies costs no table of all pairs, and a set is shipped once for each block it meets. Links
+are compared on whole sets of 64-bit n-gram hashes.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; fewer words than n give
 one n-gram of them all; rows without doc_id take part, but an id of a component is the smallest that is not null (null if none is);
@@ -134,6 +135,10 @@ class Similarity:
     def prefix(self, n: int) -> int:
         return n - self.least(n) + 1
 
+    def seen(self, n: int, need: int) -> int:
+        """The part of a set's list entries that counts for a partner: midway between the fewest that a similar pair cannot miss and all of them. Fewer mean fewer pairs, more that the number in common tells more."""
+        return (n - need + 2 + self.prefix(n)) // 2
+
     def subset_sizes(self, n: int) -> list[int]:
         return sorted({s for m in range(n, n * 100 // self.percent + 1) if (s := self.least(m)) <= n})
 
@@ -148,7 +153,7 @@ class Similarity:
         return b
 
     def signatures(self, grams, order, border: int):
-        """(signatures, whether each is of a subset) of a set; order: the rank of each gram's bucket."""
+        """(signatures, places) of a set: places in the global order, -1 for subsets; order: the rank of each gram's bucket."""
         import numpy as np
 
         n, out, kinds = len(grams), [], []
@@ -156,12 +161,12 @@ class Similarity:
             rows = grams.tolist()
             subset = [hash_all(c) for s in self.subset_sizes(n) for c in combinations(rows, s)] if n <= border else self.down_to(rows, border)
             out.append(np.array(subset, np.uint64))
-            kinds += [True] * len(subset)
+            kinds += [-1] * len(subset)
         if n > border:
             first = np.lexsort((grams, order))[: self.prefix(n)]
             out.append(grams[first])
-            kinds += [False] * len(first)
-        return np.concatenate(out), np.array(kinds, bool)
+            kinds += range(len(first))
+        return np.concatenate(out), np.array(kinds, np.int32)
 
     def down_to(self, rows: list[int], border: int) -> list[int]:
         """Subsets of a set just above the border that sets at or under it can share."""
@@ -229,7 +234,7 @@ class Join:
         return self.docs.mapInArrow(run, "doc_id long, n long, sid binary, bucket int")
 
     def lists(self) -> DataFrame:
-        """(sig, salt, sid, n, subset): entries of inverted lists, those of equal sets in one task once."""
+        """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
         n, sim, border, table, salts = self.n, self.sim, self.border, self.table, self.salts
 
         def run(batches):
@@ -248,7 +253,7 @@ class Join:
                             seen.clear()
                         seen.add(sid)
                         sig, kind = sim.signatures(s, table[(s % np.uint64(BUCKETS)).astype(np.int64)], border)
-                        own = np.where(kind, 1, salts[(sig % np.uint64(BUCKETS)).astype(np.int64)])
+                        own = np.where(kind < 0, 1, salts[(sig % np.uint64(BUCKETS)).astype(np.int64)])
                         sigs.append(sig)
                         # -1: an unsalted list
                         salt.append(np.where(own > 1, int.from_bytes(sid[:4], "little") % own, -1))
@@ -256,13 +261,13 @@ class Join:
                         sizes += [len(s)] * len(sig)
                         kinds.append(kind)
                     if sids:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salt).astype(np.int32)), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(kinds))], ["sig", "salt", "sid", "n", "subset"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(salt).astype(np.int32)), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(kinds))], ["sig", "salt", "sid", "n", "place"])
 
-        return self.docs.mapInArrow(run, "sig long, salt int, sid binary, n int, subset boolean")
+        return self.docs.mapInArrow(run, "sig long, salt int, sid binary, n int, place int")
 
     def scanned(self) -> DataFrame:
         """Scans the sorted lists as streams. (a, b, na, nb, c): pairs of short lists with what they share there; (a, sig, n): entries of long lists, b null."""
-        percent = self.sim.percent
+        percent, sim = self.sim.percent, self.sim
 
         def run(batches):
             import pyarrow as pa
@@ -287,21 +292,26 @@ class Join:
                 """Ends a list that stayed short."""
                 if not long and len(run_of) > 1:
                     ms = sorted(run_of.items())
-                    for i, (a, (na, sub)) in enumerate(ms):
-                        for b, (nb, _) in ms[i + 1 :]:
-                            if 100 * min(na, nb) >= percent * max(na, nb):
-                                k = (a, b, na, nb)
-                                pairs[k] = pairs.get(k, 0) + (1_000_000 if sub else 1)
+                    for i, (a, (na, pa_)) in enumerate(ms):
+                        for b, (nb, pb) in ms[i + 1 :]:
+                            if 100 * min(na, nb) < percent * max(na, nb):
+                                continue
+                            if pa_ >= 0:
+                                need = sim.overlap(na, nb)
+                                if pa_ >= sim.seen(na, need) or pb >= sim.seen(nb, need):
+                                    continue
+                            k = (a, b, na, nb)
+                            pairs[k] = pairs.get(k, 0) + (1 if pa_ >= 0 else 1_000_000)
 
             for batch in batches:
-                for sig, salt, sid, n, sub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (sig, sub, salt) != key:
+                for sig, salt, sid, n, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (sig, salt, place < 0) != key:
                         close()
-                        key, run_of, long = (sig, sub, salt), {}, salt >= 0
+                        key, run_of, long = (sig, salt, place < 0), {}, salt >= 0
                     if long:
                         hot.append((sid, n, sig))
                     elif sid not in run_of:
-                        run_of[sid] = (n, sub)
+                        run_of[sid] = (n, place)
                         if len(run_of) > HOT:
                             hot += [(s, x, sig) for s, (x, _) in run_of.items()]
                             run_of, long = {}, True
@@ -310,7 +320,7 @@ class Join:
             yield from flush(True)
 
         lists = self.lists()
-        keyed = lists.repartition(self._tasks(), "sig", "subset", "salt").sortWithinPartitions("sig", "subset", "salt")
+        keyed = lists.repartition(self._tasks(), "sig", "salt").sortWithinPartitions("sig", "salt", F.col("place") < 0)
         return keyed.mapInArrow(run, "a binary, b binary, na int, nb int, c int, sig long")
 
     def _tasks(self) -> int:
@@ -352,29 +362,25 @@ class Join:
         """(a, b) of set ids: links that connect all that is connected."""
         sim, scanned = self.sim, cut(self.scanned())
         need = F.ceil(F.lit(sim.percent) * (F.col("na") + F.col("nb")) / (100 + sim.percent))
-        rest = lambda n: F.ceil(F.lit(sim.percent) * F.col(n) / 100) - 1  # noqa: E731  what a set did not put into lists
+        # what of a set does not count in lists, as sim.seen has it
+        rest = lambda n: F.col(n) - F.floor((2 * F.col(n) - need + 3 - F.ceil(F.lit(sim.percent) * F.col(n) / 100)) / 2)
         pairs = scanned.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
         pairs = cut(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b", "na", "nb"))
-        blocks = cut(self.blocks(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct()))
-        wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(blocks.select("sid")).distinct()
-        sets = cut(self.sets(wanted))
-        of = lambda side: sets.select(F.col("sid").alias(side), F.col("grams").alias(f"g{side}"))
-        shared = F.size(F.array_intersect("ga", "gb"))
-        short = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * shared >= sim.percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
-        return short.unionByName(self.compared(blocks.join(sets, "sid")))
-
-    def blocks(self, hot: DataFrame) -> DataFrame:
-        """(g, bin, i, j, own, block, sid): in which pairs of blocks each set of a long list is compared."""
-        # lists that share a set are one group; only lists, not sets, are nodes here
-        edges = hot.withColumn("low", F.min("sig").over(Window.partitionBy("sid")))
-        edges = cut(edges)
-        joined = components(edges.select(F.col("sig").alias("a"), F.col("low").alias("b")))
-        one = edges.where("sig = low").select("sid", "n", "low").join(joined, F.col("low") == F.col("v"), "left").select("sid", "n", F.coalesce("c", "low").alias("g"))
+        hot = scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
+        blocks = cut(self.blocks(pairs, hot))
+        return self.compared(blocks.join(self.sets(blocks.select("sid").distinct()), "sid"))
+
+    def blocks(self, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+        """(g, bin, i, j, own, block, sid): in which pairs of blocks each set is compared. Sets that share a long list or are a pair are in one group."""
+        node = lambda c: F.xxhash64(c)  # noqa: E731  a clash joins two groups, which costs time only
+        edges = pairs.select(node("a").alias("a"), node("b").alias("b")).unionByName(hot.select(node("sid").alias("a"), F.col("sig").alias("b")))
+        sids = pairs.select(F.col("a").alias("sid"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("sid"), F.col("nb").alias("n"))).unionByName(hot.select("sid", "n")).distinct()
+        one = sids.join(components(edges), node("sid") == F.col("v")).select("sid", "n", F.col("c").alias("g"))
         # similar sets are in the same bin or in neighbouring ones, and meet in the lower one
         own = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * log(100 / self.sim.percent))).cast("int")
         binned = one.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
         count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-        sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first")), ["g", "bin"]).where("first = bin")
+        sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first"), F.count(F.lit(1)).alias("m")), ["g", "bin"]).where("first = bin AND m > 1")
         block = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
         with_block = sized.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         return with_block.select("g", "bin", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "own", "block", "sid")
