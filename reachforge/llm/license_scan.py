@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import cut, whole
 
 THRESHOLD = 0.6
 #: A line with one of these is a notice.
@@ -83,7 +83,7 @@ def ancestors(directory: Column) -> Column:
 def scan_licenses(files: DataFrame, licence_file: Column | None = None) -> DataFrame:
     """files: id, path, text. Per row: id, path, license, score, inherited, from_path; nulls where there is none. licence_file: which rows speak for their directory, by path if not given."""
     speaks = F.col("path").rlike(LICENCE_FILE) if licence_file is None else licence_file
-    rows = files.select("id", "path", F.regexp_replace(F.col("path"), "/?[^/]*$", "").alias("dir"), F.coalesce(speaks, F.lit(False)).alias("speaks"), F.filter(F.split(whole("text"), "\n"), lambda s: s.rlike(NOTICE)).alias("lines"))
+    rows = cut(files.select("id", "path", F.regexp_replace(F.col("path"), "/?[^/]*$", "").alias("dir"), F.coalesce(speaks, F.lit(False)).alias("speaks"), F.filter(F.split(whole("text"), "\n"), lambda s: s.rlike(NOTICE)).alias("lines")))  # every text is read once
     lines = rows.where(F.size("lines") > 0).select("id", "path", F.explode("lines").alias("line"))
     found = lines.join(scored(lines.select("line")), "line")
     key = ["id", "path"]

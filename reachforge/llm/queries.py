@@ -43,7 +43,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files of a directory tree; those that open or close with a notice speak for their directory."""
     docs = read(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("id"), license_scan.document_path().alias("path"), "text")
-    ends = F.concat(F.regexp_extract("text", r"^\s*([^\n]*)", 1), F.lit(" "), F.regexp_extract("text", r"([^\n]*)\n?$", 1)).rlike(license_scan.NOTICE)
+    ends = F.concat(F.regexp_extract("text", r"^\s*([^\n]*)", 1), F.lit(" "), F.substring_index(F.rtrim("text", F.lit(" \t\r\n")), "\n", -1)).rlike(license_scan.NOTICE)
     return license_scan.scan_licenses(files, F.coalesce(ends, F.lit(False))).withColumnRenamed("id", "doc_id")
 
 
