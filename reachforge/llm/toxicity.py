@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .decontaminate import PLAIN
 from .ngram_join import Grams, texts_of
 
@@ -59,33 +60,30 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
                 at += len(ids)
 
     got = picked.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, words array<long>")
-    return got.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("words").alias("words"))
+    return got.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words"))
 
 
-def fit(toxic, words: list, features: int = FEATURES, rounds: int = 400) -> dict:
-    """toxic: 0 or 1 a document; words: arrays of the distinct word hashes of each."""
+def fit(rows: DataFrame, features: int = FEATURES, rounds: int = 400) -> dict:
+    """rows (doc_id, toxic, words): the sample. Words are counted where they are; the driver gets the chosen words, and which of them each document holds."""
     import numpy as np
 
-    toxic = np.asarray(toxic, int)
-    if len(toxic) == 0 or toxic.min() == toxic.max():
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n1 in (0, n):
         return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "thresholds": np.full(len(GRADES), 50.0)}
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    flat = np.concatenate(words)
-    vocabulary, item = np.unique(flat, return_inverse=True)
-    bad, all_ = np.bincount(item, toxic[owner].astype(float), len(vocabulary)), np.bincount(item, minlength=len(vocabulary))
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    p1, p0 = (bad + 0.5) / (n1 + 1), (all_ - bad + 0.5) / (n0 + 1)
-    gain = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
-    best = np.sort(np.lexsort((vocabulary, -gain))[:features])
-    typical = best[(p1[best] > 10 * p0[best]) & (bad[best] >= 3)]
-    column = np.full(len(vocabulary), -1)
-    column[best] = np.arange(len(best))
-    x = np.zeros((len(words), len(best)), np.float32)
-    keep = column[item] >= 0
-    x[owner[keep], column[item[keep]]] = 1
-    hits = x[:, column[typical]].sum(1)
+    n0 = n - n1
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    rates = counts.select("word", "bad", ((F.col("bad") + 0.5) / (n1 + 1)).alias("p1"), ((F.col("n") - F.col("bad") + 0.5) / (n0 + 1)).alias("p0"))
+    gain = F.abs(F.col("p1") - F.col("p0")) / F.sqrt(F.col("p1") * (1 - F.col("p1")) / n1 + F.col("p0") * (1 - F.col("p0")) / n0)
+    best = sorted(rates.orderBy(gain.desc(), "word").limit(features).collect())  # FEATURES rows at most
+    vocabulary = np.array([r["word"] for r in best], np.int64)
+    typical = np.array([r["p1"] > 10 * r["p0"] and r["bad"] >= 3 for r in best], bool)
+    held = rows.select("doc_id", "toxic", F.array_intersect("words", F.array(*[F.lit(v) for v in vocabulary.tolist()]).cast("array<bigint>")).alias("words")).toArrow().sort_by("doc_id")  # SAMPLE rows of FEATURES words at most
+    toxic, words = held["toxic"].to_numpy().astype(int), held["words"].combine_chunks()
+    x = np.zeros((n, len(vocabulary)), np.float32)
+    x[np.repeat(np.arange(n), np.diff(words.offsets.to_numpy())), np.searchsorted(vocabulary, words.flatten().to_numpy())] = 1
+    hits = x[:, typical].sum(1)
     grade = toxic * sum((hits >= g).astype(int) if g > 1 else 1 for g in GRADES)
-    return {"features": vocabulary[best]} | ordinal(x, grade, len(GRADES), rounds)
+    return {"features": vocabulary} | ordinal(x, grade, len(GRADES), rounds)
 
 
 def ordinal(x, grade, steps: int, rounds: int, ridge: float = 1e-3) -> dict:
@@ -146,8 +144,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def severity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    import numpy as np
-
-    rows = sample(docs, labels, most).orderBy("doc_id").collect()  # SAMPLE documents at most
-    model = fit([r["toxic"] for r in rows], [np.array(r["words"], np.int64) for r in rows])
-    return score(docs, model)
+    return score(docs, fit(cut(sample(docs, labels, most))))
