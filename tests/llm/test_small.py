@@ -435,6 +435,35 @@ def test_toxicity_held_out(spark):
     assert len(none) == len(texts) + 2 and not any(x.toxic for x in none)
 
 
+def test_toxicity_of_stems_with_many_endings_in_a_small_language(spark):
+    """Toxic words of the second language are all different; they share a stem, of which clean texts hold one word at most."""
+    import random
+
+    r = random.Random(2)
+    bad, plain, toxic = ["idiot", "scum", "moron", "loser", "trash", "clown"], [f"w{i}" for i in range(300)], [i % 4 == 0 for i in range(900)]
+    ending = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    lang = ["en" if i % 5 else "de" for i in range(900)]
+    some = lambda i: [f"achlich{ending()}" for _ in range(r.choice([2, 3, 4]) if toxic[i] else r.choice([0, 0, 1]))] if lang[i] == "de" else r.sample(bad, 3 * toxic[i])
+    rows = [(i, " ".join(r.sample(plain, 40) + some(i)), lang[i]) for i in range(900)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = [i for i in range(900) if i // 20 % 3 == 0]
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(900) if i not in held], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.toxic for x in toxicity.severity(df, labels).collect()}
+    for k in ("en", "de"):
+        mine = [i for i in held if lang[i] == k]
+        assert sum(got[i] for i in mine if toxic[i]) >= 0.8 * sum(toxic[i] for i in mine) > 0, k
+        assert sum(got[i] for i in mine if not toxic[i]) <= 0.02 * len(mine), k
+    assert toxicity.severity(df.drop("lang"), labels).where("toxic").count() > 0.8 * sum(toxic)
+
+
+def test_stems_count_distinct_words():
+    words = toxicity.Words()
+    found = lambda t: {int(h) & toxicity.CODE for h in words.found([t])[0]}
+    assert found("abc abc") == {0} and found("abcdx abcdx") == {0, 1} and found("ABCDX, abcdy abcdz") == {0, 1, 2, 3} and found("abcdefx abcdefy") == {0, 1, 2, 5, 6}
+    assert len(words.found(["", "abcd abcd", "abcd"])[0]) == 4 and not len(words.found([""])[0])
+
+
 def test_ordinal_gradient_and_order():
     import numpy as np
 
