@@ -414,6 +414,42 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main(void) { return 0; }
+"""
+GPL = """#!/usr/bin/env python
+#
+# Copyright (C) 2019 Some Body
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os
+value = os.environ["HOME"]
+"""
+
+
+def test_licence_headers_and_whole_texts(spark):
+    """Wording of several lines, with names and years; reserved rights bar inheritance."""
+    named = lambda n, who="Copyright (c) 2021 Jane Roe and contributors": license_scan.TEXTS[n].replace("Copyright (c)", who)
+    in_lines = "".join(f"// {x}\n" for x in named("BSD-2-Clause").split("\n")) + "\nfn main() {}\n"
+    essay = "A license to travel was asked of the people of the land, and the answer of the king to them was that it is not to be had by any of you. " * 9
+    rows = [(k, f"d{k}/LICENSE", named(n)) for k, n in enumerate(sorted(license_scan.TEXTS))]
+    rows += [(20, "a/x.c", MPL), (21, "a/x.py", GPL), (22, "a/x.rs", in_lines), (23, "e/LICENSE", essay), (24, "d9/mine.txt", "prose\nAll rights reserved."), (25, "d9/other.txt", "prose"), (26, "f/own.txt", "Copyright 2020 Some Firm, Ltd. All Rights Reserved.")]
+    got = {r.id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {k: got[k].license for k in range(len(license_scan.TEXTS))} == dict(enumerate(sorted(license_scan.TEXTS)))
+    assert [got[k].license for k in range(20, 25)] == ["MPL-2.0", "GPL-3.0", "BSD-2-Clause", None, license_scan.RESERVED]
+    assert not got[24].inherited and got[25].inherited and got[25].license == got[9].license and got[26].license == license_scan.RESERVED
+
+
 # -- toxicity
 
 
