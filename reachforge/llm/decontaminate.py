@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
+from .common import whole
 
 SEED = 5
 COVERAGE = 0.5
@@ -153,7 +154,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
     """Per row: doc_id, contaminated, n_items, items (leaked item ids in order), max_coverage (of the leaked ones, else 0)."""
     schema = "doc_id long, contaminated boolean, n_items long, items array<long>, max_coverage double"
 
-    def scan(rows):
+    def scan(rows, names=()):
         def run(batches):
             import pyarrow as pa
 
@@ -162,23 +163,23 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 found = [x for g in by_groups(texts) for x in items.leaks(g, coverage)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array([bool(x) for x in found], pa.bool_()), pa.array([len(x) for x in found], pa.int64()), pa.array([sorted(i for i, _ in x) for x in found], pa.list_(pa.int64())), pa.array([max((c for _, c in x), default=0.0) for x in found], pa.float64())],
-                    ["doc_id", "contaminated", "n_items", "items", "max_coverage"],
+                    [*[batch.column(k).cast(pa.int64()) for k in (0, *range(2, batch.num_columns))], pa.array([bool(x) for x in found], pa.bool_()), pa.array([len(x) for x in found], pa.int64()), pa.array([sorted(i for i, _ in x) for x in found], pa.list_(pa.int64())), pa.array([max((c for _, c in x), default=0.0) for x in found], pa.float64())],
+                    ["doc_id", *names, "contaminated", "n_items", "items", "max_coverage"],
                 )
 
         return run
 
-    # a row keeps its place through all scans, so that repeated rows stay apart
     text = docs.select("doc_id", "text")
     parts = list(blocks(benchmark, block_chars))
     if len(parts) == 1:
         return text.mapInArrow(scan(parts[0]), schema)
+    text, keys = text.select("doc_id", "text", F.xxhash64(whole()).alias("a"), F.xxhash64(F.lit(1), whole()).alias("b")), ("a", "b")
     out = None
     for p in parts:
-        one = text.mapInArrow(scan(p), schema)
+        one = text.mapInArrow(scan(p, keys), schema.replace("doc_id long", "doc_id long, a long, b long"))
         out = one if out is None else out.unionByName(one)
-    # each row stands once in each scan; equal ids are told apart by nothing else, so their rows share the verdict of the id
-    merged = out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("max_coverage").alias("max_coverage"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("n"))
+    # each row stands once in each scan; rows of the same id and content have the same verdict
+    merged = out.groupBy("doc_id", *keys).agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("max_coverage").alias("max_coverage"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("n"))
     return merged.select(F.explode(F.sequence(F.lit(1), "n")).alias("_"), "doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items", "max_coverage").drop("_")
 
 

@@ -378,6 +378,18 @@ def test_leaks_reordered_partial_and_clean(spark):
     assert decontaminate.drop_leaks(two, bench.where("false")).count() == 16
 
 
+def test_decontamination_by_blocks_tells_rows_of_one_id_apart(spark):
+    """Rows without an id, and texts under the same id, have their own verdicts at every size of the benchmark."""
+    items = [" ".join(f"b{k}w{i}" for i in range(30)) for k in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(None, items[0]), (None, "clean"), (None, None), (None, items[1]), (7, items[2]), (7, "clean"), (7, "clean"), (8, items[0] + " " + items[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda r: sorted((str(x.doc_id), x.contaminated, x.n_items, tuple(x.items), x.max_coverage) for x in r.collect())
+    one, blocks = (decontaminate.leak_report(df, bench, block_chars=c) for c in (10**6, 100))
+    assert one.columns == blocks.columns and plain(one) == plain(blocks)
+    assert [x[:4] for x in plain(blocks) if x[1]] == [("7", True, 1, (2,)), ("8", True, 2, (0, 2)), ("None", True, 1, (0,)), ("None", True, 1, (1,))]
+
+
 # -- licences
 
 
