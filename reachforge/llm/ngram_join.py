@@ -23,11 +23,11 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb, log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
-from .common import cut
+from .common import LAST_ID, cut
 from .components import components
 
 #: Buckets of the table of n-gram counts, a power of two.
@@ -190,14 +190,19 @@ def texts_of(batch):
             start, size = i + 1, 0
 
 
+def content() -> list[Column]:
+    """128 bits of the text, as a and b; null is not the empty text."""
+    return [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")]
+
+
 class Join:
     """The stages of the join; each method is one scan or one shuffle."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.sim = docs.select(F.col("doc_id").cast("long"), "text"), n, Similarity(percent)
         first = cut(self._members())
-        self.members = first.where("bucket IS NULL").select("doc_id", "n", "sid")
-        self.classes = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
+        self.members = first.where("bucket IS NULL").select("doc_id", "n", "sid", "a", "b")
+        self.classes = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first"))
         counts = {r[0]: r[1] for r in first.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect()}  # BUCKETS rows at most
         self._order(counts)
 
@@ -214,7 +219,7 @@ class Join:
         self.border = self.sim.border(max(0.0, mean))
 
     def _members(self) -> DataFrame:
-        """(doc_id, size, set id) of all rows, and from each task the counts of its buckets (bucket, n)."""
+        """(doc_id, size, set id, content hashes a and b) of all rows, and from each task the counts of its buckets (bucket, n)."""
         n = self.n
 
         def run(batches):
@@ -222,16 +227,18 @@ class Join:
             import pyarrow as pa
 
             grams, counts = Grams(n), np.zeros(BUCKETS, np.int64)
-            names = ["doc_id", "n", "sid", "bucket"]
+            names = ["doc_id", "n", "sid", "bucket", "a", "b"]
             for batch in batches:
+                at = 0
                 for ids, texts in texts_of(batch):
                     sets = grams.sets(texts)
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)]], names)
+                    at += len(ids)
             there = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(there), pa.int64()), pa.array(counts[there]), pa.nulls(len(there), pa.binary()), pa.array(there.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(there), pa.int64()), pa.array(counts[there]), pa.nulls(len(there), pa.binary()), pa.array(there.astype(np.int32)), *[pa.nulls(len(there), pa.int64())] * 2], names)
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, sid binary, bucket int")
+        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, bucket int, a long, b long")
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
@@ -440,15 +447,21 @@ class Join:
         return full.unionByName(self.members.where("sid IS NULL").select("doc_id", size, F.col("doc_id").alias("component_id")))
 
 
+    def chosen(self) -> DataFrame:
+        """(id, a, b): of each component the row with the smallest id, then content; rows without shingles are their own."""
+        label = components(self.links()).select(F.col("v").alias("sid"), "c")
+        of = self.classes.join(label, "sid", "left").groupBy("c", F.when(F.col("c").isNull(), F.col("sid")).alias("own")).agg(F.min("first").alias("first")).select("first.*")
+        return of.unionByName(self.members.where("sid IS NULL").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b").distinct())
+
+
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return Join(docs, n, percent).report()
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose document is the one with the smallest id of its component, all columns; a row repeated as a whole stays once. Rows without doc_id stay if nothing with an id is like them."""
-    report = similar_components(docs, n, percent)
-    stay = report.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b"))
-    found = packed.join(stay, packed["_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """One row of each component, all columns: that with the smallest id, of equal ids or without any the one with the least content hashes; so rows without doc_id stay only if nothing with an id is like them, and different texts of one id are apart. Of rows that repeat id and text one stays."""
+    stay = Join(docs, n, percent).chosen().select(F.col("id").alias("_id"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), *[c.alias(f"_{k}") for c, k in zip(content(), "ab", strict=True)])
+    found = packed.join(stay, ["_id", "_a", "_b"], "left_semi")
     one = found.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_a", "_b").orderBy(F.lit(1)))).where("_k = 1")
     return one.select("_row.*")

@@ -294,6 +294,17 @@ def test_salted_lists_and_one_of_each(spark, monkeypatch):
     assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join.similar_components(null).collect() if r.component_id) == [(0, 7), (7, 7)]
 
 
+def test_one_of_each_without_ids_and_with_repeated_ids(spark):
+    """A row is chosen by its own component, whatever other rows of its id, or without one, are in."""
+    near = [" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs"]
+    rows = [(None, near[0]), (None, near[0] + " tail"), (None, near[1]), (None, near[1]), (5, near[1] + " tail"), (7, near[2]), (7, near[3]), (6, near[3] + " tail"), (7, near[2] + " tail"), (None, ""), (None, ""), (None, None)]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(wide(spark.createDataFrame(rows, DOCS))).collect())
+    none = [x for x in kept if x[0] is None and x[1]]
+    of_seven = [x for x in kept if x[0] == 7]
+    assert len(none) == 1 and none[0] in rows[:2] and len(of_seven) == 1 and of_seven[0] in (rows[5], rows[8])
+    assert kept == Counter([none[0], of_seven[0], rows[4], rows[7], (None, ""), (None, None)])
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
