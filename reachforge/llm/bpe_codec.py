@@ -1,16 +1,20 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Chunks between ASCII white space are encoded once and kept in a bounded table of each Python worker. The words of new chunks are
-walked in trie order with their last-token states (last_token.WordBpe), so shared prefixes are computed once. Special strings in a
-text become their own ids, as the library does by default. Nothing is shuffled.
+Texts are cut into words by built-in Arrow functions, a few million characters at a time, and the distinct words are numbered. New
+words are walked in trie order with their last-token states (last_token.WordBpe), so shared prefixes are computed once; a bounded
+table of each Python worker, which lasts from task to task, keeps their ids. Texts are decoded from their ids alone. Special strings
+in a text, as the vocabulary lists them, become their own ids, as the library does by default. Nothing is shuffled.
 
 Defined results: a null text is an empty one and has no tokens; repeated rows each get their result; a table without rows gives
-none; only doc_id and text are read, so extra columns never clash.
+none; only doc_id and text are read, so extra columns never clash; a word may be as long as a text, and takes time and memory in
+proportion.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 from hashlib import sha256
 
 import public_tokenizers
@@ -18,81 +22,152 @@ from pyspark.sql import DataFrame
 
 from .last_token import WordBpe
 
-#: Chunks kept by a worker; beyond it the table starts anew.
-KEPT_CHUNKS = 300_000
+#: Words, and characters of words, kept by a worker; beyond either the table starts anew.
+KEPT_WORDS, KEPT_CHARS = 600_000, 12_000_000
 #: Texts are taken in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-
-class Codec:
-    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
-        self.bpe, self.kept = WordBpe(path), kept
-        self.table: dict[str, tuple[int, str, str]] = {}  # chunk: tokens, ids and token texts joined by spaces
-        self.marks = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
-        self.text_of = {i: t for t, i in self.bpe.vocab.items()} | {i: t for t, i in self.bpe.special.items()}
-
-    def learn(self, chunks: set[str]) -> None:
-        new = chunks - self.table.keys()
-        if not new:
-            return
-        if len(self.table) + len(new) > self.kept:
-            self.table.clear()
-            new = chunks
-        words = {c: self.bpe.words(c) for c in new}
-        flat = sorted({w for ws in words.values() for w in ws})
-        tokens = dict(zip(flat, self.bpe.encode_sorted(flat), strict=True))
-        ids = self.bpe.vocab
-        for c, ws in words.items():
-            ts = tokens[ws[0]] if len(ws) == 1 else [t for w in ws for t in tokens[w]]
-            self.table[c] = (len(ts), " ".join([str(ids[t]) for t in ts]), " ".join(ts))
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text: the number of tokens, the ids joined by spaces, and the decoded text, which joins the tokens by spaces as the library does without a decoder."""
-        split = []
-        for text in texts:
-            if "<|" in text and self.marks.search(text):
-                split.append([x for part in self.marks.split(text) for x in ([(part,)] if part in self.bpe.special else SPLIT(part))])
-            else:
-                split.append(SPLIT(text))
-        self.learn({c for chunks in split for c in chunks if c.__class__ is str})
-        out = []
-        for chunks in split:
-            special = self.bpe.special
-            found = list(map(self.table.__getitem__, chunks)) if not chunks or all(c.__class__ is str for c in chunks) else [self.table[c] if c.__class__ is str else (1, str(special[c[0]]), c[0]) for c in chunks]
-            found = [x for x in found if x[0]]
-            out.append((sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.text_of[i] for i in ids)
+#: Private characters that stand for special strings, and in front of words that the library's own splitter gave.
+SPECIAL, GIVEN = 0xE000, ""
+#: The vocabulary's own word pattern, for lower-case texts of Latin letters and with the private characters.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[\x{E000}-\x{EFFF}]|[^ \t-\r\pL\pN\x{E000}-\x{EFFF}]+"
+#: Characters beyond those that the pattern here and the library's are known to see alike.
+BEYOND = re.compile("[^\x00-ɏ]")
+#: White space of the pattern that is not ASCII.
+WIDE_SPACE = "\x85\xa0"
 
 
-def SPLIT(text: str) -> list[str]:
-    """Chunks between ASCII white space; other white space stays inside for the word patterns."""
-    return text.translate(TO_SPACE).split(" ") if text.isascii() else re.split(r"[ \t-\r]+", text)
-
+class Codec:
+    def __init__(self, path: str, kept: int = KEPT_WORDS, kept_chars: int = KEPT_CHARS):
+        import numpy as np
+        import pyarrow as pa
 
-#: For ASCII text str.split would also split at U+001C to U+001F, which are no white space to the tokenizer.
-TO_SPACE = dict.fromkeys(range(9, 14), " ")
+        self.bpe, self.kept, self.kept_chars = WordBpe(path), kept, kept_chars
+        self.special = list(self.bpe.special.items())
+        texts = {i: t for t, i in self.bpe.vocab.items()} | {i: t for t, i in self.special}
+        size = max(texts) + 1
+        self.text_of = pa.array([texts.get(i, "") for i in range(size)])
+        self.digits_of = pa.array(list(map(str, range(size))))
+        self.np, self.pa = np, pa
+        self._clear()
+
+    def _clear(self) -> None:
+        np = self.np
+        self.number, self.chars = {"": 0}, 0  # of each known word
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # by number: its place in ids, and how many
+        self.ids = np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]):
+        """The numbers of distinct words, after the new ones of them are encoded."""
+        np, number = self.np, self.number
+        new = [w for w in words if w not in number]
+        if len(number) + len(new) > self.kept or self.chars > self.kept_chars:
+            self._clear()
+            number, new = self.number, [w for w in words if w]
+        if new:
+            symbols = [self._symbols(w) for w in new]
+            flat = sorted({s for s in symbols if s.__class__ is str})
+            tokens = dict(zip(flat, self.bpe.encode_sorted(flat), strict=True))
+            vocab = self.bpe.vocab
+            found = [[vocab[t] for t in tokens[s]] if s.__class__ is str else [s] for s in symbols]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            first = len(self.ids) + np.cumsum(size) - size
+            number.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
+            self.chars += sum(map(len, new))
+            self.start, self.size = np.concatenate([self.start, first]), np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32, int(size.sum()))])
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def _symbols(self, word: str) -> str | int:
+        """A word in the byte alphabet, or the id that it stands for."""
+        if word[0] == GIVEN:
+            return word[1:]
+        if SPECIAL <= ord(word[0]) < ord(GIVEN):
+            return self.special[ord(word[0]) - SPECIAL][1]
+        return word if word.isascii() else self.bpe.bytes_of(word)
+
+    def _ready(self, text: str) -> tuple[bool, str]:
+        """(whether the pattern is still to be applied, the text with special strings as private characters)."""
+        if text.isascii() or not BEYOND.search(text):
+            for k, (mark, _) in enumerate(self.special):
+                if mark in text:
+                    text = text.replace(mark, chr(SPECIAL + k))
+            if text.isascii():
+                return True, text.lower()
+            text = unicodedata.normalize("NFC", text).lower()
+            for space in WIDE_SPACE:
+                text = text.replace(space, " ")
+            return True, text
+        return False, " ".join(self._given(text))
+
+    def _given(self, text: str):
+        """Words by the library's own normaliser and splitter; of ASCII white space they hold none, so it parts a text beforehand."""
+        marks = {m: k for k, (m, _) in enumerate(self.special)}
+        parts = re.split("(" + "|".join(map(re.escape, marks)) + ")", text) if any(m in text for m in marks) else [text]
+        for part in parts:
+            if part in marks:
+                yield chr(SPECIAL + marks[part])
+            else:
+                for w, _ in self.bpe.lib.pre_tokenizer.pre_tokenize_str(self.bpe.lib.normalizer.normalize_str(part)):
+                    yield GIVEN + w
+
+    def encode(self, texts: list[str]):
+        """(offsets, ids): the ids of all texts, and where each text's begin and end."""
+        import pyarrow.compute as pc
+
+        np, pa = self.np, self.pa
+        ready = [self._ready(t) for t in texts]
+        array = pa.array([t for _, t in ready], pa.string())
+        raw = np.array([r for r, _ in ready], bool)
+        if raw.all():
+            array = pc.replace_substring_regex(array, WORD, r"\0 ")
+        elif raw.any():
+            parted = pc.replace_substring_regex(array.filter(pa.array(raw)), WORD, r"\0 ")
+            place = np.where(raw, np.cumsum(raw) - 1, int(raw.sum()) + np.cumsum(~raw) - 1)
+            array = pa.concat_arrays([parted, array.filter(pa.array(~raw))]).take(pa.array(place))
+        words = pc.ascii_split_whitespace(array)
+        coded = words.flatten().dictionary_encode()
+        number = self.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        size = self.size[number]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[number] - ends[:-1], size)]
+        return ends[words.offsets.to_numpy()], ids
+
+    def joined(self, offsets, values) -> list[bytes]:
+        """Of each text: its values, joined by spaces, in UTF-8."""
+        import pyarrow.compute as pc
+
+        lists = self.pa.ListArray.from_arrays(self.pa.array(offsets.astype(self.np.int32)), values)
+        return pc.binary_join(lists, " ").cast(self.pa.binary()).to_pylist()
+
+    def digits(self, offsets, ids) -> list[bytes]:
+        """Of each text: its decimal ids."""
+        return self.joined(offsets, self.digits_of.take(self.pa.array(ids)))
+
+    def decode(self, offsets, ids) -> list[bytes]:
+        """Of each text: what the ids stand for, joined by spaces, as the library does without a decoder."""
+        return self.joined(offsets, self.text_of.take(self.pa.array(ids)))
+
+
+@lru_cache(maxsize=2)
+def worker_codec(path: str) -> Codec:
+    """One for each Python worker, so that words learnt in one task serve the next."""
+    return Codec(path)
 
 
 def groups(batch, columns: tuple[str, ...] = ("doc_id", "text"), most: int = GROUP_CHARS):
     """The rows of an Arrow batch as lists, a few million characters at a time; null texts are empty."""
-    held, size = [[] for _ in columns], 0
-    texts = batch.column(columns.index("text"))
-    ids = [batch.column(i) for i, c in enumerate(columns) if c != "text"]
-    for i in range(batch.num_rows):
-        text = texts[i].as_py() or ""
-        for k, c in enumerate(columns):
-            held[k].append(text if c == "text" else ids[k if k < columns.index("text") else k - 1][i].as_py())
+    lists = [batch.column(k).to_pylist() for k in range(len(columns))]
+    at = columns.index("text")
+    lists[at] = [t or "" for t in lists[at]]
+    start = size = 0
+    for i, text in enumerate(lists[at]):
         size += len(text)
-        if size >= most:
-            yield held
-            held, size = [[] for _ in columns], 0
-    if held[0]:
-        yield held
+        if size >= most or i == batch.num_rows - 1:
+            yield [c[start : i + 1] for c in lists]
+            start, size = i + 1, 0
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -100,19 +175,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = worker_codec(path)
+        digest = lambda values: pa.array([sha256(v).hexdigest() for v in values])
         for batch in batches:
-            for ids, texts in groups(batch):
-                got = codec.encode(texts)
-                cols = [
-                    pa.array(ids, pa.int64()), pa.array([x[0] for x in got], pa.int64()),
-                    pa.array([sha256(x[1].encode()).hexdigest() for x in got]), pa.array([sha256(x[2].encode("utf-8", "replace")).hexdigest() for x in got]),
-                ]
+            for doc_ids, texts in groups(batch):
+                offsets, ids = codec.encode(texts)
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(np.diff(offsets)), digest(codec.digits(offsets, ids)), digest(codec.decode(offsets, ids))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    cols.append(pa.array([list(map(int, x[1].split())) for x in got], pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 

@@ -8,15 +8,6 @@ is the one vocabulary entry that ends at i and fits after last[start]; no prefix
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
-
-import regex
-
-#: The vocabulary's own word pattern for lower-case text, spelt out for ASCII and for Latin letters.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-LATIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \t-\r\x85\xa0\p{L}\p{N}]+")
-
 
 def byte_alphabet() -> list[str]:
     """The printable character of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
@@ -78,17 +69,8 @@ class WordBpe:
         self.ends = {t[i:] for t in self.vocab for i in range(len(t))}
         self.alphabet = byte_alphabet()
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a chunk without white space, in the byte alphabet; as the library's own normaliser and splitter give them, which handle all but Latin letters."""
-        if chunk.isascii():
-            low = chunk.lower()
-            return [low] if low.isalpha() else [self._bytes(w) for w in ASCII_WORD.findall(low)]
-        if max(chunk) < "\u0250":
-            low = unicodedata.normalize("NFC", chunk).lower()
-            return [self._bytes(w) for w in (LATIN_WORD.findall(low) if not low.isalpha() else [low])]
-        return [w for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(chunk))]
-
-    def _bytes(self, word: str) -> str:
+    def bytes_of(self, word: str) -> str:
+        """A word in the byte alphabet."""
         return "".join(map(self.alphabet.__getitem__, word.encode()))
 
     def encode_sorted(self, words: list[str]) -> list[list[str]]:
@@ -103,17 +85,16 @@ class WordBpe:
                 k += 1
             del last[k + 1 :]
             for i in range(k + 1, n + 1):
-                own, tail = (w[:i], "") if i < n else (w + end, end)
                 for j in range(i - 1, -1, -1):  # from the shortest; just one fits
-                    t = own[j:]
-                    if t not in ends:
-                        raise ValueError(f"no token ends {own!r}")
+                    t = w[j:i] if i < n else w[j:] + end
                     if t in vocab:
                         if j == 0:
                             break
                         ok = seen.get((last[j], t))
                         if ok if ok is not None else fits(last[j], t):
                             break
+                    elif t not in ends:
+                        raise ValueError(f"no token ends {t!r}")
                 if i < n:
                     last.append(t)
             tokens, i = [t], n - (len(t) - len(end))

@@ -122,15 +122,32 @@ def test_tokenizers_agree_with_their_libraries(t):
     codec = CACHE.setdefault("c", bpe_codec.Codec(P.path("word_bpe_49k.json")))
     counts = CACHE.setdefault("p", token_counts.PrefixCounts(P.path("piece_bpe_32k.model")))
     ids = codec.bpe.lib.encode(t, add_special_tokens=False).ids
-    n, joined, decoded = codec.encode([t])[0]
-    assert (n, joined, decoded) == (len(ids), " ".join(map(str, ids)), codec.bpe.lib.decode(ids, skip_special_tokens=False))
-    assert codec.decode(ids) == decoded
+    assert coded(codec, [t]) == [(ids, " ".join(map(str, ids)), codec.bpe.lib.decode(ids, skip_special_tokens=False))]
     assert counts.at(t)[-1] == len(counts.bpe.lib.encode(t))
 
 
 CACHE: dict = {}
 
 
+def coded(codec, texts):
+    """Of each text: ids, their digits, and the text decoded from the ids."""
+    offsets, ids = codec.encode(texts)
+    lists = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return list(zip(lists, [x.decode() for x in codec.digits(offsets, ids)], [x.decode() for x in codec.decode(offsets, ids)], strict=True))
+
+
+def test_bpe_long_words_and_special_strings():
+    from time import perf_counter
+
+    codec = bpe_codec.Codec(P.path("word_bpe_49k.json"))
+    texts = ["the" * 100_000, "é" * 30_000 + " x", "日本" * 500, "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> é<|endoftext|>", "“a”<|endoftext|>日", "", "\ue000 \ue100x", "İ ı ŉ ǅ'Re"]
+    start = perf_counter()
+    got = coded(codec, texts)
+    assert perf_counter() - start < 10
+    assert [g[0] for g in got] == [codec.bpe.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g[2] for g in got] == [codec.bpe.lib.decode(g[0], skip_special_tokens=False) for g in got]
+
+
 def test_bpe_documents(spark):
     from tokenizers import Tokenizer
 
@@ -140,7 +157,7 @@ def test_bpe_documents(spark):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert (got[i].ids, got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     small = bpe_codec.Codec(P.path("word_bpe_49k.json"), kept=3)
-    assert [small.encode([t or ""])[0] for t in TEXTS] == [CACHE.setdefault("c", bpe_codec.Codec(P.path("word_bpe_49k.json"))).encode([t or ""])[0] for t in TEXTS]
+    assert [coded(small, [t or ""]) for t in TEXTS] == [coded(CACHE.setdefault("c", bpe_codec.Codec(P.path("word_bpe_49k.json"))), [t or ""]) for t in TEXTS]
     assert last_token.byte_alphabet()[32] == "Ġ" and bpe_codec.encode_documents(docs(spark, [])).count() == 0
 
 
