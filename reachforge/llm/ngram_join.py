@@ -1,21 +1,24 @@
 """Jaccard self-join of word n-gram sets, size-aware, with its connected components.
 
-Documents with equal sets form one class; only classes are compared. A pair of similar sets shares a signature:
-  - small sets enumerate all their subsets of the sizes that an intersection with a similar set must have at least;
-  - large sets give the first n-grams of their sets, in one global order, that no similar set can miss all of. The inverted lists
-    of those n-grams are scanned.
-The border between small and large is where subsets cost more than list entries. The order puts n-grams of rare hash buckets first;
-the bucket counts of all documents are one table of fixed size.
-
-Lists of up to HOT classes give all their pairs; of these stay those that the n-grams seen in common leave a chance (a pair that
-shares a longer list, too, is left to that list). These pairs and the longer lists, salted where they are very long, join sets to
-groups. Groups are cut by set size and into blocks, and each pair of blocks is compared in memory, where only links that connect
-something new are kept. So a group of copies costs no table of all pairs, and a set is shipped once for each block it meets. Links
-are compared on whole sets of 64-bit n-gram hashes.
+Documents with equal sets form one class; only classes are compared. Similar sets share n-grams early in one global order, and how
+many they must share grows with the length of what is looked at: the first n - least + c of a set of n have c in common with any
+similar set's. So a pair of similar sets shares a signature:
+  - small sets enumerate all their subsets of the fixed size SUBSET from those first n-grams;
+  - large sets give the first n - least + 1 n-grams, whose inverted lists are scanned.
+The border between small and large is the size beyond which subsets cost more than list entries with the pairs that scanning those
+gives. The order puts n-grams of rare hash buckets first; the bucket counts of all documents are one table of fixed size.
+
+Lists of up to HOT classes give their pairs; of these stay those that the n-grams seen in common leave a chance. Longer lists, salted
+where they are very long, give only (list, set). Then every set is compared to the leader of each long list it is in, and to the
+first of the sets it is paired with, and what links to a leader is one component. So a group of copies costs a comparison a copy
+and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair, and long
+lists that still hold several components by pairs of blocks in memory. A comparison streams sets, sorted by leader, past the one set of
+that leader. Links are compared on whole sets of 64-bit n-gram hashes.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; fewer words than n give
 one n-gram of them all; rows without doc_id take part, but an id of a component is the smallest that is not null (null if none is);
-repeated rows each get their result; no rows give none; only doc_id and text are read.
+repeated rows each get their result; no rows give none; only doc_id and text are read; very long texts are sets like others, and one
+set is held in memory at a time with a batch of rows.
 """
 
 from __future__ import annotations
@@ -30,14 +33,23 @@ from .bpe_codec import GROUP_CHARS
 from .common import LAST_ID, cut
 from .components import components
 
-#: Buckets of the table of n-gram counts, a power of two.
+#: Buckets of the table of n-gram counts, a power of two, and the pieces in which a task hands its counts on.
 BUCKETS = 1 << 17
+PIECES = 64
+#: Size of the subsets that small sets enumerate.
+SUBSET = 2
+#: What counting a pair of a scanned list costs, against shuffling an entry or a subset.
+PAIR_COST = 1 / 16
 #: Classes in a list that gives its pairs one by one.
 HOT = 48
 #: Excess entries of a bucket for each further salt.
 SALTED = 20_000
+#: Pairs and entries of long lists that a scanning worker holds.
+HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
+#: Sets compared to one leader in a task.
+LED = 5_000
 #: Bounds of a block: sets, and n-grams over them.
-BLOCK_SETS, BLOCK_GRAMS = 400, 1_000_000
+BLOCK_SETS, BLOCK_GRAMS = 1000, 2_000_000
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -139,16 +151,21 @@ class Similarity:
         """The part of a set's list entries that counts for a partner: midway between the fewest that a similar pair cannot miss and all of them. Fewer mean fewer pairs, more that the number in common tells more."""
         return (n - need + 2 + self.prefix(n)) // 2
 
-    def subset_sizes(self, n: int) -> list[int]:
-        return sorted({s for m in range(n, n * 100 // self.percent + 1) if (s := self.least(m)) <= n})
+    def subset_sizes(self, n: int, border: int | None = None) -> list[int]:
+        """The sizes of the subsets that a set of n has in common with similar sets of at most its own size, and at most the border."""
+        return sorted({min(SUBSET, self.least(m)) for m in range(self.least(n), min(n, border or n) + 1)})
 
     def subsets(self, n: int) -> int:
-        return sum(comb(n, s) for s in self.subset_sizes(n))
+        return sum(comb(n - self.least(n) + c, c) for c in self.subset_sizes(n))
+
+    def costs(self, n: int, length: float) -> tuple[float, float]:
+        """Of a set of n: of its subsets, and of its list entries with the pairs that lists of this mean length give."""
+        return self.subsets(n), (1 + PAIR_COST * min(length, HOT)) * self.prefix(n)
 
     def border(self, length: float) -> int:
-        """The largest set for which subsets are no dearer than entries of lists of this mean length."""
+        """The largest set, counted up from 1, for which subsets are no dearer than list entries."""
         b = 0
-        while b < 24 and self.subsets(b + 1) <= (1 + length) * self.prefix(b + 1):
+        while (c := self.costs(b + 1, length))[0] <= c[1]:
             b += 1
         return b
 
@@ -157,22 +174,18 @@ class Similarity:
         import numpy as np
 
         n, out, kinds = len(grams), [], []
+        longest = min(n, n - self.least(n) + SUBSET)
+        first = grams[np.lexsort((grams, order))[:longest]]
         if self.least(n) <= border:  # it may meet a set of at most the border
-            rows = grams.tolist()
-            subset = [hash_all(c) for s in self.subset_sizes(n) for c in combinations(rows, s)] if n <= border else self.down_to(rows, border)
-            out.append(np.array(subset, np.uint64))
-            kinds += [-1] * len(subset)
+            for c in self.subset_sizes(n, border):
+                subset = np.fromiter((hash_all(x) for x in combinations(first[: n - self.least(n) + c].tolist(), c)), np.uint64)
+                out.append(subset)
+                kinds += [-1] * len(subset)
         if n > border:
-            first = np.lexsort((grams, order))[: self.prefix(n)]
-            out.append(grams[first])
-            kinds += range(len(first))
+            out.append(first[: self.prefix(n)])
+            kinds += range(len(out[-1]))
         return np.concatenate(out), np.array(kinds, np.int32)
 
-    def down_to(self, rows: list[int], border: int) -> list[int]:
-        """Subsets of a set just above the border that sets at or under it can share."""
-        n = len(rows)
-        return [hash_all(c) for c in combinations(rows, self.least(n))] if self.least(n) <= border else []
-
 
 def hash_all(grams: tuple[int, ...]) -> int:
     from xxhash import xxh3_64_intdigest
@@ -201,25 +214,33 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.sim = docs.select(F.col("doc_id").cast("long"), "text"), n, Similarity(percent)
         first = cut(self._members())
-        self.members = first.where("bucket IS NULL").select("doc_id", "n", "sid", "a", "b")
+        self.members = first.where("piece IS NULL").select("doc_id", "n", "sid", "a", "b")
         self.classes = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first"))
-        counts = {r[0]: r[1] for r in first.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect()}  # BUCKETS rows at most
-        self._order(counts)
+        self._order(first.where("piece IS NOT NULL").select("piece", "counts"))
 
-    def _order(self, counts: dict) -> None:
+    def _order(self, pieces: DataFrame) -> None:
+        """pieces (piece, counts): parts of tables, which are summed up in PIECES * PIECES groups; so many sums reach the driver at most."""
         import numpy as np
 
-        table = np.zeros(BUCKETS, np.int64)
-        if counts:
-            table[np.fromiter(counts, np.int64, len(counts))] = np.fromiter(counts.values(), np.int64, len(counts))
-        noise = int(np.median(table))
-        self.salts = 1 + np.maximum(0, table - 2 * noise) // SALTED
+        def summed(table):
+            import pyarrow as pa
+
+            total = sum(np.frombuffer(c.as_py(), np.int64) for c in table["counts"])
+            return pa.table({"piece": table["piece"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+        table = np.zeros((PIECES, BUCKETS // PIECES), np.int64)
+        sums = pieces.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(PIECES))).groupBy("piece", "part").applyInArrow(summed, "piece int, counts binary")
+        for piece, counts in sums.collect():
+            table[piece] += np.frombuffer(counts, np.int64)
+        table = table.reshape(-1)
+        self.salts = 1 + np.maximum(0, table - 2 * int(np.median(table))) // SALTED
         self.table = table.astype(np.float32)
-        mean = float((table.astype(float) ** 2).sum() / max(1, table.sum())) - float(table.mean())
-        self.border = self.sim.border(max(0.0, mean))
+        # the mean list of an n-gram, beyond what else is in its bucket
+        self.length = max(0.0, float((table.astype(float) ** 2).sum() / max(1, table.sum())) - float(table.mean()))
+        self.border = self.sim.border(self.length)
 
     def _members(self) -> DataFrame:
-        """(doc_id, size, set id, content hashes a and b) of all rows, and from each task the counts of its buckets (bucket, n)."""
+        """(doc_id, size, set id, content hashes a and b) of all rows, and from each task the counts of its buckets (piece, counts)."""
         n = self.n
 
         def run(batches):
@@ -227,18 +248,19 @@ class Join:
             import pyarrow as pa
 
             grams, counts = Grams(n), np.zeros(BUCKETS, np.int64)
-            names = ["doc_id", "n", "sid", "bucket", "a", "b"]
+            names = ["doc_id", "n", "sid", "a", "b", "piece", "counts"]
             for batch in batches:
                 at = 0
                 for ids, texts in texts_of(batch):
                     sets = grams.sets(texts)
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)]], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
                     at += len(ids)
-            there = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(there), pa.int64()), pa.array(counts[there]), pa.nulls(len(there), pa.binary()), pa.array(there.astype(np.int32)), *[pa.nulls(len(there), pa.int64())] * 2], names)
+            if counts.any():
+                none = [pa.nulls(PIECES, pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
 
-        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, bucket int, a long, b long")
+        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, piece int, counts binary")
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
@@ -283,15 +305,17 @@ class Join:
             pairs: dict = {}
             hot: list = []
 
-            def flush(final=False):
-                nonlocal hot
-                if pairs and (final or len(pairs) > 200_000):
-                    keys = list(pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int32()), pa.array([pairs[k] for k in keys], pa.int32()), pa.nulls(len(keys), pa.int64())], names)
+            def packed(rows):
+                types = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+            def flush(most_pairs=0, most_hot=0):
+                if len(pairs) > most_pairs:
+                    yield packed([(*k, c, None) for k, c in pairs.items()])
                     pairs.clear()
-                if hot and (final or len(hot) > 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hot], pa.binary()), pa.nulls(len(hot), pa.binary()), pa.array([h[1] for h in hot], pa.int32()), pa.nulls(len(hot), pa.int32()), pa.nulls(len(hot), pa.int32()), pa.array([h[2] for h in hot], pa.int64())], names)
-                    hot = []
+                if len(hot) > most_hot:
+                    yield packed([(sid, None, n, None, None, sig) for sid, n, sig in hot])
+                    hot.clear()
 
             key, run_of, long = None, {}, False
 
@@ -314,17 +338,19 @@ class Join:
                 for sig, salt, sid, n, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (sig, salt, place < 0) != key:
                         close()
+                        yield from flush(HELD_PAIRS, HELD_ENTRIES)
                         key, run_of, long = (sig, salt, place < 0), {}, salt >= 0
                     if long:
                         hot.append((sid, n, sig))
+                        if len(hot) > HELD_ENTRIES:
+                            yield from flush(HELD_PAIRS, HELD_ENTRIES)
                     elif sid not in run_of:
                         run_of[sid] = (n, place)
                         if len(run_of) > HOT:
                             hot += [(s, x, sig) for s, (x, _) in run_of.items()]
                             run_of, long = {}, True
-                yield from flush()
             close()
-            yield from flush(True)
+            yield from flush()
 
         lists = self.lists()
         keyed = lists.repartition(self._tasks(), "sig", "salt").sortWithinPartitions("sig", "salt", F.col("place") < 0)
@@ -372,33 +398,111 @@ class Join:
         # what of a set does not count in lists, as sim.seen has it
         rest = lambda n: F.col(n) - F.floor((2 * F.col(n) - need + 3 - F.ceil(F.lit(sim.percent) * F.col(n) / 100)) / 2)
         pairs = scanned.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        pairs = cut(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b", "na", "nb"))
-        hot = scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
-        blocks = cut(self.blocks(pairs, hot))
-        return self.compared(blocks.join(self.sets(blocks.select("sid").distinct()), "sid"))
+        pairs = cut(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b"))
+        hot = cut(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct())
+        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w")))
+        first = both.groupBy("u").agg(F.min("w").alias("w")).where("w < u").select(F.col("w").alias("a"), F.col("u").alias("b"))
+        done = cut(self.compared(first.unionByName(self.led(hot, 0)).distinct()))
+        label = cut(components(done.where("alike").select("a", "b")))
+        pairs = cut(self.apart(pairs, label).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        hot = cut(self.unsettled(hot, label))
+        found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
+        if not pairs.isEmpty() or not hot.isEmpty():
+            more = cut(self.compared(pairs.unionByName(self.led(hot, 1)).distinct()).where("alike").select("a", "b"))
+            found = found.unionByName(more)
+            label = cut(components(found))
+            hot = cut(self.unsettled(hot.select("sig", "sid", "n"), label))
+            found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
+        if not hot.isEmpty():
+            blocks = cut(self.blocks(hot))
+            found = found.unionByName(self.met(blocks.join(self.sets(blocks.select("sid").distinct()), "sid")))
+        return found
+
+    def led(self, hot: DataFrame, seed: int) -> DataFrame:
+        """(a, b): the leader of each long list, another one for each seed, and the sets of the list that are near it in size."""
+        rank = F.struct(F.xxhash64(F.lit(seed), "sid"), "sid", "n")
+        leader = hot.groupBy("sig").agg(F.min(rank).alias("of"))
+        near = hot.join(leader, "sig").where((F.col("sid") != F.col("of.sid")) & (100 * F.least("n", "of.n") >= self.sim.percent * F.greatest("n", "of.n")))
+        return near.select(F.col("of.sid").alias("a"), F.col("sid").alias("b")).distinct()
+
+    @staticmethod
+    def labelled(rows: DataFrame, label: DataFrame, of: str, name: str) -> DataFrame:
+        """rows with the component of the set `of`."""
+        v = label.select(F.col("v").alias(of), F.col("c").alias(name))
+        return rows.join(v, of, "left").withColumn(name, F.coalesce(name, of))
+
+    def apart(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """The pairs of different components."""
+        return self.labelled(self.labelled(pairs, label, "a", "ca"), label, "b", "cb").where("ca != cb").select("a", "b")
+
+    def unsettled(self, hot: DataFrame, label: DataFrame) -> DataFrame:
+        """The entries of the lists with several components, with their component c."""
+        known = self.labelled(hot, label, "sid", "c")
+        several = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("sig")
+        return known.join(several, "sig", "left_semi").select("sig", "sid", "n", "c")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, alike) of distinct pairs. The sets of all b stream past the one of their a; an a with very many is in several tasks."""
+        percent = self.sim.percent
 
-    def blocks(self, pairs: DataFrame, hot: DataFrame) -> DataFrame:
-        """(g, bin, i, j, own, block, sid): in which pairs of blocks each set is compared. Sets that share a long list or are a pair are in one group."""
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            key = own = None
+            for batch in batches:
+                a, salt, led = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                grams = batch.column(4)
+                offsets, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+                alike = np.zeros(len(a), bool)
+                i = 0
+                while i < len(a):
+                    if not led[i]:
+                        key, own = (a[i], salt[i]), flat[offsets[i] : offsets[i + 1]].copy()
+                        i += 1
+                        continue
+                    j = i
+                    while j < len(a) and led[j] and (a[j], salt[j]) == key:
+                        j += 1
+                    if i == j:
+                        raise ValueError("a set without its leader")
+                    part = flat[offsets[i] : offsets[j]]
+                    hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
+                    shared = np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets[i : j + 1] - offsets[i]])
+                    alike[i:j] = 100 * shared >= percent * (len(own) + np.diff(offsets[i : j + 1]) - shared)
+                    i = j
+                keep = pa.array(led, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(3).filter(keep), pa.array(alike).filter(keep)], ["a", "b", "alike"])
+
+        many = pairs.groupBy("a").agg(F.floor(1 + F.count(F.lit(1)) / LED).cast("int").alias("k"))
+        led = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.lit(True).alias("led"), F.col("b").alias("sid"))
+        asked = led.unionByName(led.select("a", "salt", F.lit(False).alias("led"), F.col("a").alias("sid")).distinct())
+        rows = asked.join(self.sets(asked.select("sid").distinct()), "sid").select("a", "salt", "led", "sid", "grams")
+        return rows.repartition(self._tasks(), "a", "salt").sortWithinPartitions("a", "salt", "led").mapInArrow(run, "a binary, b binary, alike boolean")
+
+    def blocks(self, hot: DataFrame) -> DataFrame:
+        """(g, bin, i, j, own, block, sid, c): in which pairs of blocks each set of these lists is compared. Sets that share a list are in one group."""
         node = lambda c: F.xxhash64(c)  # noqa: E731  a clash joins two groups, which costs time only
-        edges = pairs.select(node("a").alias("a"), node("b").alias("b")).unionByName(hot.select(node("sid").alias("a"), F.col("sig").alias("b")))
-        sids = pairs.select(F.col("a").alias("sid"), F.col("na").alias("n")).unionByName(pairs.select(F.col("b").alias("sid"), F.col("nb").alias("n"))).unionByName(hot.select("sid", "n")).distinct()
-        one = sids.join(components(edges), node("sid") == F.col("v")).select("sid", "n", F.col("c").alias("g"))
+        group = components(hot.select(node("sid").alias("a"), F.col("sig").alias("b")))
+        one = hot.select("sid", "n", "c").distinct().join(group.select("v", F.col("c").alias("g")), node("sid") == F.col("v")).select("sid", "n", "c", "g")
         # similar sets are in the same bin or in neighbouring ones, and meet in the lower one
         own = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * log(100 / self.sim.percent))).cast("int")
         binned = one.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
         count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-        sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first"), F.count(F.lit(1)).alias("m")), ["g", "bin"]).where("first = bin AND m > 1")
+        sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first"), F.min("c").alias("low"), F.max("c").alias("high")), ["g", "bin"]).where("first = bin AND low != high")
         block = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
         with_block = sized.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        return with_block.select("g", "bin", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "own", "block", "sid")
+        return with_block.select("g", "bin", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "own", "block", "sid", "c")
 
-    def compared(self, rows: DataFrame) -> DataFrame:
+    def met(self, rows: DataFrame) -> DataFrame:
+        """(a, b): links between components that the pairs of blocks show."""
         percent = self.sim.percent
 
         def run(table):
             import numpy as np
             import pyarrow as pa
 
+            label = np.unique(table["c"].to_pylist(), return_inverse=True)[1]
             sids, own, block = table["sid"].to_pylist(), table["own"].to_numpy(), table["block"].to_numpy()
             grams = table["grams"].combine_chunks()
             size = np.diff(grams.offsets.to_numpy())
@@ -421,16 +525,11 @@ class Join:
             like &= (own[:, None] == low) | (own[None, :] == low)
             if i != j:
                 like &= block[:, None] != block[None, :]
-            out, seen = [], np.zeros(m, bool)
-            for r in range(m):
-                if seen[r]:
-                    continue
-                seen[r], stack = True, [r]
-                while stack:
-                    new = np.flatnonzero(like[stack.pop()] & ~seen)
-                    seen[new] = True
-                    out += [(sids[r], sids[x]) for x in new]
-                    stack += new.tolist()
+            like &= label[:, None] != label[None, :]
+            # one link for each two components is enough
+            x, y = np.nonzero(np.triu(like))
+            which = np.unique(np.minimum(label[x], label[y]) * m + np.maximum(label[x], label[y]), return_index=True)[1]
+            out = [(sids[x[k]], sids[y[k]]) for k in which]
             return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
         return rows.groupBy("g", "bin", "i", "j").applyInArrow(run, "a binary, b binary")
