@@ -1,31 +1,34 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin.
 
 Words are lower-cased and taken between white space and ASCII punctuation. Rolling hashes of all windows of `seed` words of the
-benchmark items are looked up in the texts. Where a text shares seeds with an item, equal seeds in a row form maximal matches;
-the longest is marked again and again, cut back to what is still unmarked in both, until none of `seed` words is left. An item is
-leaked when the marked words are at least `coverage` of it, in whatever order its passages stand.
+benchmark items are looked up in the texts, each distinct one of a text once. The words of an item that shared seeds cover bound
+what tiling can mark, so only items that can be leaked are tiled: the longest match of unmarked words, of equally long ones the first
+in the text and then in the item, is found by rolling hashes and marked again and again, until none of `seed` words is left. An item is leaked
+when the marked words are at least `coverage` of it, in whatever order its passages stand. A tiling takes at most as many rounds as the item has
+seeds side by side, each in time linear in both, so repetitive texts cost no more than others.
 
-The benchmark is given to the executors in blocks of at most BLOCK_CHARS characters: one block and one scan for usual sizes, more
-scans for more. Texts are not shuffled.
+The benchmark is given to the executors in blocks of at most BLOCK_CHARS characters, each one broadcast of bounded size. A row goes
+through all blocks in one scan and carries what was found along, so its verdict is its own whatever the number of blocks. Texts are
+not shuffled.
 
 Defined results: a null text is empty and clean; null items and items under `seed` words match nothing; items with equal texts are
-all reported; repeated rows get the same verdict; no rows give none; no benchmark rows make every document clean; other columns
-pass through unchanged in `drop_leaks`.
+all reported; repeated rows get the same verdict, and rows that share an id have their own; no rows give none; no benchmark rows make
+every document clean; other columns pass through unchanged in `drop_leaks`.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
-from .common import whole
 
 SEED = 5
 COVERAGE = 0.5
-BLOCK_CHARS = 16_000_000
+#: Characters of a block; its index takes about 6 bytes for each, and 16 to 64 for each word.
+BLOCK_CHARS = 4_000_000
+#: Places of seeds in items that are looked at together.
+PLACES = 1_000_000
 FACTOR = 0x9E3779B97F4A7C15
 #: ASCII punctuation becomes space.
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -44,7 +47,7 @@ def word_hashes(texts: list[str]):
 
 
 def windows(hashes, size: int):
-    """Karp-Rabin hashes of all windows, from those of the windows of half the size."""
+    """Karp-Rabin hashes of all windows of so many words."""
     import numpy as np
 
     if len(hashes) < size:
@@ -55,88 +58,154 @@ def windows(hashes, size: int):
     return out ^ (out >> np.uint64(31))
 
 
+class Rolling:
+    """Window hashes of any length over one sequence, each length in one step, and which words are marked."""
+
+    def __init__(self, words, powers, inverse):
+        import numpy as np
+
+        self.np, self.inverse, self.marked = np, inverse, np.zeros(len(words), np.int64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])])
+
+    def free(self, size: int):
+        """The places of the windows without marked words, and their hashes."""
+        np = self.np
+        if size >= len(self.sums):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(taken[size:] == taken[:-size])
+        return at, (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+
+def tiled(text, item, seed: int) -> int:
+    """Words of the item that greedy string tiling marks, of word hashes."""
+    import numpy as np
+
+    longest = max(len(text), len(item)) + 1
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest, FACTOR, np.uint64)]))
+        inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest, pow(FACTOR, -1, 1 << 64), np.uint64)]))
+        x, y = Rolling(text, powers, inverse), Rolling(item, powers, inverse)
+
+        def match(size: int):
+            """The first window of so many unmarked words that both have, as its places in text and item."""
+            at, own = x.free(size)
+            there, other = y.free(size)
+            hit = np.flatnonzero(np.isin(own, other))
+            return (int(at[hit[0]]), int(there[np.flatnonzero(other == own[hit[0]])[0]])) if len(hit) else None
+
+        total, most = 0, min(len(text), len(item))
+        while most >= seed and (found := match(seed)):
+            low, high = seed, most  # a match of `low` words is known
+            if best := match(most):  # often the last length once more
+                low, found = most, best
+            while low < high:
+                middle = (low + high + 1) // 2
+                if best := match(middle):
+                    low, found = middle, best
+                else:
+                    high = middle - 1
+            i, j = found
+            x.marked[i : i + low] = y.marked[j : j + low] = 1
+            total, most = total + low, low
+    return total
+
+
 class Items:
-    """Benchmark items by their seeds."""
+    """Benchmark items by their seeds, as arrays."""
 
     def __init__(self, rows: list[tuple[int, str]], seed: int = SEED):
         import numpy as np
 
-        self.seed, self.ids, self.words, self.at = seed, [], [], {}
+        self.seed, self.ids, words, seeds, items, places = seed, [], [], [], [], []
         for item, text in rows:
-            words, _ = word_hashes([text or ""])
-            if len(words) < seed:
+            own, _ = word_hashes([text or ""])
+            if len(own) < seed:
                 continue
-            for j, h in enumerate(windows(words, seed).tolist()):
-                self.at.setdefault(h, []).append((len(self.ids), j))
+            seeds.append(windows(own, seed))
+            items.append(np.full(len(seeds[-1]), len(self.ids), np.int32))
+            places.append(np.arange(len(seeds[-1]), dtype=np.int32))
+            words.append(own)
             self.ids.append(item)
-            self.words.append(words)
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.words, self.start = flat(words, np.uint64), np.cumsum(self.size) - self.size
+        every = flat(seeds, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.item, self.place = flat(items, np.int32)[order], flat(places, np.int32)[order]
+        self.seeds, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
         # a table of the lowest bits, so that nearly all windows of a text need one look-up
-        self.mask = np.uint64((1 << max(16, (len(self.at) * 64).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(16, (len(self.seeds) * 16).bit_length())) - 1)
         self.bits = np.zeros(int(self.mask) + 1, bool)
-        self.bits[np.fromiter(self.at, np.uint64, len(self.at)) & self.mask] = True
+        self.bits[self.seeds & self.mask] = True
 
     def leaks(self, texts: list[str], coverage: float = COVERAGE) -> list[list[tuple[int, float]]]:
         """Of each text: the leaked items, with how much of each is marked."""
         import numpy as np
 
         words, ends = word_hashes(texts)
-        seeds = windows(words, self.seed)
-        hits = np.flatnonzero(self.bits[seeds & self.mask])
+        found = windows(words, self.seed)
         out: list[list] = [[] for _ in texts]
-        if not len(hits):
+        hits = np.flatnonzero(self.bits[found & self.mask])
+        if not len(hits) or not len(self.seeds):
             return out
+        which = np.minimum(np.searchsorted(self.seeds, found[hits]), len(self.seeds) - 1)
         owner = np.searchsorted(ends, hits, side="right")
-        inside = hits + self.seed <= ends[owner]
-        shared: dict[tuple[int, int], list] = {}
-        for i, k in zip(hits[inside].tolist(), owner[inside].tolist(), strict=True):
-            for item, j in self.at.get(int(seeds[i]), ()):
-                shared.setdefault((k, item), []).append((i - j, i))
-        for (k, item), pairs in shared.items():
-            n = len(self.words[item])
-            if (covered := tiled(pairs, self.seed)) >= coverage * n:
+        ok = (self.seeds[which] == found[hits]) & (hits + self.seed <= ends[owner])
+        hits, which, owner = hits[ok], which[ok], owner[ok]
+        begins = np.searchsorted(owner, np.arange(len(texts) + 1))
+        once = np.unique(owner * len(self.seeds) + which)  # a seed counts once in a text
+        seed_of, text_of = once % len(self.seeds), once // len(self.seeds)
+        for k, item in self._possible(text_of, seed_of, coverage):
+            a, b = begins[k], begins[k + 1]
+            start, n = int(self.start[item]), int(self.size[item])
+            own = self.words[start : start + n]
+            # what of the text the item's seeds cover; its parts are set apart by a word of no item
+            of_item = np.isin(found[hits[a:b]], windows(own, self.seed))
+            at = np.unique(hits[a:b][of_item][:, None] + np.arange(self.seed))
+            gap = np.flatnonzero(np.diff(at) > 1) + 1
+            text = np.insert(words[at], gap, np.arange(1, len(gap) + 1, dtype=np.uint64))
+            covered = tiled(text, own, self.seed)
+            if covered >= coverage * n:
                 out[k].append((self.ids[item], covered / n))
         return out
 
+    def _possible(self, text_of, seed_of, coverage: float):
+        """(text, item) where the words of the item that shared seeds cover reach the coverage."""
+        import numpy as np
 
-def tiled(pairs: list[tuple[int, int]], seed: int) -> int:
-    """Words marked by greedy string tiling, from the shared seeds as (text place - item place, text place)."""
-    heap, start, before = [], None, None
-    for diagonal, i in sorted(pairs):
-        if before != (diagonal, i - 1):
-            if start is not None:
-                heap.append((-(before[1] - start[1] + seed), start[1], start[1] - start[0]))
-            start = (diagonal, i)
-        before = (diagonal, i)
-    heap.append((-(before[1] - start[1] + seed), start[1], start[1] - start[0]))
-    heapq.heapify(heap)
-    in_text, in_item, total = set(), set(), 0
-    while heap:
-        size, i, j = heapq.heappop(heap)
-        free = [i + d not in in_text and j + d not in in_item for d in range(-size)]
-        if all(free):
-            in_text.update(range(i, i - size))
-            in_item.update(range(j, j - size))
-            total -= size
-            continue
-        d = 0
-        while d < len(free):  # what is still unmarked of it goes back among the matches
-            e = d
-            while e < len(free) and free[e]:
-                e += 1
-            if e - d >= seed:
-                heapq.heappush(heap, (d - e, i + d, j + d))
-            d = e + 1
-    return total
+        times = self.times[seed_of]
+        part = (np.cumsum(times) - times) // PLACES
+        # cut between texts only
+        cuts = np.flatnonzero((np.diff(part) > 0) | (np.diff(text_of) > 0)) + 1
+        last_cut, bounds = 0, [0]
+        for c in cuts.tolist():
+            if text_of[c] != text_of[c - 1] and part[c] != part[last_cut]:
+                bounds.append(c)
+                last_cut = c
+        for a, b in zip(bounds, [*bounds[1:], len(seed_of)], strict=True):
+            n = times[a:b]
+            at = np.repeat(self.first[seed_of[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            text, item, place = np.repeat(text_of[a:b], n), self.item[at].astype(np.int64), self.place[at].astype(np.int64)
+            order = np.lexsort((place, item, text))
+            text, item, place = text[order], item[order], place[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+            step = np.full(len(text), self.seed)
+            step[1:] = np.where(new[1:], self.seed, np.minimum(place[1:] - place[:-1], self.seed))
+            first = np.flatnonzero(new)
+            bound = np.add.reduceat(step, first)
+            for f in first[bound >= coverage * self.size[item[first]]].tolist():
+                yield int(text[f]), int(item[f])
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items, in blocks of bounded size that are collected one at a time."""
+    """The items, in blocks of bounded size that are collected one at a time; at least one."""
     sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + 2 * total // most
     for b in range(n):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else sized
-        yield [(r[0], r[1]) for r in part.collect()]
+        yield [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
 
 def by_groups(texts: list[str], most: int = GROUP_CHARS):
@@ -150,54 +219,48 @@ def by_groups(texts: list[str], most: int = GROUP_CHARS):
         yield texts[start:]
 
 
+def shared_items(docs: DataFrame, rows: list[tuple[int, str]], seed: int):
+    """The index of a block, as one broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(Items(rows, seed))
+
+
 def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, items (leaked item ids in order), max_coverage (of the leaked ones, else 0)."""
-    schema = "doc_id long, contaminated boolean, n_items long, items array<long>, max_coverage double"
+    schema = "doc_id long, text string, found array<struct<item:long,part:double>>"
 
-    def scan(rows, names=()):
+    def scan(items):
         def run(batches):
             import pyarrow as pa
 
-            items = Items(rows, seed)
+            kind = pa.list_(pa.struct([("item", pa.int64()), ("part", pa.float64())]))
             for batch in batches:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                found = [x for g in by_groups(texts) for x in items.leaks(g, coverage)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).cast(pa.int64()) for k in (0, *range(2, batch.num_columns))], pa.array([bool(x) for x in found], pa.bool_()), pa.array([len(x) for x in found], pa.int64()), pa.array([sorted(i for i, _ in x) for x in found], pa.list_(pa.int64())), pa.array([max((c for _, c in x), default=0.0) for x in found], pa.float64())],
-                    ["doc_id", *names, "contaminated", "n_items", "items", "max_coverage"],
-                )
+                new = [[{"item": i, "part": c} for i, c in x] for g in by_groups(texts) for x in items.value.leaks(g, coverage)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a + b for a, b in zip(batch.column(2).to_pylist(), new, strict=True)], kind)], ["doc_id", "text", "found"])
 
         return run
 
-    text = docs.select("doc_id", "text")
-    parts = list(blocks(benchmark, block_chars))
-    if len(parts) == 1:
-        return text.mapInArrow(scan(parts[0]), schema)
-    text, keys = text.select("doc_id", "text", F.xxhash64(whole()).alias("a"), F.xxhash64(F.lit(1), whole()).alias("b")), ("a", "b")
-    out = None
-    for p in parts:
-        one = text.mapInArrow(scan(p, keys), schema.replace("doc_id long", "doc_id long, a long, b long"))
-        out = one if out is None else out.unionByName(one)
-    # each row stands once in each scan; rows of the same id and content have the same verdict
-    merged = out.groupBy("doc_id", *keys).agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("max_coverage").alias("max_coverage"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("n"))
-    return merged.select(F.explode(F.sequence(F.lit(1), "n")).alias("_"), "doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items", "max_coverage").drop("_")
+    out = docs.select(F.col("doc_id").cast("long"), "text", F.expr("CAST(array() AS array<struct<item:long,part:double>>)").alias("found"))
+    for rows in blocks(benchmark, block_chars):
+        out = out.mapInArrow(scan(shared_items(docs, rows, seed)), schema)
+    items = F.array_sort(F.transform("found", lambda f: f["item"]))
+    return out.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), items.alias("items"), F.coalesce(F.array_max(F.transform("found", lambda f: f["part"])), F.lit(0.0)).alias("max_coverage"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The clean rows, with all their columns."""
     place = docs.columns.index("text")
 
-    def scan(rows):
+    def scan(items):
         def run(batches):
             import pyarrow as pa
 
-            items = Items(rows, seed)
             for batch in batches:
                 texts = [t or "" for t in batch.column(place).to_pylist()]
-                yield batch.filter(pa.array([not x for g in by_groups(texts) for x in items.leaks(g, coverage)], pa.bool_()))
+                yield batch.filter(pa.array([not x for g in by_groups(texts) for x in items.value.leaks(g, coverage)], pa.bool_()))
 
         return run
 
     for rows in blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(scan(rows), docs.schema)
+        docs = docs.mapInArrow(scan(shared_items(docs, rows, seed)), docs.schema)
     return docs
