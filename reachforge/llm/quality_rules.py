@@ -1,13 +1,16 @@
 """Quality rules by weak supervision. DataFrame functions only.
 
-Rules vote keep, reject or abstain on each document. Expectation maximisation over the counts of vote patterns estimates each
-rule's accuracy, and a document is kept when its posterior probability of being good reaches a
-half. There are at most 3^rules patterns whatever the input, so only that bounded table reaches the driver.
+Rules vote keep, reject or abstain on each document. Expectation maximisation over the counts of vote patterns estimates the share of
+good documents and, for good and for bad ones, how often each rule votes which way; from these follow each rule's accuracy and the
+posterior probability of a document being good, and it is kept when that reaches a half. So a rejection weighs as much as it is found
+together with others, and documents with one rejection may stay. There are at most 3^rules patterns whatever the input, so only that
+bounded table reaches the driver.
 
 Hard floor (base): fewer than 20 words, or more than 30 % of words in 8-word windows that the text holds twice or more.
 
 Defined results: a null or empty text has no words and fails the base; repeated rows get the same verdict; a table without rows
-gives none; columns other than doc_id and text are ignored (`filter_documents` hands them on unchanged).
+gives none; documents that all have the same votes have the same posterior; very long texts are counted whole, one at a time; columns
+other than doc_id and text are ignored (`filter_documents` hands them on unchanged).
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: By rule: a percentage, the range in which the rule votes keep (None: it never does), and the range in which it rejects; outside both it abstains. Each kind of junk is seen by several rules, as estimating accuracies takes rules that overlap. None votes keep here: a vote that nearly every document gets says nothing, but would seem accurate.
+#: By rule: a percentage or mean, the range in which the rule votes keep, and the range in which it rejects; outside both it abstains. Each kind of junk is seen by several rules, as estimating accuracies takes rules that overlap.
 RULES = {
-    "symbols": ("100.0 * n_symbols / greatest(word_chars, 1)", None, (8.0, None)),
-    "symbol_runs": ("100.0 * n_symbol_runs / greatest(n_words, 1)", None, (25.0, None)),
-    "letters": ("100.0 * n_letters / greatest(word_chars, 1)", None, (None, 75.0)),
-    "capitals": ("100.0 * n_capitals / greatest(n_letters, 1)", None, (50.0, None)),
-    "marks": ("100.0 * n_marks / greatest(n_words, 1)", None, (25.0, None)),
-    "small_letters": ("100.0 * (n_letters - n_capitals) / greatest(word_chars, 1)", None, (None, 50.0)),
-    "dup_lines": ("100.0 * n_dup_lines / greatest(n_lines, 1)", None, (30.0, None)),
-    "repeats": ("100.0 * n_repeat_words / greatest(n_words, 1)", None, (20.0, None)),
-    "long_words": ("1.0 * word_chars / greatest(n_words, 1)", None, (16.0, None)),
+    "symbols": ("100.0 * n_symbols / greatest(word_chars, 1)", (None, 3.0), (8.0, None)),
+    "symbol_runs": ("100.0 * n_symbol_runs / greatest(n_words, 1)", (None, 10.0), (25.0, None)),
+    "letters": ("100.0 * n_letters / greatest(word_chars, 1)", (85.0, None), (None, 75.0)),
+    "capitals": ("100.0 * n_capitals / greatest(n_letters, 1)", (None, 20.0), (50.0, None)),
+    "marks": ("100.0 * n_marks / greatest(n_words, 1)", (None, 10.0), (25.0, None)),
+    "small_letters": ("100.0 * (n_letters - n_capitals) / greatest(word_chars, 1)", (70.0, None), (None, 50.0)),
+    "dup_lines": ("100.0 * n_dup_lines / greatest(n_lines, 1)", (None, 10.0), (30.0, None)),
+    "repeats": ("100.0 * n_repeat_words / greatest(n_words, 1)", (None, 10.0), (20.0, None)),
+    "long_words": ("1.0 * word_chars / greatest(n_words, 1)", (2.0, 12.0), (16.0, None)),
 }
 
 
@@ -96,50 +99,50 @@ def votes(m: DataFrame) -> DataFrame:
     return m.withColumn("votes", F.concat(*[one(*r) for r in RULES.values()]))
 
 
-#: The share of good documents, which rejecting rules alone cannot tell; and a rule's accuracy before any vote is seen, which counts as PRIOR votes and a tenth of those cast.
-GOOD, ACCURACY, PRIOR = 0.85, 0.9, 20.0
+VOTES = "+-0"
+#: How often a rule is thought to vote keep, reject or abstain, on good and on bad documents, and the share of good ones, before any vote is seen. It counts as PRIOR documents.
+BEFORE = {"good": (0.80, 0.05, 0.15), "bad": (0.45, 0.35, 0.20)}
+GOOD, PRIOR = 0.8, 20.0
 
 
-def fit(patterns: dict[str, int], rounds: int = 100) -> dict:
-    """Expectation maximisation for one accuracy a rule: how often it is right when it votes."""
-    acc = [ACCURACY] * len(RULES)
-    cast = [sum(n for p, n in patterns.items() if p[i] != "0") for i in range(len(RULES))]
-    held = [PRIOR + 0.1 * c for c in cast]
-    for _ in range(rounds):
-        right = [ACCURACY * h for h in held]
-        for p, n in patterns.items():
-            q = posterior(p, acc, GOOD)
-            for i, v in enumerate(p):
-                right[i] += n * {"+": q, "-": 1 - q, "0": 0}[v]
-        acc = [min(0.99, max(0.51, r / (h + c))) for r, h, c in zip(right, held, cast, strict=True)]
-    return {"accuracy": acc, "good": GOOD}
-
-
-def weight(accuracy: float, vote: str) -> float:
-    """What a vote adds to the log odds of being good; an abstention says nothing."""
-    return {"+": 1, "-": -1, "0": 0}[vote] * math.log(accuracy / (1 - accuracy))
+def fit(patterns: dict[str, int], rounds: int = 200) -> dict:
+    """Expectation maximisation: the share of good documents, each rule's vote rates for good and bad ones, and its accuracy: how often it is right when it votes."""
+    import numpy as np
 
-
-def posterior(pattern: str, acc: list[float], share: float) -> float:
-    x = math.log(share / (1 - share)) + sum(weight(a, v) for a, v in zip(acc, pattern, strict=True))
-    return 1 / (1 + math.exp(-x))
+    rules, keys = len(RULES), sorted(patterns)
+    n = np.array([patterns[k] for k in keys], float)
+    cast = np.array([[[v == w for w in VOTES] for v in k] for k in keys], float).reshape(len(keys), rules, 3)
+    before = np.array([[BEFORE[c]] * rules for c in ("good", "bad")])
+    share, rates = GOOD, before
+    for _ in range(rounds):
+        log = np.log([share, 1 - share])[:, None] + np.einsum("prv,crv->cp", cast, np.log(rates))
+        q = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
+        weight = np.stack([n * q, n * (1 - q)])
+        counts = np.einsum("cp,prv->crv", weight, cast) + PRIOR * before
+        share, rates = (weight[0].sum() + PRIOR * GOOD) / (n.sum() + PRIOR), counts / counts.sum(2, keepdims=True)
+    right, voted = share * rates[0, :, 0] + (1 - share) * rates[1, :, 1], share * rates[0, :, :2].sum(1) + (1 - share) * rates[1, :, :2].sum(1)
+    return {"good": float(share), "rates": rates, "accuracy": (right / voted).tolist()}
 
 
 def log_odds(model: dict) -> Column:
     """The log odds of being good, of the votes."""
     x = F.lit(math.log(model["good"] / (1 - model["good"])))
-    for i, a in enumerate(model["accuracy"]):
-        v = F.substring("votes", i + 1, 1)
-        x = x + F.when(v == "+", weight(a, "+")).when(v == "-", weight(a, "-")).otherwise(0.0)
+    for i in range(len(RULES)):
+        v, (good, bad) = F.substring("votes", i + 1, 1), model["rates"][:, i]
+        says = [float(math.log(g / b)) for g, b in zip(good, bad, strict=True)]
+        x = x + F.when(v == "+", says[0]).when(v == "-", says[1]).otherwise(says[2])
     return x
 
 
+def with_verdict(m: DataFrame) -> DataFrame:
+    """Adds posterior and kept to written rows with votes."""
+    patterns = {r["votes"]: r["count"] for r in m.where(~F.col("base_failed")).groupBy("votes").count().collect()}  # 3^rules rows at most
+    return m.withColumn("posterior", 1 / (1 + F.exp(-log_odds(fit(patterns))))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Metrics with posterior and kept. The metrics are written once; both the fit and the verdicts read them."""
-    m = cut(votes(metrics(docs)))
-    patterns = {r["votes"]: r["count"] for r in m.where(~F.col("base_failed")).groupBy("votes").count().collect()}  # 3^rules rows at most
-    model = fit(patterns)
-    return m.withColumn("posterior", 1 / (1 + F.exp(-log_odds(model)))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    return with_verdict(cut(votes(metrics(docs))))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -147,10 +150,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The kept rows with all their columns, by the verdicts' model applied in place, so no text is shuffled."""
-    m = votes(metrics(docs.select("doc_id", "text")))
-    patterns = {r["votes"]: r["count"] for r in m.where(~F.col("base_failed")).groupBy("votes").count().collect()}  # 3^rules rows at most
-    model = fit(patterns)
+    """The kept rows with all their columns. The rows are written once with their votes, so no text is counted twice or shuffled."""
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("doc_id")
-    verdict = votes(metrics(docs.select(own, "text")))
-    return verdict.where(~F.col("base_failed") & (log_odds(model) >= 0)).select("doc_id.*")
+    rows = cut(votes(metrics(docs.select(own, "text"))).select("doc_id", "base_failed", "votes"))
+    return with_verdict(rows).where("kept").select("doc_id.*")

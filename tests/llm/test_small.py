@@ -191,8 +191,55 @@ def test_quality_verdicts(spark):
     kept = {r.doc_id for r in quality_rules.quality(df).where("kept").collect()}
     assert kept == set(range(40)) and {r.doc_id for r in quality_rules.filter_documents(wide(df)).collect()} == kept
     assert quality_rules.filter_documents(wide(df)).columns == wide(df).columns
-    model = quality_rules.fit({"--" + "0" * 7: 30, "-" + "0" * 8: 5, "0" * 9: 500})
-    assert model["accuracy"][1] > 0.9 and 0.5 < model["accuracy"][2] <= 0.9
+    one = docs(spark, [good[0]] * 5)
+    assert len({r.posterior for r in quality_rules.quality(one).collect()}) == 1 and quality_rules.quality(one).where("kept").count() == 5
+
+
+def brute_em(votes, rounds=200):
+    """Document by document, in plain loops."""
+    import math
+
+    rules = range(len(votes[0]))
+    share, rates = quality_rules.GOOD, {c: [dict(zip("+-0", p, strict=True)) for _ in rules] for c, p in quality_rules.BEFORE.items()}
+    for _ in range(rounds + 1):
+        q = []
+        for v in votes:
+            g, b = (math.prod([x, *(rates[c][i][v[i]] for i in rules)]) for c, x in (("good", share), ("bad", 1 - share)))
+            q.append(g / (g + b))
+        weight = {"good": q, "bad": [1 - x for x in q]}
+        share = (sum(q) + quality_rules.PRIOR * quality_rules.GOOD) / (len(votes) + quality_rules.PRIOR)
+        for c, w in weight.items():
+            for i in rules:
+                n = {x: quality_rules.PRIOR * p + sum(wk for wk, v in zip(w, votes, strict=True) if v[i] == x) for x, p in zip("+-0", quality_rules.BEFORE[c], strict=True)}
+                rates[c][i] = {x: k / sum(n.values()) for x, k in n.items()}
+    return q
+
+
+def test_quality_em_against_brute_force_and_single_rejections(spark):
+    votes = ["+++++++++"] * 300 + ["--+++++++"] * 20 + ["---++-+++"] * 15 + ["+++++++-+"] * 9 + ["++-+++0++"] * 4 + ["-++++++++"]
+    rows = spark.createDataFrame([(i, v, False) for i, v in enumerate(votes)], "doc_id long, votes string, base_failed boolean")
+    got = [r.posterior for r in quality_rules.with_verdict(rows).orderBy("doc_id").collect()]
+    assert got == pytest.approx(brute_em(votes), abs=1e-9)
+    kept = {v: g >= 0.5 for v, g in zip(votes, got, strict=True)}
+    assert kept["+++++++-+"] and not kept["--+++++++"] and not kept["---++-+++"]
+    model = quality_rules.fit(Counter(votes))
+    assert all(0.5 < a <= 1 for a in model["accuracy"]) and model["accuracy"][0] > 0.95
+
+
+def test_quality_base_by_sql_and_long_texts(spark, tmp_path):
+    import duckdb
+
+    texts = [*TEXTS, "w1 w2 w3 w4 w5 w6 w7 w8 x " + "w1 w2 w3 w4 w5 w6 w7 w8 y z " * 3, " ".join(f"n{i}" for i in range(20_000)), "same words again \n" * 7000]
+    df = docs(spark, texts)
+    df.write.parquet(f"{tmp_path}/d")
+    sql = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM '{tmp_path}/d/*.parquet'),
+     p AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM d, unnest(range(1, len(w) - 6)) AS r(i)), q AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+     n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM q, range(8) AS r(k) GROUP BY doc_id), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d), m AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE regexp_matches(l, '[^ \t-\r]') GROUP BY doc_id)
+     SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(m.n, 0) AS n_dup_lines, coalesce(n.n, 0) AS n_repeat_words,
+     len(w) < 20 OR 100 * coalesce(n.n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) ORDER BY doc_id"""
+    want = duckdb.sql(sql).fetchall()
+    got = quality_rules.quality(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
 
 
 # -- line dedup
