@@ -118,7 +118,7 @@ class PieceBpe:
         normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in normal}
         self.lib = sp
-        self.longest = max(map(len, self.score))
+        self.ends = {p[i:] for p in self.score for i in range(len(p))}
         self.seen: dict = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -150,19 +150,29 @@ class PieceBpe:
             found = self.seen[t] = self.merge(list(t)) == [t]
         return found
 
-    def prefix_counts(self, unit: str) -> list[int]:
-        """Item i: the tokens of the first i characters. Characters outside the vocabulary count as their UTF-8 bytes."""
-        score, longest, fits = self.score, self.longest, self.fits
-        last, count = [""], [0]
-        for i in range(1, len(unit) + 1):
-            for j in range(max(0, i - longest), i):
-                t = unit[j:i]
-                if t in score and (fits(last[j], t) if j else self.own(t)):
-                    last.append(t)
-                    count.append(count[j] + 1)
-                    break
-            else:  # bytes
-                c = unit[i - 1]
-                last.append(c)
-                count.append(count[i - 1] + len(c.encode("utf-8", "replace")))
-        return count
+    def prefix_counts(self, units: list[str]):
+        """Of sorted distinct units, one after the other: item i is the tokens of the first i characters. A unit starts from the states of the prefix that it shares with the one before. Characters outside the vocabulary count as their UTF-8 bytes."""
+        score, ends, fits, seen = self.score, self.ends, self.fits, self.seen
+        last, count, before = [""], [0], ""
+        for unit in units:
+            k, most = 0, min(len(unit), len(before))
+            while k < most and unit[k] == before[k]:
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            for i in range(k + 1, len(unit) + 1):
+                for j in range(i - 1, -1, -1):  # from the shortest; just one fits
+                    t = unit[j:i]
+                    if t in score:
+                        ok = seen.get((last[j], t)) if j else self.own(t)
+                        if ok if ok is not None else fits(last[j], t):
+                            last.append(t)
+                            count.append(count[j] + 1)
+                            break
+                    elif t not in ends:
+                        break
+                if len(last) == i:  # bytes
+                    c = unit[i - 1]
+                    last.append(c)
+                    count.append(count[i - 1] + len(c.encode("utf-8", "replace")))
+            before = unit
+            yield count

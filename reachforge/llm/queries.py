@@ -78,16 +78,18 @@ def chat_sql(t: chat_format.Template) -> str:
  regexp_full_match(string_agg(role, ',' {order}), '(system,)?user(,assistant,user)*(,assistant)?') AS valid FROM c GROUP BY conv_id"""
 
 
+#: Not by windows, as the operator has it, but by maximal matches: equal lines of two places side by side on a diagonal.
 LINES_SQL = rf"""WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
- l AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM a), k AS (SELECT *, row_number() OVER d AS k, sum(w) OVER d AS p FROM l WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
- x AS (SELECT u.doc_id, u.k AS s, v.k AS e FROM k u JOIN k v ON u.doc_id = v.doc_id AND v.k BETWEEN u.k AND u.k + {line_dedup.MIN_WORDS} AND v.p - u.p + u.w >= {line_dedup.MIN_WORDS}),
- r AS (SELECT doc_id, s, min(e) AS e FROM x GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM x GROUP BY doc_id, e),
- n AS (SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY k.k) AS body FROM r JOIN k ON k.doc_id = r.doc_id AND k.k BETWEEN s AND e GROUP BY ALL),
- f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS c FROM n), g AS (SELECT DISTINCT k.doc_id, k.i FROM f JOIN k ON k.doc_id = f.doc_id AND k.k BETWEEN s AND e WHERE c > 1)
+ l AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE w > 0),
+ m AS (SELECT x.doc_id AS a, x.k AS i, y.doc_id AS b, y.k AS j, y.w FROM k x JOIN k y ON x.line = y.line AND (x.doc_id < y.doc_id OR x.doc_id = y.doc_id AND x.k < y.k)),
+ n AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, j - i ORDER BY i) AS island FROM m), r AS (SELECT b, min(j) AS s, max(j) AS e FROM n GROUP BY a, b, j - i, island HAVING sum(w) >= {line_dedup.MIN_WORDS}),
+ g AS (SELECT DISTINCT k.doc_id, k.i FROM (SELECT DISTINCT b, s, e FROM r) r JOIN k ON k.doc_id = r.b AND k.k BETWEEN s AND e)
  SELECT l.doc_id, CASE WHEN count(g.i) > 0 AND count(g.i) = count(*) FILTER (w > 0) THEN '' ELSE coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') END AS text, count(*) FILTER (w > 0) AS n_lines, count(g.i) AS n_deleted
  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id"""
 
-JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
  g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
  e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -111,10 +111,15 @@ def test_token_counts_and_every_prefix(spark):
         n = len(sp.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 40)
         assert len(sp.encode((t or "")[: got[i].fit_chars])) <= 40
-    pc = token_counts.PrefixCounts(P.path("piece_bpe_32k.model"))
-    for t in ["", " ", "a", "Hello there,  world\nnew 日本 😀", "ing thththe"]:
+        if got[i].fit_chars < len(t or ""):
+            assert all(len(sp.encode(t[:k])) > 40 for k in range(got[i].fit_chars + 1, min(len(t), got[i].fit_chars + 30)))
+    pc = token_counts.PrefixCounts(P.path("piece_bpe_32k.model"), kept=5)
+    for t in ["", " ", "a", "  ", " ▁a  b▁ ", "x" * 300, "Hello there,  world\nnew 日本 😀", "ing thththe"]:
         assert pc.at(t) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
     assert token_counts.token_counts(docs(spark, [])).count() == 0
+    long = ["abcdefghij" * 5000, "日本" * 3000]
+    got = token_counts.token_counts(docs(spark, long)).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(sp.encode(t)) for t in long]
 
 
 @settings(max_examples=150, deadline=None)
@@ -246,18 +251,13 @@ def test_quality_base_by_sql_and_long_texts(spark, tmp_path):
 
 
 def brute_lines(rows, least):
+    """By all runs of at least so many words, not the shortest ones only."""
     seen, runs, gone = {}, [], {}
     for key in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         ls = [x for x in (key[1] or "").split("\n") if words(x)]
-        found = set()
-        for i in range(len(ls)):
-            for ends in (range(i + 1, len(ls) + 1), range(i, -1, -1)):
-                for e in ends:
-                    a, b = (i, e) if e > i else (e, i + 1)
-                    if sum(len(words(x)) for x in ls[a:b]) >= least:
-                        found.add((a, b))
-                        break
-        for a, b in sorted(found):
+        size = [len(words(x)) for x in ls]
+        found = [(i, e) for i in range(len(ls)) for e in range(i + 1, len(ls) + 1) if sum(size[i:e]) >= least]
+        for a, b in found:
             seen.setdefault(tuple(ls[a:b]), (key, a))
             runs.append((key, a, b, tuple(ls[a:b])))
     for key, a, b, k in runs:
