@@ -12,8 +12,9 @@ Lists of up to HOT classes give their pairs; of these stay those that the n-gram
 where they are very long, give only (list, set). Then every set is compared to the leader of each long list it is in, and to the
 first of the sets it is paired with, and what links to a leader is one component. So a group of copies costs a comparison a copy
 and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair, and long
-lists that still hold several components by pairs of blocks in memory. A comparison streams sets, sorted by leader, past the one set of
-that leader. Links are compared on whole sets of 64-bit n-gram hashes.
+lists that still hold several components by pairs of blocks in memory. Before any comparison of sets stands one of their parity bits:
+each set has BITS of them, each n-gram flips one, so sets differ in at least as many n-grams as in bits, and no similar pair is lost.
+A comparison streams sets, sorted by leader, past the one set of that leader. Links are compared on whole sets of 64-bit n-gram hashes.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; fewer words than n give
 one n-gram of them all; rows without doc_id take part, but an id of a component is the smallest that is not null (null if none is);
@@ -41,15 +42,17 @@ SUBSET = 2
 #: What counting a pair of a scanned list costs, against shuffling an entry or a subset.
 PAIR_COST = 1 / 16
 #: Classes in a list that gives its pairs one by one.
-HOT = 48
+HOT = 8
+#: Parity bits of a set, in 64-bit words.
+BIT_WORDS = 16
 #: Excess entries of a bucket for each further salt.
 SALTED = 20_000
 #: Pairs and entries of long lists that a scanning worker holds.
 HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
 #: Sets compared to one leader in a task.
 LED = 5_000
-#: Bounds of a block: sets, and n-grams over them.
-BLOCK_SETS, BLOCK_GRAMS = 1000, 2_000_000
+#: Bounds of a block: sets, and n-grams over them; and sets where only bits are compared.
+BLOCK_SETS, BLOCK_GRAMS, BIT_BLOCK = 1000, 2_000_000, 4000
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -124,6 +127,14 @@ class Grams:
         return out
 
 
+def parity_bits(grams):
+    """BIT_WORDS words: a bit is set where an odd number of n-grams falls on it."""
+    import numpy as np
+
+    places = (grams >> np.uint64(40)) % np.uint64(64 * BIT_WORDS)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=64 * BIT_WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_id(grams) -> bytes | None:
     from hashlib import blake2b
 
@@ -215,11 +226,12 @@ class Join:
         self.docs, self.n, self.sim = docs.select(F.col("doc_id").cast("long"), "text"), n, Similarity(percent)
         first = cut(self._members())
         self.members = first.where("piece IS NULL").select("doc_id", "n", "sid", "a", "b")
-        self.classes = self.members.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first"))
+        whole = first.where("sid IS NOT NULL").groupBy("sid")
+        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
         self._order(first.where("piece IS NOT NULL").select("piece", "counts"))
 
     def _order(self, pieces: DataFrame) -> None:
-        """pieces (piece, counts): parts of tables, which are summed up in PIECES * PIECES groups; so many sums reach the driver at most."""
+        """pieces (piece, counts): parts of tables, which are summed up in two steps; PIECES sums reach the driver."""
         import numpy as np
 
         def summed(table):
@@ -229,9 +241,9 @@ class Join:
             return pa.table({"piece": table["piece"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
         table = np.zeros((PIECES, BUCKETS // PIECES), np.int64)
-        sums = pieces.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(PIECES))).groupBy("piece", "part").applyInArrow(summed, "piece int, counts binary")
-        for piece, counts in sums.collect():
-            table[piece] += np.frombuffer(counts, np.int64)
+        some = pieces.groupBy("piece", F.pmod(F.xxhash64("counts"), F.lit(256))).applyInArrow(summed, "piece int, counts binary")
+        for piece, counts in some.groupBy("piece").applyInArrow(summed, "piece int, counts binary").collect():
+            table[piece] = np.frombuffer(counts, np.int64)
         table = table.reshape(-1)
         self.salts = 1 + np.maximum(0, table - 2 * int(np.median(table))) // SALTED
         self.table = table.astype(np.float32)
@@ -240,7 +252,7 @@ class Join:
         self.border = self.sim.border(self.length)
 
     def _members(self) -> DataFrame:
-        """(doc_id, size, set id, content hashes a and b) of all rows, and from each task the counts of its buckets (piece, counts)."""
+        """(doc_id, size, set id, content hashes a and b, parity bits) of all rows, and from each task the counts of its buckets (piece, counts)."""
         n = self.n
 
         def run(batches):
@@ -248,19 +260,20 @@ class Join:
             import pyarrow as pa
 
             grams, counts = Grams(n), np.zeros(BUCKETS, np.int64)
-            names = ["doc_id", "n", "sid", "a", "b", "piece", "counts"]
+            names = ["doc_id", "n", "sid", "a", "b", "bits", "piece", "counts"]
             for batch in batches:
                 at = 0
                 for ids, texts in texts_of(batch):
                     sets = grams.sets(texts)
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    bits = pa.ListArray.from_arrays(pa.array(range(0, BIT_WORDS * (len(sets) + 1), BIT_WORDS), pa.int32()), pa.array(np.concatenate([parity_bits(s) for s in sets])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], bits, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
                     at += len(ids)
             if counts.any():
                 none = [pa.nulls(PIECES, pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
 
-        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, piece int, counts binary")
+        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, bits array<long>, piece int, counts binary")
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
@@ -402,22 +415,58 @@ class Join:
         hot = cut(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct())
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w")))
         first = both.groupBy("u").agg(F.min("w").alias("w")).where("w < u").select(F.col("w").alias("a"), F.col("u").alias("b"))
-        done = cut(self.compared(first.unionByName(self.led(hot, 0)).distinct()))
+        done = cut(self.compared(self.near(first.unionByName(self.led(hot, 0)).distinct())))
         label = cut(components(done.where("alike").select("a", "b")))
-        pairs = cut(self.apart(pairs, label).join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        hot = cut(self.unsettled(hot, label))
+        pairs = self.near(self.apart(pairs, label).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        hot = cut(self.flagged(cut(self.unsettled(hot, label)), label))
         found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
-        if not pairs.isEmpty() or not hot.isEmpty():
-            more = cut(self.compared(pairs.unionByName(self.led(hot, 1)).distinct()).where("alike").select("a", "b"))
-            found = found.unionByName(more)
+        left = cut(pairs.unionByName(self.near(self.led(hot, 1))).distinct())
+        if not left.isEmpty():
+            found = found.unionByName(cut(self.compared(left).where("alike").select("a", "b")))
             label = cut(components(found))
             hot = cut(self.unsettled(hot.select("sig", "sid", "n"), label))
             found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
         if not hot.isEmpty():
-            blocks = cut(self.blocks(hot))
+            blocks = cut(self.blocks(hot, BLOCK_SETS, BLOCK_GRAMS))
             found = found.unionByName(self.met(blocks.join(self.sets(blocks.select("sid").distinct()), "sid")))
         return found
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and parity bits leave them a chance."""
+        of = lambda c: self.classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+        differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("na") + F.col("nb")
+        most = F.least(F.col("na"), F.col("nb"), F.floor((total - differ) / 2))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= self.sim.percent * (total - most)).select("a", "b")
+
+    def flagged(self, hot: DataFrame, label: DataFrame) -> DataFrame:
+        """The entries of unsettled lists whose parity bits are near those of a set of another component; of lists that then have several components still."""
+        percent = self.sim.percent
+
+        def run(table):
+            import numpy as np
+            import pyarrow as pa
+
+            label = np.unique(table["c"].to_pylist(), return_inverse=True)[1]
+            own, block, n = (table[c].to_numpy() for c in ("own", "block", "n"))
+            m, low, i, j = len(own), table["bin"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
+            words = table["bits"].combine_chunks().flatten().to_numpy().reshape(m, -1)
+            x = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32)
+            ones, hit = x.sum(1), np.zeros(m, bool)
+            for at in range(0, m, 500):
+                rows = slice(at, at + 500)
+                total = n[rows, None] + n[None, :]
+                most = np.minimum(np.minimum(n[rows, None], n[None, :]), (total - (ones[rows, None] + ones[None, :] - 2 * (x[rows] @ x.T))) // 2)
+                like = (100 * most >= percent * (total - most)) & (label[rows, None] != label[None, :]) & ((own[rows, None] == low) | (own[None, :] == low))
+                if i != j:
+                    like &= block[rows, None] != block[None, :]
+                hit[rows] |= like.any(1)
+            return pa.table({"sid": table["sid"].filter(pa.array(hit))})
+
+        rows = self.blocks(hot, BIT_BLOCK, None).join(self.classes.select("sid", "bits", F.col("n")), "sid")
+        near = rows.groupBy("g", "bin", "i", "j").applyInArrow(run, "sid binary").distinct()
+        return self.unsettled(hot.select("sig", "sid", "n").join(near, "sid", "left_semi").select("sig", "sid", "n"), label)
+
     def led(self, hot: DataFrame, seed: int) -> DataFrame:
         """(a, b): the leader of each long list, another one for each seed, and the sets of the list that are near it in size."""
         rank = F.struct(F.xxhash64(F.lit(seed), "sid"), "sid", "n")
@@ -480,7 +529,7 @@ class Join:
         rows = asked.join(self.sets(asked.select("sid").distinct()), "sid").select("a", "salt", "led", "sid", "grams")
         return rows.repartition(self._tasks(), "a", "salt").sortWithinPartitions("a", "salt", "led").mapInArrow(run, "a binary, b binary, alike boolean")
 
-    def blocks(self, hot: DataFrame) -> DataFrame:
+    def blocks(self, hot: DataFrame, sets: int, grams: int | None) -> DataFrame:
         """(g, bin, i, j, own, block, sid, c): in which pairs of blocks each set of these lists is compared. Sets that share a list are in one group."""
         node = lambda c: F.xxhash64(c)  # noqa: E731  a clash joins two groups, which costs time only
         group = components(hot.select(node("sid").alias("a"), F.col("sig").alias("b")))
@@ -488,7 +537,7 @@ class Join:
         # similar sets are in the same bin or in neighbouring ones, and meet in the lower one
         own = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * log(100 / self.sim.percent))).cast("int")
         binned = one.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-        count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+        count = F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("n") / grams) if grams else F.lit(1)).cast("int")
         sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first"), F.min("c").alias("low"), F.max("c").alias("high")), ["g", "bin"]).where("first = bin AND low != high")
         block = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
         with_block = sized.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
