@@ -11,10 +11,11 @@ gives. The order puts n-grams of rare hash buckets first; the bucket counts of a
 Lists of up to HOT classes give their pairs; of these stay those that the n-grams seen in common leave a chance. Longer lists, salted
 where they are very long, give only (list, set). Then every set is compared to the leader of each long list it is in, and to the
 first of the sets it is paired with, and what links to a leader is one component. So a group of copies costs a comparison a copy
-and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair, and long
-lists that still hold several components by pairs of blocks in memory. Before any comparison of sets stands one of their parity bits:
-each set has BITS of them, each n-gram flips one, so sets differ in at least as many n-grams as in bits, and no similar pair is lost.
-A comparison streams sets, sorted by leader, past the one set of that leader. Links are compared on whole sets of 64-bit n-gram hashes.
+and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair. In a long list
+that still holds several components, one pair of each two components is compared, then all that are left of those that stay apart.
+Before any comparison of sets stands one of their parity bits: each n-gram flips one bit of its set, so two sets differ in at least
+as many n-grams as bits, and no similar pair is lost. Long lists are compared in blocks of bits in memory; sets stream, sorted by leader,
+past the one set of that leader. Links are compared on whole sets of 64-bit n-gram hashes.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; fewer words than n give
 one n-gram of them all; rows without doc_id take part, but an id of a component is the smallest that is not null (null if none is);
@@ -25,7 +26,7 @@ set is held in memory at a time with a batch of rows.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +52,8 @@ SALTED = 20_000
 HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
 #: Sets compared to one leader in a task.
 LED = 5_000
-#: Bounds of a block: sets, and n-grams over them; and sets where only bits are compared.
-BLOCK_SETS, BLOCK_GRAMS, BIT_BLOCK = 1000, 2_000_000, 4000
+#: Sets of a block of a long list.
+BLOCK_SETS = 4000
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -404,32 +405,38 @@ class Join:
 
         return self.docs.mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
 
-    def links(self) -> DataFrame:
-        """(a, b) of set ids: links that connect all that is connected."""
+    def labels(self) -> DataFrame:
+        """(v, c): the component of each set with a link, as its least set id."""
         sim, scanned = self.sim, cut(self.scanned())
         need = F.ceil(F.lit(sim.percent) * (F.col("na") + F.col("nb")) / (100 + sim.percent))
         # what of a set does not count in lists, as sim.seen has it
         rest = lambda n: F.col(n) - F.floor((2 * F.col(n) - need + 3 - F.ceil(F.lit(sim.percent) * F.col(n) / 100)) / 2)
         pairs = scanned.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        pairs = cut(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b"))
+        pairs = cut(self.near(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")))
         hot = cut(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct())
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w")))
         first = both.groupBy("u").agg(F.min("w").alias("w")).where("w < u").select(F.col("w").alias("a"), F.col("u").alias("b"))
-        done = cut(self.compared(self.near(first.unionByName(self.led(hot, 0)).distinct())))
-        label = cut(components(done.where("alike").select("a", "b")))
-        pairs = self.near(self.apart(pairs, label).join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        hot = cut(self.flagged(cut(self.unsettled(hot, label)), label))
-        found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
-        left = cut(pairs.unionByName(self.near(self.led(hot, 1))).distinct())
-        if not left.isEmpty():
-            found = found.unionByName(cut(self.compared(left).where("alike").select("a", "b")))
-            label = cut(components(found))
+        done = cut(self.compared(cut(first.unionByName(self.near(self.led(hot))).distinct())))
+        label = self.joined(done)
+        hot = cut(self.unsettled(hot, label))
+        new = self.apart(pairs, label).unionByName(self.crossed(hot, True))
+        for every in (False, None):  # then all pairs of long lists, then none are left
+            new = cut(new.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            if new.isEmpty():
+                break
+            found = cut(self.compared(new))
+            label, done = self.joined(found, label), done.unionByName(found)
+            if every is None:
+                break
             hot = cut(self.unsettled(hot.select("sig", "sid", "n"), label))
-            found = label.select(F.col("v").alias("a"), F.col("c").alias("b"))
-        if not hot.isEmpty():
-            blocks = cut(self.blocks(hot, BLOCK_SETS, BLOCK_GRAMS))
-            found = found.unionByName(self.met(blocks.join(self.sets(blocks.select("sid").distinct()), "sid")))
-        return found
+            new = self.crossed(hot, every)
+        return label
+
+    @staticmethod
+    def joined(compared: DataFrame, label: DataFrame | None = None) -> DataFrame:
+        """The components after these comparisons."""
+        edges = compared.where("alike").select("a", "b")
+        return cut(components(edges if label is None else edges.unionByName(label.select(F.col("v").alias("a"), F.col("c").alias("b")))))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and parity bits leave them a chance."""
@@ -439,40 +446,66 @@ class Join:
         most = F.least(F.col("na"), F.col("nb"), F.floor((total - differ) / 2))
         return pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= self.sim.percent * (total - most)).select("a", "b")
 
-    def flagged(self, hot: DataFrame, label: DataFrame) -> DataFrame:
-        """The entries of unsettled lists whose parity bits are near those of a set of another component; of lists that then have several components still."""
+    def crossed(self, hot: DataFrame, once: bool) -> DataFrame:
+        """(a, b): the pairs of different components in long lists that parity bits leave a chance; once: of each two components only one in each block."""
         percent = self.sim.percent
 
-        def run(table):
+        def pairs_of(rows: list):
+            """rows (i, j, block, sid, n, c, bits) of one pair of blocks."""
             import numpy as np
-            import pyarrow as pa
 
-            label = np.unique(table["c"].to_pylist(), return_inverse=True)[1]
-            own, block, n = (table[c].to_numpy() for c in ("own", "block", "n"))
-            m, low, i, j = len(own), table["bin"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-            words = table["bits"].combine_chunks().flatten().to_numpy().reshape(m, -1)
-            x = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32)
-            ones, hit = x.sum(1), np.zeros(m, bool)
-            for at in range(0, m, 500):
-                rows = slice(at, at + 500)
-                total = n[rows, None] + n[None, :]
-                most = np.minimum(np.minimum(n[rows, None], n[None, :]), (total - (ones[rows, None] + ones[None, :] - 2 * (x[rows] @ x.T))) // 2)
-                like = (100 * most >= percent * (total - most)) & (label[rows, None] != label[None, :]) & ((own[rows, None] == low) | (own[None, :] == low))
+            i, j = rows[0][:2]
+            block, n = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
+            label = np.unique(np.array([r[5] for r in rows], object), return_inverse=True)[1]
+            x = np.unpackbits(np.array([r[6] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32)
+            ones, seen = x.sum(1), set()
+            for at in range(0, len(rows), 500):
+                part = slice(at, at + 500)
+                total = n[part, None] + n[None, :]
+                most = np.minimum(np.minimum(n[part, None], n[None, :]), (total - (ones[part, None] + ones[None, :] - 2 * (x[part] @ x.T))) // 2)
+                like = (100 * most >= percent * (total - most)) & (label[part, None] < label[None, :])
                 if i != j:
-                    like &= block[rows, None] != block[None, :]
-                hit[rows] |= like.any(1)
-            return pa.table({"sid": table["sid"].filter(pa.array(hit))})
+                    like &= block[part, None] != block[None, :]
+                for a, b in zip(*(k.tolist() for k in np.nonzero(like)), strict=True):
+                    a += at
+                    if not once or (label[a], label[b]) not in seen:
+                        seen.add((label[a], label[b]))
+                        yield tuple(sorted((rows[a][3], rows[b][3])))
 
-        rows = self.blocks(hot, BIT_BLOCK, None).join(self.classes.select("sid", "bits", F.col("n")), "sid")
-        near = rows.groupBy("g", "bin", "i", "j").applyInArrow(run, "sid binary").distinct()
-        return self.unsettled(hot.select("sig", "sid", "n").join(near, "sid", "left_semi").select("sig", "sid", "n"), label)
+        def run(batches):
+            import pyarrow as pa
+
+            def packed(found):
+                return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    def led(self, hot: DataFrame, seed: int) -> DataFrame:
-        """(a, b): the leader of each long list, another one for each seed, and the sets of the list that are near it in size."""
-        rank = F.struct(F.xxhash64(F.lit(seed), "sid"), "sid", "n")
-        leader = hot.groupBy("sig").agg(F.min(rank).alias("of"))
-        near = hot.join(leader, "sig").where((F.col("sid") != F.col("of.sid")) & (100 * F.least("n", "of.n") >= self.sim.percent * F.greatest("n", "of.n")))
-        return near.select(F.col("of.sid").alias("a"), F.col("sid").alias("b")).distinct()
+            key, rows, found = None, [], set()
+            for batch in batches:
+                for sig, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (sig, *row[:2]) != key:
+                        for pair in pairs_of(rows) if rows else ():
+                            found.add(pair)
+                            if len(found) > HELD_PAIRS:
+                                yield packed(list(found))
+                                found.clear()
+                        key, rows = (sig, *row[:2]), []
+                    rows.append(row)
+            for pair in pairs_of(rows) if rows else ():
+                found.add(pair)
+                if len(found) > HELD_PAIRS:
+                    yield packed(list(found))
+                    found.clear()
+            yield packed(list(found))
+
+        known = hot.join(self.classes.select("sid", "bits"), "sid")
+        count = hot.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("k"))
+        dealt = known.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        rows = dealt.select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "c", "bits")
+        return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary")
+
+    def led(self, hot: DataFrame) -> DataFrame:
+        """(a, b): the leader of each long list, and the other sets of the list."""
+        leader = hot.groupBy("sig").agg(F.min("sid").alias("a"))
+        return hot.join(leader, "sig").where("sid != a").select("a", F.col("sid").alias("b")).distinct()
 
     @staticmethod
     def labelled(rows: DataFrame, label: DataFrame, of: str, name: str) -> DataFrame:
@@ -529,63 +562,9 @@ class Join:
         rows = asked.join(self.sets(asked.select("sid").distinct()), "sid").select("a", "salt", "led", "sid", "grams")
         return rows.repartition(self._tasks(), "a", "salt").sortWithinPartitions("a", "salt", "led").mapInArrow(run, "a binary, b binary, alike boolean")
 
-    def blocks(self, hot: DataFrame, sets: int, grams: int | None) -> DataFrame:
-        """(g, bin, i, j, own, block, sid, c): in which pairs of blocks each set of these lists is compared. Sets that share a list are in one group."""
-        node = lambda c: F.xxhash64(c)  # noqa: E731  a clash joins two groups, which costs time only
-        group = components(hot.select(node("sid").alias("a"), F.col("sig").alias("b")))
-        one = hot.select("sid", "n", "c").distinct().join(group.select("v", F.col("c").alias("g")), node("sid") == F.col("v")).select("sid", "n", "c", "g")
-        # similar sets are in the same bin or in neighbouring ones, and meet in the lower one
-        own = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * log(100 / self.sim.percent))).cast("int")
-        binned = one.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-        count = F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("n") / grams) if grams else F.lit(1)).cast("int")
-        sized = binned.join(binned.groupBy("g", "bin").agg(count.alias("k"), F.min("own").alias("first"), F.min("c").alias("low"), F.max("c").alias("high")), ["g", "bin"]).where("first = bin AND low != high")
-        block = F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")
-        with_block = sized.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        return with_block.select("g", "bin", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "own", "block", "sid", "c")
-
-    def met(self, rows: DataFrame) -> DataFrame:
-        """(a, b): links between components that the pairs of blocks show."""
-        percent = self.sim.percent
-
-        def run(table):
-            import numpy as np
-            import pyarrow as pa
-
-            label = np.unique(table["c"].to_pylist(), return_inverse=True)[1]
-            sids, own, block = table["sid"].to_pylist(), table["own"].to_numpy(), table["block"].to_numpy()
-            grams = table["grams"].combine_chunks()
-            size = np.diff(grams.offsets.to_numpy())
-            flat = grams.flatten().to_numpy()
-            m, low, i, j = len(sids), table["bin"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-            _, item, count = np.unique(flat, return_inverse=True, return_counts=True)
-            who = np.repeat(np.arange(m), size)
-            dense = np.cumsum(count > 1) - 1
-            keep = count[item] > 1
-            item, who = dense[item[keep]], who[keep]
-            order = np.argsort(item, kind="stable")
-            item, who = item[order], who[order]
-            shared = np.zeros((m, m), np.float32)
-            for at in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
-                a, b = np.searchsorted(item, [at, at + 4096])
-                x = np.zeros((m, 4096), np.float32)
-                x[who[a:b], item[a:b] - at] = 1
-                shared += x @ x.T
-            like = (shared > 0) & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
-            like &= (own[:, None] == low) | (own[None, :] == low)
-            if i != j:
-                like &= block[:, None] != block[None, :]
-            like &= label[:, None] != label[None, :]
-            # one link for each two components is enough
-            x, y = np.nonzero(np.triu(like))
-            which = np.unique(np.minimum(label[x], label[y]) * m + np.maximum(label[x], label[y]), return_index=True)[1]
-            out = [(sids[x[k]], sids[y[k]]) for k in which]
-            return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
-
-        return rows.groupBy("g", "bin", "i", "j").applyInArrow(run, "a binary, b binary")
-
     def report(self) -> DataFrame:
         """Per row: doc_id, n_shingles, component_id."""
-        joined = components(self.links())
+        joined = self.labels()
         linked = joined.join(self.classes, F.col("v") == F.col("sid")).select("sid", "c", "least")
         smallest = linked.groupBy("c").agg(F.min("least").alias("component_id"))
         of_class = linked.join(smallest, "c").select("sid", "component_id")
@@ -594,10 +573,9 @@ class Join:
         full = self.members.where("sid IS NOT NULL").join(ids, "sid").select("doc_id", size, "component_id")
         return full.unionByName(self.members.where("sid IS NULL").select("doc_id", size, F.col("doc_id").alias("component_id")))
 
-
     def chosen(self) -> DataFrame:
         """(id, a, b): of each component the row with the smallest id, then content; rows without shingles are their own."""
-        label = components(self.links()).select(F.col("v").alias("sid"), "c")
+        label = self.labels().select(F.col("v").alias("sid"), "c")
         of = self.classes.join(label, "sid", "left").groupBy("c", F.when(F.col("c").isNull(), F.col("sid")).alias("own")).agg(F.min("first").alias("first")).select("first.*")
         return of.unionByName(self.members.where("sid IS NULL").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b").distinct())
 

@@ -341,7 +341,6 @@ def near_copies(seed, base=60, copies=14):
 def test_join_against_brute_force(spark, monkeypatch, n, percent, hot, block):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
-    monkeypatch.setattr(ngram_join, "BIT_BLOCK", block)
     texts = near_copies(n)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(wide(docs(spark, texts)), n, percent).collect()}
     assert got == brute_join(list(enumerate(texts)), n, percent)
