@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 
 def date_only(c: Column) -> Column:
-    """The local date at the start of an ISO text, or null."""
+    """The local date of an ISO text, else that of its first 10 characters, else null."""
     s = F.trim(c)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(s, 1, 10).try_cast("date"))
+    first = F.substring(s, 1, 10)
+    return F.when(s.rlike(r"^\d{8}([T ].*)?$"), F.concat_ws("-", F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2)).try_cast("date")).when(first.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), first.try_cast("date"))
 
 
 def month(c: Column) -> Column:
-    return F.date_format(F.substring(F.trim(c), 1, 10).try_cast("date"), "yyyy-MM")
+    """Year and month of the first 10 characters, or null."""
+    first = F.substring(F.trim(c), 1, 10)
+    return F.when(first.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.date_format(first.try_cast("date"), "yyyy-MM"))
 
 
 def window_class(d: Column, start: str, end: str, words: tuple[str, str, str, str] = ("missing", "before", "inside", "after")) -> Column:

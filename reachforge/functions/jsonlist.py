@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMPTY = "CAST(array() AS array<string>)"
+#: Words of literal lists, in JSON.
+LITERALS = {"None": "null", "True": '"True"', "False": '"False"'}
 
 
 def compact(c: Column) -> Column:
@@ -14,9 +16,12 @@ def compact(c: Column) -> Column:
 
 
 def _list(c: Column) -> Column:
-    """The array that the text holds; null if it holds none. 'null' as a whole is an empty list."""
+    """The array that the text holds, as JSON or as a literal list with single quotes, None, True and False; null if it holds none."""
     s = F.trim(c)
-    return F.when(s.startswith("["), F.from_json(s, "array<string>"))
+    literal = s
+    for word, json in LITERALS.items():
+        literal = F.regexp_replace(literal, rf"(?<=[\[,]\s{{0,9}}){word}(?=\s*[,\]])", json)
+    return F.when(s.startswith("["), F.coalesce(F.from_json(s, "array<string>"), F.from_json(F.regexp_replace(literal, r",\s*\]$", "]"), "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})))
 
 
 def _scalar(c: Column) -> Column:

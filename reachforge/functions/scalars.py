@@ -65,16 +65,26 @@ def age_scope(c: Column) -> Column:
 
 
 def platform_category(c: Column, first: str = "facebook", second: str = "instagram") -> Column:
-    """A list with a repeat falls to Other."""
+    """Null where the text is no list; an empty list, or one with a repeat, falls to Other."""
     items = F.transform(parse_strict(c), lambda x: F.lower(x))
     has = lambda p: F.array_contains(items, p)
     n = F.size(items)
-    return F.when(items.isNull() | (n == 0), F.lit(None)).when((n == 2) & has(first) & has(second), "Both").when((n == 1) & has(first), f"{first.capitalize()}-only").when((n == 1) & has(second), f"{second.capitalize()}-only").otherwise("Other")
+    return F.when(items.isNull(), F.lit(None)).when((n == 2) & has(first) & has(second), "Both").when((n == 1) & has(first), f"{first.capitalize()}-only").when((n == 1) & has(second), f"{second.capitalize()}-only").otherwise("Other")
 
 
 def number_text(c: Column) -> Column:
-    """Integers without a point, else 15 significant digits; only at a text edge."""
-    return F.when(c.isNull(), "").when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    """Integers without a point, else 15 significant digits without closing zeros, and with an exponent below 1e-4 or from 1e15 on; only at a text edge."""
+    digits = F.format_string("%.14e", c)
+    power = F.substring_index(digits, "e", -1)
+    bare = lambda s: F.regexp_replace(s, r"\.?0+$", "")
+    plain = bare(F.regexp_extract(digits.try_cast("decimal(38,18)").cast("string"), r"^-?\d+\.\d+$", 0))
+    whole = c.cast("decimal(38,0)").cast("string")
+    return F.when(c.isNull(), "").when(c == F.floor(c), F.coalesce(whole, c.cast("string"))).when(power.cast("int").between(-4, 14), plain).otherwise(F.concat(bare(F.substring_index(digits, "e", 1)), F.lit("e"), power))
+
+
+def share_with_unknown(n: Column, known: Column, unknown: Column) -> Column:
+    """A share whose denominator counts the unknown too; a missing unknown counts as none."""
+    return ratio(n, known + F.coalesce(unknown, F.lit(0)))
 
 
 def share_columns(male: str = "de_male", female: str = "de_female", unknown: str = "de_unknown", young: tuple[str, ...] = ("de_age_18_24", "de_age_25_34"), adult: tuple[str, ...] = ("de_age_18_24", "de_age_25_34", "de_age_35_44", "de_age_45_54", "de_age_55_64", "de_age_65_plus"), age_unknown: str = "de_age_unknown") -> dict[str, Column]:

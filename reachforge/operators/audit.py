@@ -29,13 +29,10 @@ def top_share(counts: DataFrame, name: str, n: str, ks: tuple[int, ...] = (1, 3,
 
 
 def summary_by(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(type, label, count, pct) of each column's values."""
-    out = None
-    for c in columns:
-        g = df.groupBy(F.lit(c).alias("type"), F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-        g = g.withColumn("pct", F.round(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy("type")), 4))
-        out = g if out is None else out.unionByName(g)
-    return out
+    """(type, label, count, pct) of each column's values, in one pass over the rows."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("type"), F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias("label")) for c in columns])
+    g = df.select(F.explode(pairs).alias("p")).groupBy("p.type", "p.label").agg(F.count(F.lit(1)).alias("count"))
+    return g.withColumn("pct", F.round(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy("type")), 4))
 
 
 def sample_order(key: Column, seed: int | str) -> Column:
@@ -44,12 +41,15 @@ def sample_order(key: Column, seed: int | str) -> Column:
 
 
 def stratified_sample(df: DataFrame, key: str, cells: list[str], per_cell: int, target: int, seed: int = 0) -> DataFrame:
-    """Distinct ids: the first per_cell of every cell in hash order, then the first of all the others, target rows in all. The cells' own rows come first when they alone pass the target.
-
-    Only each cell's first rows are ranked by a window over the cell; the rest is a top-k, so no cell or total order is built."""
-    order = sample_order(F.col(key), seed)
-    one = df.withColumn("_o", order).withColumn("_k", F.row_number().over(Window.partitionBy(*cells).orderBy("_o", key)))
-    return one.orderBy(F.col("_k") > per_cell, *[F.when(F.col("_k") <= per_cell, F.col(c)) for c in cells], "_o", key).limit(target).drop("_o", "_k")
+    """Distinct ids: the first per_cell of every cell in hash order, then the first of all the others, target rows in all. The cells' own rows come first when they alone pass the target. Of rows that repeat an id the least by all columns stands for it.
+
+    Both are top-k: a task hands on its own first per_cell of each cell, and its first target of the rest, so no cell and no total order meets in a task."""
+    others = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns).withColumn("_o", sample_order(F.col(key), seed))
+    first = one.withColumn("_k", F.row_number().over(Window.partitionBy(*cells).orderBy("_o", key))).where(F.col("_k") <= per_cell).drop("_k")
+    rest = one.join(first.select(key), key, "left_anti").orderBy("_o", key).limit(target)
+    both = first.withColumn("_rest", F.lit(False)).unionByName(rest.withColumn("_rest", F.lit(True)))
+    return both.orderBy("_rest", *[F.when(~F.col("_rest"), F.col(c)) for c in cells], "_o", key).limit(target).drop("_o", "_rest")
 
 
 def coverage(sample: DataFrame, full: DataFrame, cells: list[str]) -> DataFrame:

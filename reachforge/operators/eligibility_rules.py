@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .rules import Rule, Signal
 
-# The term lists decide the results.
+# The term lists decide the results; rule, verdict and reason names are values of output columns.
 COMMERCIAL = ("rabatt", "sale", "angebot", "angebote", "coupon", "gutschein", "jetzt kaufen", "online kaufen", "bestellen", "shoppen", "shopping", "shop", "produkt", "produkte", "sortiment", "kollektion", "neu erhältlich", "neu erhaeltlich", "jetzt erhältlich", "jetzt erhaeltlich", "filiale", "store", "öffnungszeiten", "oeffnungszeiten", "eröffnung", "eroeffnung", "lieferung", "versand", "app", "bonus", "punkte", "gewinnspiel", "gewinnen", "einkauf", "einkaufen", "entdecke", "entdecken", "sichere dir", "preis", "aktion")
 RECRUITMENT = ("karriere", "karriere bei", "karrierechance", "karrierechancen", "stellenangebot", "stellenangebote", "stellenanzeige", "stellenanzeigen", "offene stelle", "offene stellen", "jobangebot", "jobangebote", "job opening", "job openings", "vacancy", "vacancies", "wir stellen ein", "wir suchen verstärkung", "wir suchen verstaerkung", "verstärke unser team", "verstaerke unser team", "verstärkung für unser team", "verstaerkung fuer unser team", "mitarbeiter gesucht", "mitarbeiterin gesucht", "mitarbeiterinnen gesucht", "werde teil unseres teams", "werde teil des teams", "komm in unser team", "komme in unser team", "join our team", "join the team", "we're hiring", "we are hiring", "now hiring", "ausbildungsplatz", "ausbildungsplätze", "ausbildungsplaetze", "ausbildung bei", "starte deine ausbildung", "duales studium", "werkstudent", "werkstudentin", "praktikumsplatz", "praktikant", "praktikantin", "traineeprogramm", "trainee programm", "graduate programme", "graduate program", "azubi", "auszubildende", "aushilfe gesucht", "minijob")
 RECRUITMENT_MARKERS = (r"(?<![a-z0-9])m\s*/\s*w\s*/\s*d(?![a-z0-9])", r"(?<![a-z0-9])w\s*/\s*m\s*/\s*d(?![a-z0-9])", r"(?<![a-z0-9])m\s*/\s*w\s*/\s*x(?![a-z0-9])", r"(?<![a-z0-9])d\s*/\s*m\s*/\s*w(?![a-z0-9])", r"(?<![a-z0-9])m\s*w\s*d(?![a-z0-9])")

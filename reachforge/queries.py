@@ -214,12 +214,11 @@ def signature_group_sizes(spark, d):
 
 CUSTOMER_FIELDS = ["o_orderstatus", "o_orderpriority"]
 SQL_CONFLICTS = """SELECT o_custkey, count(*) AS signature_group_size, concat_ws('|', CASE WHEN min(o_orderstatus) != max(o_orderstatus) THEN 'o_orderstatus' END, CASE WHEN min(o_orderpriority) != max(o_orderpriority) THEN 'o_orderpriority' END) AS conflict_fields
- FROM orders WHERE o_totalprice < 100000 GROUP BY o_custkey HAVING min(o_orderstatus) != max(o_orderstatus) OR min(o_orderpriority) != max(o_orderpriority)"""
+ FROM orders GROUP BY o_custkey HAVING min(o_orderstatus) != max(o_orderstatus) OR min(o_orderpriority) != max(o_orderpriority)"""
 
 
 def customer_conflicts(spark, d) -> DataFrame:
-    small = t(spark, d, "orders").where("o_totalprice < 100000")
-    return signatures.conflicts(small, "o_custkey", {c: F.col(c) for c in CUSTOMER_FIELDS})
+    return signatures.conflicts(t(spark, d, "orders"), "o_custkey", {c: F.col(c) for c in CUSTOMER_FIELDS})
 
 
 @query(SQL_CONFLICTS)
@@ -345,7 +344,7 @@ AUTO, MANUAL = "c_acctbal < 0", "c_mktsegment = 'MACHINERY' AND c_acctbal >= 900
 def ads(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers in the place of ads: balances below zero are excluded by rule, some segments by hand."""
     rows = t(spark, d, "customer").select(F.col("c_custkey").alias("meta_ad_id"), F.col("c_mktsegment").alias("search_brand"), F.col("c_nationkey").cast("string").alias("sector"), "c_acctbal", "c_mktsegment", F.lit("recruitment").alias("eligibility_reason"), F.lit("negative").alias("matched_rule"))
-    decisions = rows.where(MANUAL).select("meta_ad_id", F.lit(" NonCommercial").alias("final_classification"), F.lit("charity").alias("final_manual_category"))
+    decisions = rows.where(MANUAL).select("meta_ad_id", F.lit(" NonCommercial").alias("final_classification"), F.lit("charity").alias("final_manual_category"), F.col("meta_ad_id").alias("_seq"))
     return rows, rows.where(AUTO), lock.noncommercial(decisions)
 
 
@@ -459,11 +458,11 @@ def page_tally(spark, d):
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CAST(round_even(CAST(p_size AS DOUBLE) / 2, 0) AS BIGINT) AS midpoint, CASE WHEN p_size % 5 != 0 THEN round(100.0::DOUBLE * 1 / (p_size % 5), 4) ELSE 0.0 END AS percent,
- CASE WHEN p_size = 18 THEN 'Broad' WHEN p_size <= 30 THEN 'Narrow' END AS scope, CASE p_partkey % 3 WHEN 0 THEN 'Both' WHEN 1 THEN 'Facebook-only' ELSE 'Other' END AS platform FROM part""")
+ CASE WHEN p_size = 18 THEN 'Broad' WHEN p_size <= 30 THEN 'Narrow' END AS scope, CASE p_partkey % 5 WHEN 0 THEN 'Both' WHEN 1 THEN 'Facebook-only' WHEN 2 THEN 'Other' WHEN 3 THEN 'Other' END AS platform FROM part""")
 def scalar_functions(spark, d):
     c = F.col
     ages = F.concat(F.lit('["'), c("p_size").cast("string"), F.lit('", "'), F.when(c("p_size") == 18, "65").otherwise("30"), F.lit('"]'))
-    platforms = F.when(c("p_partkey") % 3 == 0, '["facebook", "instagram"]').when(c("p_partkey") % 3 == 1, '["facebook"]').otherwise('["messenger"]')
+    platforms = F.when(c("p_partkey") % 5 == 0, '["facebook", "instagram"]').when(c("p_partkey") % 5 == 1, '["facebook"]').when(c("p_partkey") % 5 == 2, '["messenger"]').when(c("p_partkey") % 5 == 3, "[]").otherwise("facebook")
     return t(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), scalars.midpoint(F.lit(0), c("p_size")).alias("midpoint"), scalars.percent(F.lit(1), c("p_size") % 5).alias("percent"), scalars.age_scope(ages).alias("scope"), scalars.platform_category(platforms).alias("platform"))
 
 

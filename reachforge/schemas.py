@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names and their order, labels and levels are those of the files that the engine reads and writes.
 CREATIVE = ["ad_creative_bodies", "ad_creative_link_titles", "ad_creative_link_captions", "ad_creative_link_descriptions"]
 TARGETING = ["target_ages", "target_gender"]
 START, STOP, PLATFORMS = "ad_delivery_start_date_time", "ad_delivery_stop_date_time", "publisher_platforms"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas as S
-from .requests import Control, Reply, collect_range
+from .requests import Control, Reply, collect_range, refuse_changed
 
 
 class Range(InputPartition):
@@ -19,7 +19,7 @@ class Range(InputPartition):
 
 
 class PagedAds(DataSource):
-    """Options: entities (JSON list of [brand, sector, page id]), start, end, days (of a partition's range), and either dir (folder of recorded pages, <page id>/*.json) or url with token_env (the environment variable that holds the token on executors)."""
+    """Options: entities (JSON list of [brand, sector, page id]), start, end, days (of a partition's range), done (JSON list of [page id, first day, last day] of segments to leave out), and either dir (folder of recorded pages, <page id>/*.json) or url with token_env (the environment variable that holds the token on executors)."""
 
     @classmethod
     def name(cls) -> str:
@@ -38,12 +38,13 @@ class PagedReader(DataSourceReader):
 
     def partitions(self):
         start, end, days = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"]), int(self.o.get("days", 90))
-        out = []
+        out, done = [], {tuple(x) for x in json.loads(self.o.get("done", "[]"))}
         for brand, sector, page in json.loads(self.o["entities"]):
             a = start
             while a <= end:
                 b = min(end, a + timedelta(days=days - 1))
-                out.append(Range(brand, sector, page, a.isoformat(), b.isoformat()))
+                if (page, a.isoformat(), b.isoformat()) not in done:
+                    out.append(Range(brand, sector, page, a.isoformat(), b.isoformat()))
                 a = b + timedelta(days=1)
         return out
 
@@ -103,6 +104,44 @@ def read_ads(spark: SparkSession, entities: list[tuple[str, str, str]], start: s
     return to_raw(raw)
 
 
+def collect_ads(spark: SparkSession, path: str, entities: list[tuple[str, str, str]], start: str, end: str, batch: int = 200, **options) -> DataFrame:
+    """Collects all segments into Parquet at `path`, `batch` entities a job, and resumes a run that broke off: a job's rows and the list of its segments are written before the next one begins, and listed segments are not asked for again. Settings that differ from those of the first run are an error."""
+    settings = refuse_changed(_saved(spark, f"{path}/settings"), {"start": start, "end": end, "days": str(options.get("days", 90))})
+    spark.createDataFrame([(settings,)], "settings string").write.mode("overwrite").json(f"{path}/settings")
+    ledger = "page string, first string, last string, job string"
+    done = {(r["page"], r["first"], r["last"]) for r in _table(spark, f"{path}/done", ledger).collect()}  # as many as segments were asked for
+    for k in range(0, len(entities), batch):
+        part = entities[k : k + batch]
+        left = PagedReader({"entities": json.dumps(part), "start": start, "end": end, "days": options.get("days", 90), "done": json.dumps(sorted(done))}).partitions()
+        if not left:
+            continue
+        rows = read_ads(spark, part, start, end, done=json.dumps(sorted(x for x in done if x[0] in {p[2] for p in part})), **options)
+        job = refuse_changed(None, {"segments": [(p.page_id, p.start, p.end) for p in left]})
+        rows.write.mode("overwrite").parquet(f"{path}/rows/job={job}")  # a job that broke off is written anew
+        spark.createDataFrame([(p.page_id, p.start, p.end, job) for p in left], ledger).write.mode("append").parquet(f"{path}/done")
+    jobs = [r[0] for r in _table(spark, f"{path}/done", ledger).select("job").distinct().collect()]  # one a job
+    return spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/job={j}" for j in jobs]).drop("job")
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _saved(spark: SparkSession, path: str) -> dict | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.schema("settings string").json(path).first()
+    except AnalysisException:
+        return None
+    return row.asDict() if row else None
+
+
 def to_raw(pages: DataFrame, country: str = "DE") -> DataFrame:
     p = pages.withColumn("p", F.from_json("payload", S.PAYLOAD))
     text = lambda name: F.coalesce(F.to_json(F.col("p")[name]), F.lit(""))

@@ -31,6 +31,8 @@ class Control:
     rate_wait_most: float = 1800.0
     retry_after_least: float = 30.0
     rate_codes: tuple[int, ...] = (4, 17, 32, 613)
+    #: First and longest wait of failed connections that double; None: they rise by network_wait.
+    doubling: tuple[float, float] | None = None
     too_much: tuple[str, ...] = ("reduce the amount of data", "too much data", "timeout", "timed out")
 
 
@@ -49,7 +51,7 @@ def too_much(r: Reply, c: Control) -> bool:
 
 
 def network_wait(attempt: int, c: Control) -> float:
-    return min(c.network_wait * attempt, c.network_wait_most)
+    return doubling_wait(attempt, *c.doubling) if c.doubling else min(c.network_wait * attempt, c.network_wait_most)
 
 
 def rate_wait(attempt: int, headers: dict, c: Control) -> float:
@@ -82,25 +84,22 @@ def fetch(send: Callable[[dict], Reply], params: dict, c: Control, sleep=time.sl
         sleep(rate_wait(waited, reply.headers, c))
 
 
-def pages(send: Callable[[dict], Reply], params: dict, c: Control, sleep=time.sleep):
-    """The items of all pages. A page that is too large is asked for again with the next smaller size; then TooMuchData."""
-    size, after = 0, None
-    while True:
-        ask = params | {"limit": c.page_sizes[size]} | ({"after": after} if after else {})
-        reply = fetch(send, ask, c, sleep)
-        if reply.status != 200 or "error" in reply.body:
-            if not too_much(reply, c):
-                raise RuntimeError(f"request failed: {reply.status} {(reply.body.get('error') or {}).get('message', '')}")
-            size += 1
-            if size == len(c.page_sizes):
-                raise TooMuchData(str(params))
-            continue
-        yield from reply.body.get("data", [])
-        paging = reply.body.get("paging") or {}
-        if not paging.get("next"):
-            return
-        after = paging.get("next")
-        sleep(c.page_delay)
+def pages(send: Callable[[dict], Reply], params: dict, c: Control, sleep=time.sleep) -> list:
+    """The items of all pages. When a page is too large, all begins anew with the next smaller size, as a cursor carries the size that it was made with; after the smallest, TooMuchData."""
+    for size in c.page_sizes:
+        items, after = [], None
+        while True:
+            reply = fetch(send, params | {"limit": size} | ({"after": after} if after else {}), c, sleep)
+            if reply.status != 200 or "error" in reply.body:
+                if not too_much(reply, c):
+                    raise RuntimeError(f"request failed: {reply.status} {(reply.body.get('error') or {}).get('message', '')}")
+                break
+            items += reply.body.get("data", [])
+            after = (reply.body.get("paging") or {}).get("next")
+            if not after:
+                return items
+            sleep(c.page_delay)
+    raise TooMuchData(str(params))
 
 
 def collect_range(send, params: dict, start: date, end: date, c: Control, sleep=time.sleep):
@@ -109,7 +108,7 @@ def collect_range(send, params: dict, start: date, end: date, c: Control, sleep=
     while pending:
         a, b = pending.pop()
         try:
-            items = list(pages(send, params | {"date_min": a.isoformat(), "date_max": b.isoformat()}, c, sleep))
+            items = pages(send, params | {"date_min": a.isoformat(), "date_max": b.isoformat()}, c, sleep)
         except TooMuchData:
             if a == b:
                 raise
