@@ -15,11 +15,12 @@ def compact(c: Column) -> Column:
     return F.coalesce(F.to_json(c), F.lit(""))
 
 
-def _list(c: Column) -> Column:
-    """The array that the text holds, as JSON or as a literal list with single quotes, None, True and False; null if it holds none."""
+def _list(c: Column, folded: bool = False) -> Column:
+    """The array that the text holds, as JSON or as a literal list with single quotes, None, True and False (in small letters if folded); null if it holds none."""
     s = F.trim(c)
     literal = s
     for word, json in LITERALS.items():
+        word, json = (word.lower(), json.lower()) if folded else (word, json)
         literal = F.regexp_replace(literal, rf"(?<=[\[,]\s{{0,9}}){word}(?=\s*[,\]])", json)
     return F.when(s.startswith("["), F.coalesce(F.from_json(s, "array<string>"), F.from_json(F.regexp_replace(literal, r",\s*\]$", "]"), "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})))
 
@@ -60,5 +61,5 @@ def same_text(a: Column, b: Column) -> Column:
 def structural(c: Column, fold) -> Column:
     """A canonical value: lists trimmed, folded, sorted and joined by bars; other text folded."""
     folded = fold(F.trim(F.coalesce(c, F.lit(""))))
-    listed = F.array_join(F.array_sort(F.transform(_list(folded), lambda x: F.trim(F.coalesce(x, F.lit(""))))), "|")
+    listed = F.array_join(F.array_sort(F.transform(_list(folded, True), lambda x: F.trim(F.coalesce(x, F.lit(""))))), "|")
     return F.coalesce(listed, folded)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .jsonlist import parse_strict
 
@@ -72,14 +74,10 @@ def platform_category(c: Column, first: str = "facebook", second: str = "instagr
     return F.when(items.isNull(), F.lit(None)).when((n == 2) & has(first) & has(second), "Both").when((n == 1) & has(first), f"{first.capitalize()}-only").when((n == 1) & has(second), f"{second.capitalize()}-only").otherwise("Other")
 
 
-def number_text(c: Column) -> Column:
-    """Integers without a point, else 15 significant digits without closing zeros, and with an exponent below 1e-4 or from 1e15 on; only at a text edge."""
-    digits = F.format_string("%.14e", c)
-    power = F.substring_index(digits, "e", -1)
-    bare = lambda s: F.regexp_replace(s, r"\.?0+$", "")
-    plain = bare(F.regexp_extract(digits.try_cast("decimal(38,18)").cast("string"), r"^-?\d+\.\d+$", 0))
-    whole = c.cast("decimal(38,0)").cast("string")
-    return F.when(c.isNull(), "").when(c == F.floor(c), F.coalesce(whole, c.cast("string"))).when(power.cast("int").between(-4, 14), plain).otherwise(F.concat(bare(F.substring_index(digits, "e", 1)), F.lit("e"), power))
+@F.pandas_udf(StringType())
+def number_text(c: pd.Series) -> pd.Series:
+    """Integers without a point, else 15 significant digits; only at a text edge. Built-in formats round the shortest decimal text of a number, not the number."""
+    return c.map(lambda v: "" if v is None or v != v else str(int(v)) if float(v).is_integer() else format(v, ".15g"))
 
 
 def share_with_unknown(n: Column, known: Column, unknown: Column) -> Column:

@@ -50,9 +50,21 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
         raise ValueError(f"{n} {key} are in both tables")
 
 
+def inconsistent(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """The groups in which a column has more than one value, with the number of values of each; null counts as blank."""
+    n = df.groupBy(*key).agg(*[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
+    return n.where(" OR ".join(f"`{c}` > 1" for c in columns))
+
+
 def assert_constant_in_group(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    bad = df.groupBy(*key).agg(*[F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
-    return assert_none(bad, F.greatest(*[F.col(c) for c in columns]) > 1, f"{columns} differ within {key}") if len(columns) > 1 else assert_none(bad, F.col(columns[0]) > 1, f"{columns} differ within {key}")
+    if found := inconsistent(df, key, columns).count():
+        raise ValueError(f"{found} groups: {columns} differ within {key}")
+    return df
+
+
+def count_matches(written: DataFrame, noted: DataFrame) -> DataFrame:
+    """(written, counted, same) of a table and the one-row count (counted) that its writer noted."""
+    return written.agg(F.count(F.lit(1)).alias("written")).join(noted.select("counted"), F.lit(True)).select("written", "counted", (F.col("written") == F.col("counted")).alias("same"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -19,8 +19,10 @@ class Signal:
 
     def match(self, text: Column) -> Column:
         """(term as written, what to look for in normalised text) of the first match, or null. The terms are one literal array, so that the plan, and the code made of it, stay small however long the list is."""
+        if self.regex:
+            return F.coalesce(*[F.when(text.rlike(t), F.struct(F.lit(t).alias("term"), F.lit(n).alias("n"))) for t, n in self._pairs()], F.lit(None))
         pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("n")) for t, n in self._pairs()])
-        return F.get(F.filter(pairs, lambda p: text.rlike(p["n"]) if self.regex else text.contains(p["n"])), F.lit(0))
+        return F.get(F.filter(pairs, lambda p: text.contains(p["n"])), F.lit(0))
 
     def field(self, found: Column, texts: dict[str, Column]) -> Column:
         """The first field that holds the matched term, else combined_text."""

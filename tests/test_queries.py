@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from reachforge.queries import ORACLES, QUERIES
@@ -17,7 +18,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
