@@ -1,18 +1,21 @@
 """Main text of web pages.
 
-Each page is parsed once. Subtrees that cannot be main text by their element, role, class or id are left out (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts). Where a page marks its main text as
-article or main, the blocks inside are the text.
-
-The blocks of pages without such a mark go through the host's suffix array: the token streams of the host's pages, whose suffixes
-are named to a depth of `depth` tokens by prefix doubling. Suffixes of at least `pages` distinct pages with the same name are an
-interval of the array: a long repeated substring. Tokens that such substrings cover are boilerplate and removed; the unique runs
-stay. Marked articles are kept out of this, as it would delete articles that a host prints twice, and give wrong results. Rows are
-dealt by (host, name), so that a host may hold any share of all pages.
+Each page is parsed once, in time linear in its length, and written with its token streams. Subtrees that cannot be main text by their
+element, role, class or id are left out (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
+hidden parts). Where a page marks its main text as article or main, the blocks inside are the text.
+
+The streams of a host's pages make up its suffix array: of marked pages what stands beside the main text, of the others all that they
+show. Suffixes are named to a depth of `depth` tokens by prefix doubling; suffixes with the same name are an interval of the array whose
+longest common prefix is at least that, so intervals with pages of different bodies are the long substrings that the host repeats. Tokens
+that such substrings cover are boilerplate and removed from the text of unmarked pages; the unique runs stay. A page's body is its main
+text, or its longest block where it marks none, so an article that a host prints under several addresses is one body, and no repeat.
+Marked main text is not searched for repeats: what two articles share is part of both. Rows are dealt by name, so that a host may hold
+any share of all pages.
 
 Text: character references are decoded, white space (of any kind) becomes one space, text is trimmed, and blocks and line breaks
 part words. Defined results: null html is empty; pages without main text have an empty text; a null or odd url is a host of its
-own name; repeated rows are one page for the counts and all get the result; no rows give none; other columns are ignored.
+own name; repeated rows are one page for the counts and all get the result; no rows give none; other columns are ignored; a tag whose
+quotes do not close ends at the next >; very long pages are parsed whole.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import cut, row_key
 
 DEPTH = 8
-PAGES = 3
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.S)
+#: A tag from its <; possessive, so that it fails or ends without trying shorter ways.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-MARK = re.compile(r"""<(?:article|main)[\s>]|role\s*=\s*["']?main\b""", re.I)
 #: Elements whose content is text up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -76,62 +79,112 @@ def verdict(tag: str, raw: str, inside: bool) -> str:
     return "main" if tag in ("article", "main") else found
 
 
-def extract(html: str) -> tuple[bool, str]:
-    """(whether the page marks its main text, its text)."""
-    main, other = [], []
-    stack: list[tuple[str, str]] = []  # open elements with their verdicts
-    out = mains = heads = headings = 0
-    at, n = 0, len(html)
-
-    def put(text: str) -> None:
-        if not out and (not heads or headings):
-            (main if mains else other).append(text)
-
-    def close(k: int) -> None:
-        nonlocal out, mains, heads, headings
-        while len(stack) > k:
-            tag, v = stack.pop()
-            out, mains, heads, headings = out - (v == "out"), mains - (v == "main"), heads - (v == "head"), headings - (tag in HEADINGS)
-
-    while at < n:
-        m = TAG.search(html, at)
-        if m is None:
-            put(unescape(html[at:]))
-            break
-        if m.start() > at:
-            put(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag not in INLINE:
-            main.append(" ")
-            other.append(" ")
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            at = end.start() if end else n
-            at = html.find(">", at) + 1 or n
-            continue
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "use"):
-            continue
-        ends = ENDS.get(tag) or (set() if tag in INLINE else {"p"})
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends:
-                close(k)
-                break
-            if stack[k][0] in SCOPES:
+class Page:
+    """What a page shows: main (in its marked main text), other (whatever cannot be ruled out), side (ruled out, but seen). Blocks are parted by None."""
+
+    def __init__(self, html: str):
+        self.main, self.other, self.side = [], [], []
+        self.marked = self._parse(html) and bool(self.text(self.main))
+
+    @staticmethod
+    def text(parts: list) -> str:
+        return " ".join("".join([" " if x is None else x for x in parts]).split())
+
+    @staticmethod
+    def longest(parts: list) -> str:
+        """The longest block."""
+        best = block = ""
+        for x in [*parts, None]:
+            if x is not None:
+                block += x
+                continue
+            best, block = max(best, " ".join(block.split()), key=len), ""
+        return best
+
+    def result(self) -> tuple[str, list[str], str]:
+        """(main text of a marked page, the tokens that stand beside it or may be it, the body)."""
+        if self.marked:
+            text = self.text(self.main)
+            return text, self.text([*self.other, None, *self.side]).split(), text
+        return "", self.text(self.other).split(), self.longest(self.other)
+
+    def _parse(self, html: str) -> bool:
+        """Whether the page marks its main text."""
+        main, other, side = self.main, self.other, self.side
+        stack: list[tuple[str, str]] = []  # open elements with their verdicts
+        places: dict[str, list[int]] = {}  # where in the stack each element is open
+        scopes: list[int] = []
+        out = mains = heads = headings = 0
+        at, n, last, cdata, found = 0, len(html), html.rfind(">"), True, False
+
+        def put(text: str) -> None:
+            if out or heads and not headings:
+                side.append(text)
+            else:
+                (main if mains else other).append(text)
+
+        def close(k: int) -> None:
+            nonlocal out, mains, heads, headings
+            while len(stack) > k:
+                tag, v = stack.pop()
+                places[tag].pop()
+                if tag in SCOPES:
+                    scopes.pop()
+                out, mains, heads, headings = out - (v == "out"), mains - (v == "main"), heads - (v == "head"), headings - (tag in HEADINGS)
+
+        while at < n:
+            start = html.find("<", at)
+            if start < 0 or start > last:  # no tag ends any more
+                put(unescape(html[at:]))
                 break
-        v = verdict(tag, m[3], mains > 0)
-        stack.append((tag, v))
-        out, mains, heads, headings = out + (v == "out"), mains + (v == "main"), heads + (v == "head"), headings + (tag in HEADINGS)
-    marked = MARK.search(html) is not None and bool(text := " ".join("".join(main).split()))
-    return (True, text) if marked else (False, " ".join("".join(other).split()))
+            if start > at:
+                put(unescape(html[at:start]))
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            if html[start + 1 : start + 2] in ("!", "?"):
+                end = html.find("]]>", start) if cdata and html.startswith("<![CDATA[", start) else -1
+                cdata = cdata and (end >= 0 or not html.startswith("<![CDATA[", start))
+                at = end + 3 if end >= 0 else html.find(">", start) + 1
+                continue
+            m = TAG.match(html, start) or NAME.match(html, start)
+            if m is None:  # a < of the text
+                put("<")
+                at = start + 1
+                continue
+            at, tag = m.end(), m[2].lower()
+            if tag not in INLINE:
+                for parts in (main, other, side):
+                    parts.append(None)
+            if m[1]:
+                if places.get(tag):
+                    close(places[tag][-1])
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+                at = html.find(">", end.start()) + 1 or n if end else n
+                continue
+            if tag in VOID or m[3].endswith("/") and tag in ("path", "use"):
+                continue
+            ends = ENDS.get(tag) or (set() if tag in INLINE else {"p"})
+            open_ = max((places[e][-1] for e in ends if places.get(e)), default=-1)
+            if open_ >= 0 and (not scopes or open_ >= scopes[-1]):
+                close(open_)
+            v = verdict(tag, m[3], mains > 0)
+            found = found or tag in ("article", "main") or v == "main"
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            stack.append((tag, v))
+            out, mains, heads, headings = out + (v == "out"), mains + (v == "main"), heads + (v == "head"), headings + (tag in HEADINGS)
+        return found
+
+
+def extract(html: str) -> tuple[bool, str]:
+    """(whether the page marks its main text, its text by its own marks alone)."""
+    page = Page(html)
+    return page.marked, page.text(page.main if page.marked else page.other)
 
 
 def names(tokens: list[str], depth: int):
@@ -151,41 +204,37 @@ def names(tokens: list[str], depth: int):
     return out
 
 
-def extract_pages(pages: DataFrame, depth: int = DEPTH, at_least: int = PAGES) -> DataFrame:
+def extract_pages(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
 
-    def marked(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [extract(h or "") for h in batch.column(2).to_pylist()]
-            keep = pa.array([f[0] for f in found], pa.bool_())
-            texts = [f[1] for f in found if f[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep).cast(pa.int64()), batch.column(1).filter(keep), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    def streams(batches):
+    def parsed(batches):
         import pyarrow as pa
 
+        kinds = [("text", pa.string()), ("marked", pa.bool_()), ("tokens", pa.list_(pa.string())), ("x", pa.list_(pa.int64())), ("y", pa.list_(pa.int64())), ("body", pa.int64())]
         for batch in batches:
             rows = []
-            for key, page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if MARK.search(html or "") and extract(html)[0]:
-                    continue
-                tokens = extract(html or "")[1].split()
-                x, y = names(tokens, depth)
-                rows.append({"key": key, "page_id": page, "url": url, "tokens": tokens, "x": x.tolist(), "y": y.tolist()})
-            schema = pa.schema([("key", batch.schema.field(0).type), ("page_id", pa.int64()), ("url", pa.string()), ("tokens", pa.list_(pa.string())), ("x", pa.list_(pa.int64())), ("y", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for host, html in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                page = Page(html or "")
+                text, tokens, body = page.result()
+                x, y = names([host, *tokens], depth) if len(tokens) >= depth else ([], [])
+                # the name of the host is part of all names
+                own = xxh3_64_intdigest(host.encode("utf-8", "replace")) >> 1
+                rows.append({"text": text, "marked": page.marked, "tokens": None if page.marked else tokens, "x": [int(v) ^ own for v in x[1:]], "y": [int(v) ^ own for v in y[1:]], "body": xxh3_64_intdigest(body.encode("utf-8", "replace")) >> 1})
+            found = [pa.array([r[k] for r in rows], kind) for k, kind in kinds]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *found], ["key", "page_id", "url", *[k for k, _ in kinds]])
+
+    from xxhash import xxh3_64_intdigest
 
     key = row_key("page_id", "html")
-    text = pages.select("page_id", "url", "html").mapInArrow(marked, "page_id long, url string, text string")
-    stream = pages.select(key.alias("key"), F.col("page_id").cast("long"), "url", "html").mapInArrow(streams, "key struct<id:long,a:long,b:long>, page_id long, url string, tokens array<string>, x array<long>, y array<long>")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1), F.lit("")))
-    suffix = stream.select(host.alias("host"), "key", F.posexplode(F.arrays_zip("x", "y")).alias("i", "h")).select("host", "key", "i", "h.x", "h.y")
-    repeated = suffix.select("host", "x", "y", "key").distinct().groupBy("host", "x", "y").count().where(F.col("count") >= at_least).drop("count")
-    covered = suffix.join(repeated, ["host", "x", "y"]).groupBy("key").agg(F.collect_set("i").alias("starts"))
+    read = pages.select(key.alias("key"), F.col("page_id").cast("long"), "url", host.alias("host"), "html")
+    page = cut(read.mapInArrow(parsed, "key struct<id:long,a:long,b:long>, page_id long, url string, text string, marked boolean, tokens array<string>, x array<long>, y array<long>, body long"))
+    suffix = lambda df, *more: df.select(*more, F.posexplode(F.arrays_zip("x", "y")).alias("i", "h")).select(*more, "i", "h.x", "h.y")
+    repeated = suffix(page, "body").groupBy("x", "y").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low != high").select("x", "y")
+    unmarked = page.where("NOT marked").select("key", "page_id", "url", "tokens", "x", "y")
+    covered = suffix(unmarked, "key").join(repeated, ["x", "y"], "left_semi").groupBy("key").agg(F.collect_set("i").alias("starts"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + depth - 1))))
     every = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
     kept = F.transform(F.array_except(every, F.coalesce(gone, F.expr("CAST(array() AS array<int>)"))), lambda i: F.get("tokens", i))
-    unmarked = stream.join(covered, "key", "left").select("page_id", "url", F.array_join(kept, " ").alias("text"))
-    return text.unionByName(unmarked).withColumn("n_chars", F.length("text").cast("long"))
+    rest = unmarked.join(covered, "key", "left").select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    return page.where("marked").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -89,14 +89,65 @@ def test_html_main_text(source, want):
     assert html_extract.extract(source or "")[1] == want
 
 
+PAGES = "page_id long, url string, html string"
+
+
 def test_html_suffix_array_of_unmarked_pages(spark):
     legal = "all rights reserved by the owner of this site and its heirs"
-    rows = [(i, "http://h.example/1", page(f"<p>{legal}</p><p>tale{i} a{i} of b{i}</p>")) for i in range(4)]
+    tale = "a tale that the host prints under two addresses, word by word the same, and longer than all else on its pages"
+    rows = [(i, "http://h.example/1", page(f"<p>{legal}</p><p>tale{i} a{i} of b{i}, the only one of its kind, and longer by far than all that stands around it</p>")) for i in range(4)]
     rows += [(9, "http://other.example/", page(f"<p>{legal}</p>")), (10, None, None), (None, "x", page("<article>k</article>")), (10, None, None), (11, "http://h.example/z", page(f"<article><p>{legal}</p></article>"))]
-    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("tokens", F.lit(1)).withColumn("key", F.lit(1)))
+    rows += [(20, "http://h.example/a", page(f"<p>{tale}</p>")), (21, "http://h.example/b", page(f"<p>{legal}</p><p>{tale}</p>"))]
+    # the footer of a marked page tells what is boilerplate on another one
+    rows += [(30, "http://two.example/a", page(f"<article>x y z</article><footer>{legal}</footer>")), (31, "http://two.example/b", page(f"<p>{tale}</p><p>{legal}</p>"))]
+    df = spark.createDataFrame(rows, PAGES)
+    got = html_extract.extract_pages(df.withColumn("tokens", F.lit(1)).withColumn("key", F.lit(1)))
     found = Counter((r.page_id, r.text, r.n_chars) for r in got.collect())
-    want = [(i, t := f"tale{i} a{i} of b{i}", len(t)) for i in range(4)] + [(9, legal, len(legal)), (10, "", 0), (10, "", 0), (None, "k", 1), (11, legal, len(legal))]
+    want = [(i, t := f"tale{i} a{i} of b{i}, the only one of its kind, and longer by far than all that stands around it", len(t)) for i in range(4)] + [(9, legal, len(legal)), (10, "", 0), (10, "", 0), (None, "k", 1), (11, legal, len(legal))]
+    # the ends of the tales are alike in nine words, so a run of them is a repeat
+    repeat = " the only one of its kind, and longer by far than all that stands around it"
+    want = [(i, t.removesuffix(repeat), len(t.removesuffix(repeat))) if n and t.startswith("tale") else (i, t, n) for i, t, n in want]
+    want += [(20, tale, len(tale)), (21, tale, len(tale)), (30, "x y z", 5), (31, tale, len(tale))]
     assert found == Counter(want)
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+def brute_repeats(streams, depth):
+    """streams: (host, body, tokens). Of each the tokens in no run of `depth` that a page of the host with another body has."""
+    out = []
+    for host, body, tokens in streams:
+        gone = set()
+        for i in range(len(tokens) - depth + 1):
+            run = tokens[i : i + depth]
+            if any(h == host and b != body and any(ts[j : j + depth] == run for j in range(len(ts) - depth + 1)) for h, b, ts in streams):
+                gone.update(range(i, i + depth))
+        out.append(" ".join(t for i, t in enumerate(tokens) if i not in gone))
+    return out
+
+
+def test_html_repeats_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    runs = [[f"r{k}w{i}" for i in range(12)] for k in range(5)]
+    rows, streams = [], []
+    for i in range(40):
+        host = f"h{r.randrange(3)}.example"
+        blocks = [" ".join(r.choice(runs)[r.randrange(4) :]) for _ in range(r.randrange(3))] + [" ".join(f"u{r.randrange(40)}" for _ in range(r.randrange(30)))]
+        r.shuffle(blocks)
+        rows.append((i, f"https://{host}/{i}", page("".join(f"<p>{b}</p>" for b in blocks))))
+        streams.append((host, max(blocks, key=len), " ".join(blocks).split()))
+    got = {x.page_id: x.text for x in html_extract.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(40)] == brute_repeats(streams, html_extract.DEPTH)
+
+
+@pytest.mark.parametrize("source", ["<a '" * 250_000, "<a '" * 250_000 + ">", "<b>" * 150_000 + "<p>x" * 150_000, "<![CDATA[" * 110_000, "</i>" * 250_000, "<" * 1_000_000, "<div class='a'>" * 60_000 + "text", "<li>x" * 200_000, '<a "' + "<a '>" * 200_000])
+def test_html_hostile_pages_take_linear_time(source):
+    from time import perf_counter
+
+    start = perf_counter()
+    html_extract.extract(source)
+    assert perf_counter() - start < 3
 
 
 # -- tokens
