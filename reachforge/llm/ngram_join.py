@@ -12,10 +12,11 @@ Lists of up to HOT classes give their pairs; of these stay those that the n-gram
 where they are very long, give only (list, set). Then every set is compared to the leader of each long list it is in, and to the
 first of the sets it is paired with, and what links to a leader is one component. So a group of copies costs a comparison a copy
 and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair. In a long list
-that still holds several components, one pair of each two components is compared, then all that are left of those that stay apart.
-Before any comparison of sets stands one of their parity bits: each n-gram flips one bit of its set, so two sets differ in at least
-as many n-grams as bits, and no similar pair is lost. Long lists are compared in blocks of bits in memory; sets stream, sorted by leader,
-past the one set of that leader. Links are compared on whole sets of 64-bit n-gram hashes.
+that still holds several components, each set is compared to the likeliest one of another component, then to a few, then to all that
+have a chance. Before any comparison of sets stands one of their parity bits: each n-gram flips one bit of its set, so two sets differ
+in at least as many n-grams as bits, and no similar pair is lost; large sets have more bits, which fold to fewer for smaller partners.
+Long lists are compared in blocks of bits in memory, the component of the leader against the rest, and the rest among itself; sets stream,
+sorted by leader, past the one set of that leader. Links are compared on whole sets of 64-bit n-gram hashes.
 
 Defined results: null or empty texts, or texts of white space, have an empty set and are linked with nothing; fewer words than n give
 one n-gram of them all; rows without doc_id take part, but an id of a component is the smallest that is not null (null if none is);
@@ -44,16 +45,18 @@ SUBSET = 2
 PAIR_COST = 1 / 16
 #: Classes in a list that gives its pairs one by one.
 HOT = 8
-#: Parity bits of a set, in 64-bit words.
-BIT_WORDS = 16
+#: Parity bits of a set, in 64-bit words; and the size beyond which it has more of them.
+BIT_WORDS, LARGE = 16, 1000
+#: Words to which the bits of large sets are folded first; such a set has at least as many.
+SOME_WORDS = 64
 #: Excess entries of a bucket for each further salt.
 SALTED = 20_000
 #: Pairs and entries of long lists that a scanning worker holds.
 HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
 #: Sets compared to one leader in a task.
 LED = 5_000
-#: Sets of a block of a long list.
-BLOCK_SETS = 4000
+#: Sets of a block of a long list, and bytes of their bits.
+BLOCK_SETS, BLOCK_BYTES = 4000, 32_000_000
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -128,12 +131,43 @@ class Grams:
         return out
 
 
-def parity_bits(grams):
-    """BIT_WORDS words: a bit is set where an odd number of n-grams falls on it."""
+def parity_bits(grams, words: int = BIT_WORDS):
+    """So many 64-bit words: a bit is set where an odd number of n-grams falls on it. Halves that are laid over each other by exclusive or are the bits of half as many words."""
     import numpy as np
 
-    places = (grams >> np.uint64(40)) % np.uint64(64 * BIT_WORDS)
-    return np.packbits((np.bincount(places.astype(np.int64), minlength=64 * BIT_WORDS) & 1).astype(np.uint8)).view(np.int64)
+    places = (grams >> np.uint64(32)) % np.uint64(64 * words)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+
+
+def many_bits(grams) -> bytes | None:
+    """Four to eight bits for each n-gram of a large set."""
+    return parity_bits(grams, 1 << (4 * len(grams) // 64).bit_length()).tobytes() if len(grams) > LARGE else None
+
+
+def differing(x, y):
+    """Of each row of x and each of y, as 64-bit words: in how many bits they differ."""
+    import numpy as np
+
+    if len(x) * len(y) <= 10_000:
+        return np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]).sum(2, dtype=np.int64)
+    one = lambda z: np.unpackbits(np.ascontiguousarray(z).view(np.uint8), axis=1).astype(np.float32)
+    a, b = one(x), one(y)
+    return a.sum(1)[:, None] + b.sum(1)[None, :] - 2 * (a @ b.T)
+
+
+def shared_at_most(na: int, nb: int, x: bytes, y: bytes) -> int:
+    """Of two large sets, with their many bits."""
+    import numpy as np
+
+    p, q = (np.frombuffer(z, np.uint64).reshape(1, -1) for z in (x, y))
+    words = min(p.shape[1], q.shape[1])
+    return min(na, nb, (na + nb - int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())) // 2)
+
+
+def folded(x, words: int):
+    import numpy as np
+
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
 
 
 def set_id(grams) -> bytes | None:
@@ -228,7 +262,7 @@ class Join:
         first = cut(self._members())
         self.members = first.where("piece IS NULL").select("doc_id", "n", "sid", "a", "b")
         whole = first.where("sid IS NOT NULL").groupBy("sid")
-        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
+        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
         self._order(first.where("piece IS NOT NULL").select("piece", "counts"))
 
     def _order(self, pieces: DataFrame) -> None:
@@ -261,20 +295,20 @@ class Join:
             import pyarrow as pa
 
             grams, counts = Grams(n), np.zeros(BUCKETS, np.int64)
-            names = ["doc_id", "n", "sid", "a", "b", "bits", "piece", "counts"]
+            names = ["doc_id", "n", "sid", "a", "b", "bits", "wide", "piece", "counts"]
             for batch in batches:
                 at = 0
                 for ids, texts in texts_of(batch):
                     sets = grams.sets(texts)
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                     bits = pa.ListArray.from_arrays(pa.array(range(0, BIT_WORDS * (len(sets) + 1), BIT_WORDS), pa.int32()), pa.array(np.concatenate([parity_bits(s) for s in sets])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], bits, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], bits, pa.array([many_bits(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
                     at += len(ids)
             if counts.any():
                 none = [pa.nulls(PIECES, pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
 
-        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, bits array<long>, piece int, counts binary")
+        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, bits array<long>, wide binary, piece int, counts binary")
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
@@ -374,19 +408,21 @@ class Join:
         return int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(sid, grams) of the wanted set ids, from one more scan of the texts. A bit filter of fixed size keeps most others from the shuffle; joins drop the rest."""
-        n, bits = self.n, 64 * FILTER_WORDS
-        place = F.conv(F.hex(F.substring("sid", 1, 4)), 16, 10).cast("long") % bits
-        words = wanted.select(place.alias("p")).select(F.expr("CAST(p DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
-        found = [(r[0], r[1]) for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect()]  # FILTER_WORDS rows at most
+        """(sid, grams) of the wanted set ids, from one more scan of the texts. A bit filter of fixed size over content hashes keeps most other texts from being looked at; joins drop the rest."""
+        n, size = self.n, 8 * FILTER_WORDS
+        words = wanted.join(self.classes, "sid").select(F.pmod("first.a", F.lit(8 * size)).alias("p")).select(F.expr("CAST(p DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
+        bits = bytearray(size)
+        for w, m in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():  # FILTER_WORDS rows at most
+            bits[8 * w : 8 * w + 8] = (m & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+        place = F.pmod(F.xxhash64("text"), F.lit(8 * size))
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        asked = F.getbit(byte, (place % 8).cast("int")) == 1
 
         def run(batches):
-            import numpy as np
             import pyarrow as pa
+            import numpy as np
 
-            grams, seen, asked = Grams(n), set(), np.zeros(FILTER_WORDS, np.uint64)
-            for w, m in found:
-                asked[w] = m & 0xFFFFFFFFFFFFFFFF
+            grams, seen = Grams(n), set()
             for batch in batches:
                 for _, texts in texts_of(batch):
                     keep = []
@@ -394,16 +430,14 @@ class Join:
                         sid = set_id(s)
                         if sid is None or sid in seen:
                             continue
-                        h = int.from_bytes(sid[:4], "big") % bits
-                        if int(asked[h // 64]) >> (h % 64) & 1:
-                            if len(seen) > 200_000:
-                                seen.clear()
-                            seen.add(sid)
-                            keep.append((sid, s.view(np.int64)))
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(sid)
+                        keep.append((sid, s.view(np.int64)))
                     if keep:
                         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.list_(pa.int64()))], ["sid", "grams"])
 
-        return self.docs.mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
+        return self.docs.where(asked).mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
 
     def labels(self) -> DataFrame:
         """(v, c): the component of each set with a link, as its least set id."""
@@ -419,17 +453,17 @@ class Join:
         done = cut(self.compared(cut(first.unionByName(self.near(self.led(hot))).distinct())))
         label = self.joined(done)
         hot = cut(self.unsettled(hot, label))
-        new = self.apart(pairs, label).unionByName(self.crossed(hot, True))
-        for every in (False, None):  # then all pairs of long lists, then none are left
-            new = cut(new.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
-            if new.isEmpty():
+        new, rest = self.apart(pairs, label), True
+        for partners in (1, 8, None):
+            crossed = cut(self.crossed(hot, partners))
+            rest = not crossed.where("a IS NULL").isEmpty()
+            new = cut(new.unionByName(crossed.where("a IS NOT NULL")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            if not new.isEmpty():
+                found = cut(self.compared(new))
+                label, done = self.joined(found, label), done.unionByName(found)
+            if not rest:
                 break
-            found = cut(self.compared(new))
-            label, done = self.joined(found, label), done.unionByName(found)
-            if every is None:
-                break
-            hot = cut(self.unsettled(hot.select("sig", "sid", "n"), label))
-            new = self.crossed(hot, every)
+            hot, new = cut(self.unsettled(hot.select("sig", "sid", "n"), label)), new.limit(0)
         return label
 
     @staticmethod
@@ -440,66 +474,105 @@ class Join:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and parity bits leave them a chance."""
+        percent = self.sim.percent
         of = lambda c: self.classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
         differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         total = F.col("na") + F.col("nb")
         most = F.least(F.col("na"), F.col("nb"), F.floor((total - differ) / 2))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= self.sim.percent * (total - most)).select("a", "b")
+        left = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= percent * (total - most)).select("a", "b", "na", "nb")
 
-    def crossed(self, hot: DataFrame, once: bool) -> DataFrame:
-        """(a, b): the pairs of different components in long lists that parity bits leave a chance; once: of each two components only one in each block."""
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                most = [shared_at_most(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+                keep = [100 * m >= percent * (na + nb - m) for m, na, nb in zip(most, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        large = self.classes.where("wide IS NOT NULL")
+        wide = lambda c: large.select(F.col("sid").alias(c), F.col("wide").alias(f"wide{c}"))
+        small = left.where(f"least(na, nb) <= {LARGE}").select("a", "b")
+        both = left.where(f"least(na, nb) > {LARGE}").join(wide("a"), "a").join(wide("b"), "b")
+        return small.unionByName(both.select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(run, "a binary, b binary"))
+
+    def crossed(self, hot: DataFrame, partners: int | None) -> DataFrame:
+        """(a, b): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner (1), that and the first few in its block, or all (None). A row of nulls says that pairs were left out."""
         percent = self.sim.percent
 
         def pairs_of(rows: list):
-            """rows (i, j, block, sid, n, c, bits) of one pair of blocks."""
+            """rows (i, j, block, sid, n, c, bits, wide) of one pair of blocks."""
             import numpy as np
 
             i, j = rows[0][:2]
             block, n = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
             label = np.unique(np.array([r[5] for r in rows], object), return_inverse=True)[1]
-            x = np.unpackbits(np.array([r[6] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32)
-            ones, seen = x.sum(1), set()
-            for at in range(0, len(rows), 500):
-                part = slice(at, at + 500)
-                total = n[part, None] + n[None, :]
-                most = np.minimum(np.minimum(n[part, None], n[None, :]), (total - (ones[part, None] + ones[None, :] - 2 * (x[part] @ x.T))) // 2)
-                like = (100 * most >= percent * (total - most)) & (label[part, None] < label[None, :])
+            bits = np.array([r[6] for r in rows], np.int64)
+            large = np.flatnonzero([r[7] is not None for r in rows])
+            some = np.concatenate([folded(np.frombuffer(rows[k][7], np.int64).reshape(1, -1), SOME_WORDS) for k in large]) if len(large) else bits
+            for start in range(0, len(rows), 500):
+                own = np.arange(start, min(start + 500, len(rows)))
+                total = n[own][:, None] + n[None, :]
+                differ = differing(bits[own], bits)
+                mine = np.flatnonzero(np.isin(large, own))
+                if len(mine):
+                    differ[np.ix_(large[mine] - start, large)] = differing(some[mine], some)
+                most = np.minimum(np.minimum(n[own][:, None], n[None, :]), (total - differ) // 2)
+                like = (100 * most >= percent * (total - most)) & (label[own][:, None] != label[None, :])
                 if i != j:
-                    like &= block[part, None] != block[None, :]
+                    like &= block[own][:, None] != block[None, :]
+                for a, b in zip(*np.nonzero(like & (np.minimum(n[own][:, None], n[None, :]) > LARGE)), strict=True):
+                    most[a, b] = shared_at_most(n[own[a]], n[b], rows[own[a]][7], rows[b][7])
+                    like[a, b] = 100 * most[a, b] >= percent * (total[a, b] - most[a, b])
+                if partners is not None:
+                    chosen = like & (np.cumsum(like, axis=1) <= partners - 1)
+                    at = np.where(like, most / total, -1).argmax(1)
+                    chosen[np.arange(len(own)), at] = like[np.arange(len(own)), at]
+                    if (chosen != like).any():
+                        yield (None, None)
+                    like = chosen
                 for a, b in zip(*(k.tolist() for k in np.nonzero(like)), strict=True):
-                    a += at
-                    if not once or (label[a], label[b]) not in seen:
-                        seen.add((label[a], label[b]))
-                        yield tuple(sorted((rows[a][3], rows[b][3])))
+                    yield tuple(sorted((rows[own[a]][3], rows[b][3])))
 
         def run(batches):
             import pyarrow as pa
 
-            def packed(found):
-                return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
-
             key, rows, found = None, [], set()
+
+            def flush(most: int):
+                if len(found) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+                    found.clear()
+
+            def close():
+                for pair in pairs_of(rows) if rows else ():
+                    found.add(pair)
+                    yield from flush(HELD_PAIRS)
+
             for batch in batches:
                 for sig, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (sig, *row[:2]) != key:
-                        for pair in pairs_of(rows) if rows else ():
-                            found.add(pair)
-                            if len(found) > HELD_PAIRS:
-                                yield packed(list(found))
-                                found.clear()
+                        yield from close()
                         key, rows = (sig, *row[:2]), []
                     rows.append(row)
-            for pair in pairs_of(rows) if rows else ():
-                found.add(pair)
-                if len(found) > HELD_PAIRS:
-                    yield packed(list(found))
-                    found.clear()
-            yield packed(list(found))
-
-        known = hot.join(self.classes.select("sid", "bits"), "sid")
-        count = hot.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("k"))
-        dealt = known.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        rows = dealt.select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "n", "c", "bits")
+            yield from close()
+            yield from flush(0)
+
+        # lists of the same sets need one comparison
+        mark = [F.sum(F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)")) for k in (0, 1)]
+        one = hot.groupBy("sig").agg(*[m.alias(f"m{k}") for k, m in enumerate(mark)]).groupBy("m0", "m1").agg(F.min("sig").alias("sig")).select("sig")
+        known = hot.join(one, "sig").join(self.classes.select("sid", "bits", "wide"), "sid").withColumn("size", 8 * BIT_WORDS + F.coalesce(F.octet_length("wide"), F.lit(0)))
+        leader = known.groupBy("sig").agg(F.min(F.struct("sid", "c")).alias("of")).select("sig", F.col("of.c").alias("main"))
+        known = known.join(leader, "sig").withColumn("main", F.col("c") == F.col("main"))
+        blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
+        count = known.groupBy("sig").agg(blocks(F.col("main")).alias("km"), blocks(~F.col("main")).alias("ko"))
+        dealt = known.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.when(F.col("main"), F.col("km")).otherwise(F.col("ko"))).cast("int"))
+        to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        columns = ["sig", "i", "j", "block", "sid", "n", "c", "bits", "wide"]
+        # blocks of the leader's component (from 0) against those of the rest (from -1 down), and those of the rest against each other
+        main = dealt.where("main").withColumn("o", to("ko")).select("sig", F.col("block").alias("i"), (-1 - F.col("o")).alias("j"), *columns[3:])
+        rest = dealt.where("NOT main").withColumn("o", to("km")).select("sig", F.col("o").alias("i"), (-1 - F.col("block")).alias("j"), (-1 - F.col("block")).alias("block"), *columns[4:])
+        among = dealt.where("NOT main").withColumn("o", to("ko")).select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), *columns[3:])
+        rows = main.unionByName(rest).unionByName(among).select(*columns)
         return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary")
 
     def led(self, hot: DataFrame) -> DataFrame:
