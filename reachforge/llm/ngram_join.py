@@ -408,22 +408,23 @@ class Join:
         return int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(sid, grams) of the wanted set ids, from one more scan of the texts. A bit filter of fixed size over content hashes keeps most other texts from being looked at; joins drop the rest."""
-        n, size = self.n, 8 * FILTER_WORDS
-        words = wanted.join(self.classes, "sid").select(F.pmod("first.a", F.lit(8 * size)).alias("p")).select(F.expr("CAST(p DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
-        bits = bytearray(size)
-        for w, m in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():  # FILTER_WORDS rows at most
-            bits[8 * w : 8 * w + 8] = (m & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
-        place = F.pmod(F.xxhash64("text"), F.lit(8 * size))
-        byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        asked = F.getbit(byte, (place % 8).cast("int")) == 1
+        """(sid, grams) of the wanted set ids, from one more scan of the texts. A bit filter of fixed size over content hashes keeps most other texts from being cut into n-grams; joins drop the rest."""
+        n, size = self.n, 64 * FILTER_WORDS
+        words = wanted.join(self.classes, "sid").select(F.pmod("first.a", F.lit(size)).alias("p")).select(F.expr("CAST(p DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
+        found = [(r[0], r[1]) for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect()]  # FILTER_WORDS rows at most
 
         def run(batches):
-            import pyarrow as pa
             import numpy as np
+            import pyarrow as pa
 
-            grams, seen = Grams(n), set()
+            grams, seen, asked = Grams(n), set(), np.zeros(FILTER_WORDS, np.uint64)
+            for w, m in found:
+                asked[w] = m & 0xFFFFFFFFFFFFFFFF
             for batch in batches:
+                place = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((asked[place // 64] >> (place % 64).astype(np.uint64)) & np.uint64(1) == 1))
+                if not batch.num_rows:
+                    continue
                 for _, texts in texts_of(batch):
                     keep = []
                     for s in grams.sets(texts):
@@ -437,7 +438,7 @@ class Join:
                     if keep:
                         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.list_(pa.int64()))], ["sid", "grams"])
 
-        return self.docs.where(asked).mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
+        return self.docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(size)).alias("place")).mapInArrow(run, "sid binary, grams array<long>").groupBy("sid").agg(F.first("grams").alias("grams"))
 
     def labels(self) -> DataFrame:
         """(v, c): the component of each set with a link, as its least set id."""
