@@ -14,10 +14,12 @@ LAST_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none."""
+    """The folder of spark.checkpoint.dir. A local one is set only where the session has none and runs on this machine alone; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     ctx = spark.sparkContext
     if ctx.getCheckpointDir() is None:
+        if found is None and not ctx.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         ctx.setCheckpointDir(found or tempfile.mkdtemp(prefix="reachforge-"))
     return found or ctx.getCheckpointDir()
 
@@ -45,3 +47,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often `use` refers to it, also inside its own lambda functions."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))  # a function of one parameter: transform would give a second one the index
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
