@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, BPE encoding.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and writes Parquet that the next one reads.
+
+Defined results: null and empty texts fail the quality rules and go; rows that repeat id and text are one document in line dedup and the
+join, of which one stays; rows without an id take part by their content; no rows give none, and no benchmark rows drop none; other
+columns pass through all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from reachforge.llm import bpe_codec, decontaminate, line_dedup, ngram_join, quality_rules
-from reachforge.llm.common import read, shared_dir
+from reachforge.llm.common import read, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:  # what the stage read is not needed any more
+            remove(spark, f"{base}/{k - 1}")
     return docs
