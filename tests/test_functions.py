@@ -59,7 +59,7 @@ def test_list_equality(spark):
     assert df.where(jsonlist.same_list(F.col("a"), F.col("b")) != F.col("same")).count() == 0
 
 
-@pytest.mark.parametrize(("raw", "want"), [("2024-02-29", date(2024, 2, 29)), ("2024-02-29T23:30:00+0200", date(2024, 2, 29)), ("2023-02-29", None), ("2024-13-01T00:00:00Z", None), ("", None), (None, None), ("soon", None)])
+@pytest.mark.parametrize(("raw", "want"), [("2024-02-29", date(2024, 2, 29)), ("2024-02-29T23:30:00+0200", date(2024, 2, 29)), ("2023-02-29", None), ("2024-13-01T00:00:00Z", None), ("", None), (None, None), ("soon", None), ("2024-02-29garbage", date(2024, 2, 29))])
 def test_dates_keep_the_local_day(spark, raw, want):
     assert one(spark, raw, dates.date_only) == want
     assert one(spark, raw, dates.month) == (want.strftime("%Y-%m") if want else None)
@@ -90,7 +90,7 @@ def test_numbers_are_finite(spark, raw, want):
 def test_scopes_and_platforms(spark):
     ages = [('["18","65"]', "Broad"), ('["18","64"]', "Narrow"), ('["30","20"]', None), ('["18"]', None), ("x", None), (None, None)]
     assert [one(spark, a, scalars.age_scope) for a, _ in ages] == [w for _, w in ages]
-    platforms = [('["facebook","instagram"]', "Both"), ('["instagram"]', "Instagram-only"), ('["facebook"]', "Facebook-only"), ('["facebook","facebook"]', "Other"), ('["messenger"]', "Other"), ("", None), (None, None)]
+    platforms = [('["facebook","instagram"]', "Both"), ('["instagram"]', "Instagram-only"), ('["facebook"]', "Facebook-only"), ('["facebook","facebook"]', "Other"), ('["messenger"]', "Other"), ("[]", "Other"), ("", None), (None, None)]
     assert [one(spark, a, scalars.platform_category) for a, _ in platforms] == [w for _, w in platforms]
 
 

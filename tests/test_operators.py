@@ -116,3 +116,19 @@ def test_published_benchmark_bounds(spark):
     rows = [("both", "male", 17_700_000, 20_800_000), ("both", "female", 18_600_000, 21_800_000)]
     r = benchmarks.share_bounds(spark.createDataFrame(rows, "platform_scope string, gender string, estimate_mau_lower_bound long, estimate_mau_upper_bound long")).first()
     assert (round(r.benchmark_lower, 5), round(r.benchmark_upper, 5)) == (0.47208, 0.5519)
+
+
+def test_an_excluded_id_without_a_row_is_an_error(spark):
+    rows = spark.createDataFrame([("1", "b", "home")], "meta_ad_id string, search_brand string, sector string")
+    auto = spark.createDataFrame([("2", "r", "m")], "meta_ad_id string, eligibility_reason string, matched_rule string")
+    manual = spark.createDataFrame([], "meta_ad_id string, final_manual_category string")
+    with pytest.raises(Exception, match="excluded id without a row: 2"):
+        lock.ledger(rows, auto, manual).collect()
+    with pytest.raises(ValueError, match="_seq"):
+        lock.noncommercial(spark.createDataFrame([("1", "keep")], "meta_ad_id string, final_classification string"))
+
+
+def test_a_sample_holds_an_id_once(spark):
+    df = spark.createDataFrame([(i % 30, c) for i, c in zip(range(90), "ab" * 45, strict=True)], "id int, c string")
+    got = [r.id for r in audit.stratified_sample(df, "id", ["c"], 2, 50).collect()]
+    assert len(got) == len(set(got)) == 30

@@ -120,3 +120,44 @@ def test_streaming_upsert(spark, tmp_path):
         upsert_latest(s, out, str(tmp_path / "cp"), ["id"], ["ts"], buckets=4).awaitTermination(120)
         assert k or current(spark, out).count() == 2
     assert sorted((r.id, r.v) for r in current(spark, out).collect()) == [("1", "c"), ("2", "b"), ("3", "d")]
+
+
+def test_a_smaller_page_size_begins_anew_where_cursors_carry_their_size():
+    """The cursor names the size that it was made with, as a link to the next page does."""
+    asked = []
+
+    def send(p):
+        size, at = map(int, p["after"].split(":")) if "after" in p else (p["limit"], 0)
+        asked.append((size, at))
+        if at and size > 50:
+            return Reply(500, {}, {})
+        return Reply(200, {"data": list(range(at, min(at + size, 120))), "paging": {"next": f"{size}:{at + size}"} if at + size < 120 else {}}, {})
+
+    assert requests.pages(send, {}, Control(page_sizes=(100, 50)), lambda _: None) == list(range(120))
+    assert asked == [(100, 0), (100, 100), (50, 0), (50, 50), (50, 100)]
+
+
+def test_doubling_waits_of_a_fetch():
+    slept, left = [], [1, 1, 1]
+
+    def send(_):
+        if left:
+            left.pop()
+            raise ConnectionError
+        return Reply(200, {}, {})
+
+    requests.fetch(send, {}, Control(doubling=(2, 60)), slept.append)
+    assert slept == [2, 4, 8]
+
+
+def test_collection_resumes_without_finished_segments(spark, tmp_path):
+    for k in ("7", "8"):
+        (tmp_path / "in" / k).mkdir(parents=True)
+        (tmp_path / "in" / k / "0.json").write_text(json.dumps({"data": [item(f"{k}1", "2024-01-05"), item(f"{k}2", "2024-03-01")]}))
+    out, ask = str(tmp_path / "out"), {"dir": tmp_path / "in", "days": 40, "page_delay": 0}
+    pages.collect_ads(spark, out, [("b", "home", "7")], "2024-01-01", "2024-03-31", **ask)
+    (tmp_path / "in" / "7" / "0.json").unlink()  # finished segments are not asked for again
+    both = pages.collect_ads(spark, out, [("b", "home", "7"), ("c", "home", "8")], "2024-01-01", "2024-03-31", batch=1, **ask)
+    assert sorted(r.meta_ad_id for r in both.collect()) == ["71", "72", "81", "82"]
+    with pytest.raises(ValueError, match="settings differ"):
+        pages.collect_ads(spark, out, [("b", "home", "7")], "2024-01-01", "2024-04-30", **ask)
