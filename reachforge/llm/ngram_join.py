@@ -55,8 +55,10 @@ SALTED = 20_000
 HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
 #: Sets compared to one leader in a task.
 LED = 5_000
-#: Sets of a block of a long list, and bytes of their bits.
-BLOCK_SETS, BLOCK_BYTES = 4000, 32_000_000
+#: So few pairs are broadcast to the table of classes; of more, both are dealt by set.
+FEW_PAIRS = 50_000
+#: Sets of a block of a long list.
+BLOCK_SETS = 4000
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -262,7 +264,7 @@ class Join:
         first = cut(self._members())
         self.members = first.where("piece IS NULL").select("doc_id", "n", "sid", "a", "b")
         whole = first.where("sid IS NOT NULL").groupBy("sid")
-        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
+        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("some").alias("some"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
         self._order(first.where("piece IS NOT NULL").select("piece", "counts"))
 
     def _order(self, pieces: DataFrame) -> None:
@@ -295,20 +297,22 @@ class Join:
             import pyarrow as pa
 
             grams, counts = Grams(n), np.zeros(BUCKETS, np.int64)
-            names = ["doc_id", "n", "sid", "a", "b", "bits", "wide", "piece", "counts"]
+            names = ["doc_id", "n", "sid", "a", "b", "bits", "some", "wide", "piece", "counts"]
             for batch in batches:
                 at = 0
                 for ids, texts in texts_of(batch):
                     sets = grams.sets(texts)
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                     bits = pa.ListArray.from_arrays(pa.array(range(0, BIT_WORDS * (len(sets) + 1), BIT_WORDS), pa.int32()), pa.array(np.concatenate([parity_bits(s) for s in sets])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], bits, pa.array([many_bits(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    wide = [many_bits(s) for s in sets]
+                    some = [w and folded(np.frombuffer(w, np.int64).reshape(1, -1), SOME_WORDS).tobytes() for w in wide]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.binary()), *[batch.column(k).slice(at, len(ids)) for k in (2, 3)], bits, *[pa.array(b, pa.binary()) for b in (some, wide)], pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
                     at += len(ids)
             if counts.any():
                 none = [pa.nulls(PIECES, pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.nulls(PIECES, pa.list_(pa.int64())), pa.nulls(PIECES, pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(PIECES, pa.binary()), *none, pa.nulls(PIECES, pa.list_(pa.int64())), *[pa.nulls(PIECES, pa.binary())] * 2, pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(PIECES, -1)], pa.binary())], names)
 
-        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, bits array<long>, wide binary, piece int, counts binary")
+        return self.docs.select("doc_id", "text", *content()).mapInArrow(run, "doc_id long, n long, sid binary, a long, b long, bits array<long>, some binary, wide binary, piece int, counts binary")
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
@@ -454,11 +458,12 @@ class Join:
         done = cut(self.compared(cut(first.unionByName(self.near(self.led(hot))).distinct())))
         label = self.joined(done)
         hot = cut(self.unsettled(hot, label))
+        self.hot_classes = cut(hot.select("sid").distinct().join(self.classes.select("sid", "bits", "some"), "sid"))
         new, rest = self.apart(pairs, label), True
         for partners in (1, 8, None):
             crossed = cut(self.crossed(hot, partners))
             rest = not crossed.where("a IS NULL").isEmpty()
-            new = cut(new.unionByName(crossed.where("a IS NOT NULL")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            new = cut(new.unionByName(self.near(crossed.where("a IS NOT NULL").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
                 found = cut(self.compared(new))
                 label, done = self.joined(found, label), done.unionByName(found)
@@ -480,7 +485,9 @@ class Join:
         differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         total = F.col("na") + F.col("nb")
         most = F.least(F.col("na"), F.col("nb"), F.floor((total - differ) / 2))
-        left = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * most >= percent * (total - most)).select("a", "b", "na", "nb")
+        pairs = cut(pairs)
+        small = F.broadcast if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS else lambda df: df
+        left = small(small(pairs).join(of("a"), "a")).join(of("b"), "b").where(100 * most >= percent * (total - most)).select("a", "b", "na", "nb")
 
         def run(batches):
             import pyarrow as pa
@@ -492,16 +499,16 @@ class Join:
 
         large = self.classes.where("wide IS NOT NULL")
         wide = lambda c: large.select(F.col("sid").alias(c), F.col("wide").alias(f"wide{c}"))
-        small = left.where(f"least(na, nb) <= {LARGE}").select("a", "b")
-        both = left.where(f"least(na, nb) > {LARGE}").join(wide("a"), "a").join(wide("b"), "b")
-        return small.unionByName(both.select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(run, "a binary, b binary"))
+        less = left.where(f"least(na, nb) <= {LARGE}").select("a", "b")
+        both = small(small(left.where(f"least(na, nb) > {LARGE}")).join(wide("a"), "a").drop("bitsa", "bitsb")).join(wide("b"), "b")
+        return less.unionByName(both.select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(run, "a binary, b binary"))
 
     def crossed(self, hot: DataFrame, partners: int | None) -> DataFrame:
         """(a, b): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner (1), that and the first few in its block, or all (None). A row of nulls says that pairs were left out."""
         percent = self.sim.percent
 
         def pairs_of(rows: list):
-            """rows (i, j, block, sid, n, c, bits, wide) of one pair of blocks."""
+            """rows (i, j, block, sid, n, c, bits, some) of one pair of blocks."""
             import numpy as np
 
             i, j = rows[0][:2]
@@ -509,7 +516,7 @@ class Join:
             label = np.unique(np.array([r[5] for r in rows], object), return_inverse=True)[1]
             bits = np.array([r[6] for r in rows], np.int64)
             large = np.flatnonzero([r[7] is not None for r in rows])
-            some = np.concatenate([folded(np.frombuffer(rows[k][7], np.int64).reshape(1, -1), SOME_WORDS) for k in large]) if len(large) else bits
+            some = np.frombuffer(b"".join(rows[k][7] for k in large), np.int64).reshape(len(large), SOME_WORDS)
             for start in range(0, len(rows), 500):
                 own = np.arange(start, min(start + 500, len(rows)))
                 total = n[own][:, None] + n[None, :]
@@ -521,9 +528,6 @@ class Join:
                 like = (100 * most >= percent * (total - most)) & (label[own][:, None] != label[None, :])
                 if i != j:
                     like &= block[own][:, None] != block[None, :]
-                for a, b in zip(*np.nonzero(like & (np.minimum(n[own][:, None], n[None, :]) > LARGE)), strict=True):
-                    most[a, b] = shared_at_most(n[own[a]], n[b], rows[own[a]][7], rows[b][7])
-                    like[a, b] = 100 * most[a, b] >= percent * (total[a, b] - most[a, b])
                 if partners is not None:
                     chosen = like & (np.cumsum(like, axis=1) <= partners - 1)
                     at = np.where(like, most / total, -1).argmax(1)
@@ -561,19 +565,22 @@ class Join:
         # lists of the same sets need one comparison
         mark = [F.sum(F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)")) for k in (0, 1)]
         one = hot.groupBy("sig").agg(*[m.alias(f"m{k}") for k, m in enumerate(mark)]).groupBy("m0", "m1").agg(F.min("sig").alias("sig")).select("sig")
-        known = hot.join(one, "sig").join(self.classes.select("sid", "bits", "wide"), "sid").withColumn("size", 8 * BIT_WORDS + F.coalesce(F.octet_length("wide"), F.lit(0)))
+        known = hot.join(one, "sig").join(self.hot_classes, "sid")
         leader = known.groupBy("sig").agg(F.min(F.struct("sid", "c")).alias("of")).select("sig", F.col("of.c").alias("main"))
         known = known.join(leader, "sig").withColumn("main", F.col("c") == F.col("main"))
-        blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(own, F.col("size"))), F.lit(0)) / BLOCK_BYTES)).cast("int")
-        count = known.groupBy("sig").agg(blocks(F.col("main")).alias("km"), blocks(~F.col("main")).alias("ko"))
+        blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_SETS)).cast("int")
+        count = known.groupBy("sig").agg(blocks(F.col("main")).alias("km"), blocks(~F.col("main")).alias("ko"), F.count(F.lit(1)).alias("all"))
         dealt = known.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.when(F.col("main"), F.col("km")).otherwise(F.col("ko"))).cast("int"))
         to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-        columns = ["sig", "i", "j", "block", "sid", "n", "c", "bits", "wide"]
-        # blocks of the leader's component (from 0) against those of the rest (from -1 down), and those of the rest against each other
+        columns = ["sig", "i", "j", "block", "sid", "n", "c", "bits", "some"]
+        # a list of one block is one group; of others, blocks of the leader's component (from 0) against those of the rest (from -1 down), and those of the rest against each other
+        one_block = F.col("all") <= BLOCK_SETS
+        single = dealt.where(one_block).select("sig", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), *columns[4:])
+        dealt = dealt.where(~one_block)
         main = dealt.where("main").withColumn("o", to("ko")).select("sig", F.col("block").alias("i"), (-1 - F.col("o")).alias("j"), *columns[3:])
         rest = dealt.where("NOT main").withColumn("o", to("km")).select("sig", F.col("o").alias("i"), (-1 - F.col("block")).alias("j"), (-1 - F.col("block")).alias("block"), *columns[4:])
         among = dealt.where("NOT main").withColumn("o", to("ko")).select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), *columns[3:])
-        rows = main.unionByName(rest).unionByName(among).select(*columns)
+        rows = single.unionByName(main).unionByName(rest).unionByName(among).select(*columns)
         return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary")
 
     def led(self, hot: DataFrame) -> DataFrame:
