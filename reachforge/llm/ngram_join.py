@@ -12,7 +12,7 @@ Lists of up to HOT classes give their pairs; of these stay those that the n-gram
 where they are very long, give only (list, set). Then every set is compared to the leader of each long list it is in, and to the
 first of the sets it is paired with, and what links to a leader is one component. So a group of copies costs a comparison a copy
 and not one a pair. Pairs and lists whose sets are all in one component are done; what is left is compared pair by pair. In a long list
-that still holds several components, each set is compared to the likeliest one of another component, then to a few, then to all that
+that still holds several components, each set is compared to the likeliest ones of other components and a few more, then to all that
 have a chance. Before any comparison of sets stands one of their parity bits: each n-gram flips one bit of its set, so two sets differ
 in at least as many n-grams as bits, and no similar pair is lost; large sets have more bits, which fold to fewer for smaller partners.
 Long lists are compared in blocks of bits in memory, the component of the leader against the rest, and the rest among itself; sets stream,
@@ -460,7 +460,7 @@ class Join:
         hot = cut(self.unsettled(hot, label))
         self.hot_classes = cut(hot.select("sid").distinct().join(self.classes.select("sid", "bits", "some"), "sid"))
         new, rest = self.apart(pairs, label), True
-        for partners in (1, 8, None):
+        for partners in (8, None):
             crossed = cut(self.crossed(hot, partners))
             rest = not crossed.where("a IS NULL").isEmpty()
             new = cut(new.unionByName(self.near(crossed.where("a IS NOT NULL").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
@@ -504,7 +504,7 @@ class Join:
         return less.unionByName(both.select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(run, "a binary, b binary"))
 
     def crossed(self, hot: DataFrame, partners: int | None) -> DataFrame:
-        """(a, b): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner (1), that and the first few in its block, or all (None). A row of nulls says that pairs were left out."""
+        """(a, b): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner and the first few in its block, or all (None). A row of nulls says that pairs were left out."""
         percent = self.sim.percent
 
         def pairs_of(rows: list):
