@@ -683,7 +683,7 @@ def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
     """Nulls in any column, repeated rows, rows without id, clashing columns, and tables without rows."""
     import corpus_pipeline
 
-    text = [" ".join(f"{chr(97 + (i * 7 + j * j) % 26)}{chr(97 + (j * 5 + i) % 26)}{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}{chr(97 + i)}" for j in range(80)) for i in range(5)]
+    text = [" ".join(f"{chr(97 + (i * 7 + j * j) % 26)}{chr(97 + (j * 5 + i) % 26)}{chr(97 + (i * j) % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + i)}" for j in range(80)) for i in range(5)]
     rows = [(0, text[0], None, None, None), (0, text[0], None, None, None), (None, text[1], "en", "s", 1), (None, text[1], "en", "s", 1), (2, None, "en", "s", 0), (None, None, None, None, None), (3, text[3], "en", "s", 1), (3, text[4], "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, docs_, bench in (("odd", df, 0), ("none", df.where("false"), 0)):
