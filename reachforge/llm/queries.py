@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, quality_rules, token_counts, toxicity
+from . import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, quality_rules, token_counts, toxicity
 from .common import read
 
 
@@ -55,9 +55,13 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec)
+    for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec, op12_exact_dedup)
 }
 
 
@@ -96,4 +100,8 @@ JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(
  r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = w.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": chat_sql(chat_format.Template()), "op5_line_dedup": LINES_SQL, "op6_ngram_jaccard_join": JOIN_SQL}
+EXACT_SQL = r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+ r AS (SELECT doc_id, plain, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY plain) AS group_size FROM n WINDOW w AS (PARTITION BY plain ORDER BY size DESC, doc_id NULLS LAST))
+ SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(plain) AS text_sha256 FROM r"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat_sql(chat_format.Template()), "op5_line_dedup": LINES_SQL, "op6_ngram_jaccard_join": JOIN_SQL, "op12_exact_dedup": EXACT_SQL}
