@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, license_scan, line_dedup, ngram_join, quality_rules, token_counts, toxicity
+from . import bpe_codec, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, license_scan, line_dedup, ngram_join, quality_rules, token_counts, toxicity, vector_codes
 from .common import read
 
 
@@ -55,13 +55,21 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(read(spark, sf_dir, "documents"))
 
 
+def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec, op12_exact_dedup)
+    for f in (op1_chat_formatting, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_license_scan, op9_toxicity, op10_bpe_codec, op11_ranked_lexical_search, op12_exact_dedup, op13_vector_code_compression)
 }
 
 
@@ -104,4 +112,27 @@ EXACT_SQL = r"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size, re
  r AS (SELECT doc_id, plain, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY plain) AS group_size FROM n WINDOW w AS (PARTITION BY plain ORDER BY size DESC, doc_id NULLS LAST))
  SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(plain) AS text_sha256 FROM r"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": chat_sql(chat_format.Template()), "op5_line_dedup": LINES_SQL, "op6_ngram_jaccard_join": JOIN_SQL, "op12_exact_dedup": EXACT_SQL}
+#: Every document against every item.
+SEARCH_SQL = rf"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+ i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+ q AS (SELECT item_id, t, count(*) AS often FROM i GROUP BY ALL), f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL), n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+ g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n), w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY t),
+ s AS (SELECT item_id, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // length)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN n USING (doc_id), g GROUP BY ALL),
+ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= {lexical_search.TOP}"""
+
+
+def codes_sql() -> str:
+    """Every part against every entry, round by round."""
+    rounds, parts, entries, scale = vector_codes.ROUNDS, vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.SCALE
+    # the nearest entry and its distance as one number, the lower index first
+    near = lambda k: f"""a{k} AS MATERIALIZED (SELECT r, p.p, any_value(p.x) AS x, min(CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))) AS BIGINT) * {entries} + e) AS near FROM p JOIN c{k} c ON c.p = p.p GROUP BY r, p.p)"""
+    step = lambda k: f"""s{k} AS MATERIALIZED (SELECT p, near % {entries} AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL),
+ c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{k} GROUP BY p, e) m ON m.p = c.p AND m.e = c.e)"""
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT r, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x FROM v, (SELECT unnest(range({parts})) AS p)), c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM p WHERE r <= {entries}),
+ {", ".join(f"{near(k)}, {step(k)}" for k in range(rounds))}, {near(rounds)},
+ o AS (SELECT v.vec_id, v.label, string_agg(printf('%02x', near % {entries}), '' ORDER BY p) AS code, CAST(sum(near // {entries}) AS BIGINT) AS error FROM a{rounds} JOIN v ON v.r = a{rounds}.r GROUP BY v.r, v.vec_id, v.label)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY p, e, i)) FROM c{rounds}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i)) AS codebooks_sha256 FROM o"""
+
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": chat_sql(chat_format.Template()), "op5_line_dedup": LINES_SQL, "op6_ngram_jaccard_join": JOIN_SQL, "op11_ranked_lexical_search": SEARCH_SQL, "op12_exact_dedup": EXACT_SQL, "op13_vector_code_compression": codes_sql()}
