@@ -86,7 +86,7 @@ class Codec:
             return word[1:]
         if SPECIAL <= ord(word[0]) < ord(GIVEN):
             return self.special[ord(word[0]) - SPECIAL][1]
-        return word if word.isascii() else self.bpe.bytes_of(word)
+        return word if word.isascii() and word.isprintable() else self.bpe.bytes_of(word)  # the alphabet leaves ! to ~ as they are
 
     def _ready(self, text: str) -> tuple[bool, str]:
         """(whether the pattern is still to be applied, the text with special strings as private characters)."""
