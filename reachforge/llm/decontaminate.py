@@ -7,9 +7,10 @@ in the text and then in the item, is found by rolling hashes and marked again an
 when the marked words are at least `coverage` of it, in whatever order its passages stand. A tiling takes at most as many rounds as the item has
 seeds side by side, each in time linear in both, so repetitive texts cost no more than others.
 
-The benchmark is given to the executors in blocks of at most BLOCK_CHARS characters, each one broadcast of bounded size. A row goes
-through all blocks in one scan and carries what was found along, so its verdict is its own whatever the number of blocks. Texts are
-not shuffled.
+The benchmark is given to the executors in blocks of about BLOCK_CHARS characters, each one broadcast of bounded size. A block is a
+job of its own: a row carries what was found along, and between blocks the rows are written to the shared folder, so a task holds one block
+and runs one worker whatever the size of the benchmark, and a row's verdict is its own whatever the number of blocks. With one block
+nothing is written. Items of equal text are one item with several ids. Texts are not shuffled.
 
 Defined results: a null text is empty and clean; null items and items under `seed` words match nothing; items with equal texts are
 all reported; repeated rows get the same verdict, and rows that share an id have their own; no rows give none; no benchmark rows make
@@ -18,10 +19,13 @@ every document clean; other columns pass through unchanged in `drop_leaks`.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
+from .common import cut, remove, shared_dir
 
 SEED = 5
 COVERAGE = 0.5
@@ -118,15 +122,18 @@ class Items:
         import numpy as np
 
         self.seed, self.ids, words, seeds, items, places = seed, [], [], [], [], []
+        equal: dict[str, list] = {}
         for item, text in rows:
-            own, _ = word_hashes([text or ""])
+            equal.setdefault(text or "", []).append(item)
+        for text, ids in equal.items():
+            own, _ = word_hashes([text])
             if len(own) < seed:
                 continue
             seeds.append(windows(own, seed))
             items.append(np.full(len(seeds[-1]), len(self.ids), np.int32))
             places.append(np.arange(len(seeds[-1]), dtype=np.int32))
             words.append(own)
-            self.ids.append(item)
+            self.ids.append(ids)
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         self.words, self.start = flat(words, np.uint64), np.cumsum(self.size) - self.size
@@ -167,7 +174,7 @@ class Items:
             text = np.insert(words[at], gap, np.arange(1, len(gap) + 1, dtype=np.uint64))
             covered = tiled(text, own, self.seed)
             if covered >= coverage * n:
-                out[k].append((self.ids[item], covered / n))
+                out[k] += [(i, covered / n) for i in self.ids[item]]  # all ids of the text
         return out
 
     def _possible(self, text_of, seed_of, coverage: float):
@@ -184,28 +191,44 @@ class Items:
                 bounds.append(c)
                 last_cut = c
         for a, b in zip(bounds, [*bounds[1:], len(seed_of)], strict=True):
-            n = times[a:b]
-            at = np.repeat(self.first[seed_of[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            text, item, place = np.repeat(text_of[a:b], n), self.item[at].astype(np.int64), self.place[at].astype(np.int64)
-            order = np.lexsort((place, item, text))
-            text, item, place = text[order], item[order], place[order]
-            new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-            step = np.full(len(text), self.seed)
-            step[1:] = np.where(new[1:], self.seed, np.minimum(place[1:] - place[:-1], self.seed))
-            first = np.flatnonzero(new)
-            bound = np.add.reduceat(step, first)
-            for f in first[bound >= coverage * self.size[item[first]]].tolist():
-                yield int(text[f]), int(item[f])
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items, in blocks of bounded size that are collected one at a time; at least one."""
-    sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + 2 * total // most
-    for b in range(n):
-        yield [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+            pieces = -(-int(times[a:b].sum()) // PLACES)
+            if pieces <= 1:
+                yield from self._covered(text_of[a:b], self.first[seed_of[a:b]], times[a:b], coverage)
+                continue
+            # one text with very many places: the places of a seed are in the order of items, so they are taken by ranges of items
+            limits = np.linspace(0, len(self.ids), pieces + 1).astype(np.int64)
+            key = np.repeat(np.arange(len(self.seeds)), self.times) * len(self.ids) + self.item
+            low = np.searchsorted(key, seed_of[a:b] * len(self.ids))
+            for limit in limits[1:].tolist():
+                high = np.searchsorted(key, seed_of[a:b] * len(self.ids) + limit)
+                yield from self._covered(text_of[a:b], low, high - low, coverage)
+                low = high
+
+    def _covered(self, text_of, first, n, coverage: float):
+        """(text, item) where shared seeds, given by where their places begin and how many there are, cover enough of the item."""
+        import numpy as np
+
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        text, item, place = np.repeat(text_of, n), self.item[at].astype(np.int64), self.place[at].astype(np.int64)
+        order = np.lexsort((place, item, text))
+        text, item, place = text[order], item[order], place[order]
+        if not len(text):
+            return
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+        step = np.full(len(text), self.seed)
+        step[1:] = np.where(new[1:], self.seed, np.minimum(place[1:] - place[:-1], self.seed))
+        begin = np.flatnonzero(new)
+        bound = np.add.reduceat(step, begin)
+        for f in begin[bound >= coverage * self.size[item[begin]]].tolist():
+            yield int(text[f]), int(item[f])
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> tuple[int, DataFrame]:
+    """The number of blocks, at least one, and the items by text (ids, text, block). A block is collected when its turn has come."""
+    equal = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.collect_list(F.struct("item_id")).alias("ids"))
+    n = 1 + 2 * (equal.agg(F.sum(F.length("text"))).first()[0] or 0) // most
+    return n, equal.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
 
 
 def by_groups(texts: list[str], most: int = GROUP_CHARS):
@@ -219,9 +242,24 @@ def by_groups(texts: list[str], most: int = GROUP_CHARS):
         yield texts[start:]
 
 
-def shared_items(docs: DataFrame, rows: list[tuple[int, str]], seed: int):
-    """The index of a block, as one broadcast."""
-    return docs.sparkSession.sparkContext.broadcast(Items(rows, seed))
+def through_blocks(docs: DataFrame, benchmark: DataFrame, scan, schema, seed: int, block_chars: int) -> DataFrame:
+    """The rows after the scan of every block: scan gives the function of batches for a broadcast block. What the last block but one left is written for the last, and stays in the shared folder."""
+    spark, base = docs.sparkSession, None
+    n, items = blocks(benchmark, block_chars)
+    if n > 1:
+        items = cut(items)
+        base = f"{shared_dir(spark)}/blocks-{uuid4().hex}"
+    for b in range(n):
+        rows = [(i[0], r["text"]) for r in items.where(F.col("block") == b).select("text", "ids").collect() for i in r["ids"]]
+        sent = spark.sparkContext.broadcast(Items(rows, seed))
+        docs = docs.mapInArrow(scan(sent), schema)
+        if b < n - 1:
+            docs.write.parquet(f"{base}/{b}")
+            docs = spark.read.parquet(f"{base}/{b}")
+            sent.unpersist()
+            if b:
+                remove(spark, f"{base}/{b - 1}")
+    return docs
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -241,8 +279,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
         return run
 
     out = docs.select(F.col("doc_id").cast("long"), "text", F.expr("CAST(array() AS array<struct<item:long,part:double>>)").alias("found"))
-    for rows in blocks(benchmark, block_chars):
-        out = out.mapInArrow(scan(shared_items(docs, rows, seed)), schema)
+    out = through_blocks(out, benchmark, scan, schema, seed, block_chars)
     items = F.array_sort(F.transform("found", lambda f: f["item"]))
     return out.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), items.alias("items"), F.coalesce(F.array_max(F.transform("found", lambda f: f["part"])), F.lit(0.0)).alias("max_coverage"))
 
@@ -261,6 +298,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
         return run
 
-    for rows in blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(scan(shared_items(docs, rows, seed)), docs.schema)
-    return docs
+    return through_blocks(docs, benchmark, scan, docs.schema, seed, block_chars)
