@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import with_running
+
 
 def exclusion_rates(df: DataFrame, excluded: Column, by: str) -> DataFrame:
     """By group: rows, exclusions, their rate and the group's share of all exclusions. The total is a window over the few groups."""
@@ -14,11 +16,9 @@ def exclusion_rates(df: DataFrame, excluded: Column, by: str) -> DataFrame:
 
 
 def concentration(counts: DataFrame, name: str, n: str) -> DataFrame:
-    """Rank by count, then name; with running sums and shares. counts: one row a group."""
-    w = Window.orderBy(F.desc(n), name)
-    running = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(n).over(Window.partitionBy())
-    return counts.select(name, n, F.row_number().over(w).cast("long").alias("rank"), running.alias("running"), F.round(100.0 * running / total, 4).alias("running_percent"))
+    """Rank by count, then name; with running sums and shares. counts: one row a group, of any number of groups."""
+    ranked = with_running(counts.select(name, n), [F.desc(n), F.asc(name)], n)
+    return ranked.select(name, n, "rank", "running", F.round(100.0 * F.col("running") / F.col("total"), 4).alias("running_percent"))
 
 
 def top_share(counts: DataFrame, name: str, n: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

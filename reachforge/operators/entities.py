@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tally(hits: DataFrame, page: str = "page_id", name: str = "page_name", seq: str = "_seq") -> DataFrame:
+def tally(hits: DataFrame, page: str | list[str] = "page_id", name: str = "page_name", seq: str | Column = "_seq") -> DataFrame:
     """Ads by page, with the name seen last."""
-    return hits.groupBy(page).agg(F.count(F.lit(1)).alias("ad_count"), F.max_by(name, seq).alias(name))
+    return hits.groupBy(*([page] if isinstance(page, str) else page)).agg(F.count(F.lit(1)).alias("ad_count"), F.max_by(name, seq).alias(name))
 
 
 def top_candidates(scored: DataFrame, by: str, score: str, tie: list[str], k: int = 8, least: float = 100.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""First-match text rules: an ordered rule table, compiled into one conditional expression over text that is normalised once."""
+"""First-match text rules: an ordered rule table, compiled into one conditional expression over text that is normalised once. The phrases of all signals are found by one automaton in one pass over the text."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import first_of
 from ..functions.text import normalise_a, python_normalise_a
 
 
@@ -17,12 +18,11 @@ class Signal:
     terms: tuple[str, ...]
     regex: bool = False
 
-    def match(self, text: Column) -> Column:
-        """(term as written, what to look for in normalised text) of the first match, or null. The terms are one literal array, so that the plan, and the code made of it, stay small however long the list is."""
+    def match(self, text: Column, place: Column) -> Column:
+        """(term as written, what to look for in normalised text) of the first match, or null. place: of the first phrase in the text, or -1."""
         if self.regex:
-            return F.coalesce(*[F.when(text.rlike(t), F.struct(F.lit(t).alias("term"), F.lit(n).alias("n"))) for t, n in self._pairs()], F.lit(None))
-        pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("n")) for t, n in self._pairs()])
-        return F.get(F.filter(pairs, lambda p: text.contains(p["n"])), F.lit(0))
+            return F.coalesce(*[F.when(text.rlike(t), F.struct(F.lit(t).alias("term"), F.lit(n).alias("n"))) for t, n in self.pairs()], F.lit(None))
+        return F.get(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("n")) for t, n in self.pairs()]), place)
 
     def field(self, found: Column, texts: dict[str, Column]) -> Column:
         """The first field that holds the matched term, else combined_text."""
@@ -30,7 +30,7 @@ class Signal:
             return F.coalesce(*[F.when(x.contains(found["n"]), F.lit(name)) for name, x in texts.items()], F.lit("combined_text"))
         return F.coalesce(*[F.when((found["term"] == t) & x.rlike(t), F.lit(name)) for name, x in texts.items() for t in self.terms], F.lit("combined_text"))
 
-    def _pairs(self) -> list[tuple[str, str]]:
+    def pairs(self) -> list[tuple[str, str]]:
         return [(t, t if self.regex else python_normalise_a(t)) for t in self.terms]
 
 
@@ -51,7 +51,9 @@ def classify(df: DataFrame, fields: list[str], signals: dict[str, Signal], rules
     text_of = lambda f: norm(F.array_join(F.col(f), " ") if kinds[f].startswith("array") else F.col(f))
     t = df.withColumns({f"_t_{f}": text_of(f) for f in fields}).withColumn("_text", F.trim(F.regexp_replace(F.concat_ws(" ", *[F.col(f"_t_{f}") for f in fields]), " +", " ")))
     used = list(dict.fromkeys(s for r in rules for s in r.signals))
-    t = t.withColumns({f"_m_{s}": signals[s].match(F.col("_text")) for s in used})
+    phrases = [s for s in used if not signals[s].regex]
+    t = t.withColumn("_at", first_of([[n for _, n in signals[s].pairs()] for s in phrases])(F.col("_text")) if phrases else F.array())
+    t = t.withColumns({f"_m_{s}": signals[s].match(F.col("_text"), F.get("_at", F.lit(phrases.index(s) if s in phrases else -1))) for s in used})
     texts = {f: F.col(f"_t_{f}") for f in fields}
 
     def outcome(r: Rule) -> Column:

@@ -1,7 +1,9 @@
 """Cluster-robust covariance with small-sample corrections, on cells.
 
 In a cluster the n equal rows of a cell act as one row scaled by the root of n: what is orthogonal to the cell's mean meets neither
-the design nor the corrections, so CR2, Satterthwaite degrees of freedom and the Hotelling test equal those over rows. Sources:
+the design nor the corrections, so CR2, Satterthwaite degrees of freedom and the Hotelling test equal those over rows. The adjustment
+of a cluster is D'(D R D')^(-1/2) D, where D D' is its working variance and R the working variance of its residuals; as the working
+variance of a logit model differs between the cells of a cluster, this is not the inverse root on the scale of unit errors. Sources:
 Bell and McCaffrey 2002; Pustejovsky and Tipton 2018; Zhang 2012.
 """
 
@@ -17,7 +19,7 @@ from .glm import Fit
 
 @dataclass
 class Robust:
-    """Of each cluster: its rows of the scaled design (t), and its adjustment (a), in units of the working standard deviation."""
+    """Of each cluster: its rows of the scaled design (t), and its adjustment (a) of residuals in units of the working standard deviation."""
 
     fit: Fit
     groups: list[np.ndarray]
@@ -30,7 +32,7 @@ class Robust:
         """(clusters, cells): what each cluster's part of c.beta is made of; independent unit errors on cells."""
         out = np.zeros((len(self.groups), len(self.t)))
         for g, (rows, a) in enumerate(zip(self.groups, self.adjust, strict=True)):
-            u = a @ self.t[rows] @ self.fit.bread @ c  # A symmetric
+            u = a.T @ self.t[rows] @ self.fit.bread @ c
             out[g, rows] += u
             out[g] -= self.t @ (self.fit.bread @ (self.t[rows].T @ u))
         return out
@@ -42,6 +44,15 @@ class Robust:
         return float(np.trace(k) ** 2 / (k**2).sum())
 
 
+def adjustment(t: np.ndarray, bread: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """Of a cluster with these rows of the scaled design and working variances phi: what is applied to residuals in units of the working standard deviation."""
+    phi = phi / phi.mean()  # only their proportions count
+    b = phi[:, None] * (np.eye(len(t)) - t @ bread @ t.T) * phi[None, :]
+    e, q = np.linalg.eigh((b + b.T) / 2)
+    least = 1e-10 * max(e.max(), 1e-300)
+    return ((q * np.where(e > least, 1 / np.sqrt(np.maximum(e, least)), 0.0)) @ q.T) * phi[None, :]
+
+
 def robust(fit: Fit, kind: str = "CR2") -> Robust:
     """kind: CR0, CR1S or CR2."""
     c = fit.cells
@@ -55,10 +66,7 @@ def robust(fit: Fit, kind: str = "CR2") -> Robust:
         if kind != "CR2":
             adjust.append(np.eye(len(rows)))
             continue
-        b = np.eye(len(rows)) - t[rows] @ fit.bread @ t[rows].T
-        e, q = np.linalg.eigh((b + b.T) / 2)
-        root = np.where(e > 1e-10, 1 / np.sqrt(np.maximum(e, 1e-10)), 0.0)
-        adjust.append((q * root) @ q.T)
+        adjust.append(adjustment(t[rows], fit.bread, v[rows]))
     meat = np.zeros((len(fit.beta),) * 2)
     for rows, a in zip(groups, adjust, strict=True):
         u = t[rows].T @ (a @ r[rows])
