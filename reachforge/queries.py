@@ -500,4 +500,4 @@ def leave_one_out_contrasts(spark, d):
     return spark.createDataFrame([(r["name"], r["low"], r["low_without"], r["high"], r["high_without"]) for r in rows], "name string, low double, low_without string, high double, high_without string")
 
 
-from . import model_queries, table_queries  # noqa: E402, F401  they add their own
+from . import model_queries, source_queries, table_queries  # noqa: E402, F401  they add their own

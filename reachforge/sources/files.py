@@ -26,8 +26,8 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Fixed order; columns that are not named are left out; nulls are blank."""
-    df.select(*[F.col(c).cast("string") for c in columns]).write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="").csv(path)
+    """Fixed order; columns that are not named are left out; nulls are blank; spaces at the ends of a text stay."""
+    df.select(*[F.col(c).cast("string") for c in columns]).write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_verified(df: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:

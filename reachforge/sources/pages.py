@@ -1,25 +1,36 @@
-"""Paginated sources as Spark data sources: one input partition for each entity and date range, read on the executors."""
+"""Paginated sources as Spark data sources, read on the executors: an input partition for each entity and date range, or, under a rate limit, for each lane of them."""
 
 from __future__ import annotations
 
 import json
 from datetime import date, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas as S
-from .requests import Control, Reply, collect_range, refuse_changed
+from .requests import Control, Reply, bisect, collect_range, lanes, paced, refuse_changed, too_large
 
 
-class Range(InputPartition):
-    def __init__(self, brand: str, sector: str, page_id: str, start: str, end: str):
-        self.brand, self.sector, self.page_id, self.start, self.end = brand, sector, page_id, start, end
+class Range(NamedTuple):
+    brand: str
+    sector: str
+    page_id: str
+    start: str
+    end: str
+
+
+class Lane(InputPartition):
+    """What one task asks for, one after the other, and how many seconds lie between its requests."""
+
+    def __init__(self, jobs: list, interval: float):
+        self.jobs, self.interval = jobs, interval
 
 
 class PagedAds(DataSource):
-    """Options: entities (JSON list of [brand, sector, page id]), start, end, days (of a partition's range), done (JSON list of [page id, first day, last day] of segments to leave out), and either dir (folder of recorded pages, <page id>/*.json) or url with token_env (the environment variable that holds the token on executors)."""
+    """Options: either entities (JSON list of [brand, sector, page id]) with start, end and days (of a range), or ranges (JSON list of [brand, sector, page id, first day, last day], as plan_ranges gives them); done (JSON list of [page id, first day, last day] of segments to leave out); rate (requests a second, of all tasks together) and lanes (tasks that share it); and either dir (folder of recorded pages, <page id>/*.json) or url with token_env (the environment variable that holds the token on executors). Ranges are passed as options through the driver: as many as segments are asked for."""
 
     @classmethod
     def name(cls) -> str:
@@ -36,26 +47,71 @@ class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.o = dict(options)
 
+    def ranges(self) -> list[Range]:
+        done = {tuple(x) for x in json.loads(self.o.get("done", "[]"))}
+        if "ranges" in self.o:
+            every = [Range(*x) for x in json.loads(self.o["ranges"])]
+        else:
+            every = day_ranges(json.loads(self.o["entities"]), self.o["start"], self.o["end"], int(self.o.get("days", 90)))
+        return [r for r in every if (r.page_id, r.start, r.end) not in done]
+
     def partitions(self):
-        start, end, days = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"]), int(self.o.get("days", 90))
-        out, done = [], {tuple(x) for x in json.loads(self.o.get("done", "[]"))}
-        for brand, sector, page in json.loads(self.o["entities"]):
-            a = start
-            while a <= end:
-                b = min(end, a + timedelta(days=days - 1))
-                if (page, a.isoformat(), b.isoformat()) not in done:
-                    out.append(Range(brand, sector, page, a.isoformat(), b.isoformat()))
-                a = b + timedelta(days=1)
-        return out
-
-    def read(self, p: Range):
+        return [Lane(*x) for x in lanes(self.ranges(), rate_of(self.o), int(self.o.get("lanes", 4)))]
+
+    def read(self, p: Lane):
         from datetime import datetime, timezone
 
         control = Control(page_delay=float(self.o.get("page_delay", 1.0)))
-        send = recorded(self.o["dir"], p.page_id) if "dir" in self.o else http(self.o["url"], self.o.get("token_env", "API_TOKEN"))
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        for k, (a, b, item) in enumerate(collect_range(send, {"page_id": p.page_id}, date.fromisoformat(p.start), date.fromisoformat(p.end), control)):
-            yield (p.brand, p.sector, json.dumps(item, ensure_ascii=False), a.isoformat(), b.isoformat(), k, now)
+        for r in p.jobs:
+            r = Range(*r)
+            now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+            send = paced(sender(self.o, r.page_id), p.interval)
+            for k, (a, b, item) in enumerate(collect_range(send, {"page_id": r.page_id}, date.fromisoformat(r.start), date.fromisoformat(r.end), control)):
+                yield (r.brand, r.sector, json.dumps(item, ensure_ascii=False), a.isoformat(), b.isoformat(), k, now)
+
+
+def rate_of(options: dict) -> float | None:
+    return float(options["rate"]) if "rate" in options else None
+
+
+def day_ranges(entities: list, start: str, end: str, days: int) -> list[Range]:
+    first, last, out = date.fromisoformat(start), date.fromisoformat(end), []
+    for entity in entities:
+        a = first
+        while a <= last:
+            b = min(last, a + timedelta(days=days - 1))
+            out.append(Range(*entity, a.isoformat(), b.isoformat()))
+            a = b + timedelta(days=1)
+    return out
+
+
+def sender(options: dict, page_id: str):
+    return recorded(options["dir"], page_id) if "dir" in options else http(options["url"], options.get("token_env", "API_TOKEN"))
+
+
+def plan_ranges(spark: SparkSession, entities: list[tuple[str, str, str]], start: str, end: str, days: int = 90, rate: float | None = None, lanes_most: int = 8, make_sender=sender, **options) -> list[Range]:
+    """Ranges that the server does not refuse for their size, found before anything is read: in each round all ranges in question are probed side by side, with one smallest page each, and those refused are split in two. So the segments of a hot page are read by many tasks, and not one after the other by the task that happens on them. As many rounds as a range can be halved; what reaches the driver is a list of the segments that will be asked for. A range that is refused only on a later page is still split while it is read."""
+    settled, open_ = [], day_ranges(entities, start, end, days)
+    while open_:
+        dealt = lanes(open_, rate, lanes_most) if rate else [(open_[k::lanes_most], 0.0) for k in range(lanes_most) if open_[k::lanes_most]]
+
+        def probe(batches, dealt=dealt):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    jobs, interval = dealt[k]
+                    refused = []
+                    for r in jobs:
+                        a, b = date.fromisoformat(r.start), date.fromisoformat(r.end)
+                        refused.append(a < b and too_large(paced(make_sender(options, r.page_id), interval), {"page_id": r.page_id}, a, b, Control()))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(jobs), pa.int64()), pa.array(range(len(jobs)), pa.int64()), pa.array(refused, pa.bool_())], ["lane", "at", "refused"])
+
+        probed = [(dealt[lane][0][at], refused) for lane, at, refused in spark.range(0, len(dealt), 1, len(dealt)).mapInArrow(probe, "lane long, at long, refused boolean").collect()]
+        settled += [r for r, refused in probed if not refused]
+        halves = [(r[:3], bisect(date.fromisoformat(r.start), date.fromisoformat(r.end))) for r, refused in probed if refused]
+        open_ = [Range(*entity, *(x.isoformat() for x in half)) for entity, two in halves for half in two]
+    return sorted(settled)
 
 
 def recorded(folder: str, page_id: str):
@@ -104,18 +160,20 @@ def read_ads(spark: SparkSession, entities: list[tuple[str, str, str]], start: s
     return to_raw(raw)
 
 
-def collect_ads(spark: SparkSession, path: str, entities: list[tuple[str, str, str]], start: str, end: str, batch: int = 200, **options) -> DataFrame:
-    """Collects all segments into Parquet at `path`, `batch` entities a job, and resumes a run that broke off: a job's rows and the list of its segments are written before the next one begins, and listed segments are not asked for again. Settings that differ from those of the first run are an error."""
+def collect_ads(spark: SparkSession, path: str, entities: list[tuple[str, str, str]], start: str, end: str, batch: int = 200, planned: bool = False, **options) -> DataFrame:
+    """Collects all segments into Parquet at `path`, `batch` entities a job, and resumes a run that broke off: a job's rows and the list of its segments are written before the next one begins, and listed segments are not asked for again. planned: ranges are probed, and split, before they are read (plan_ranges). Settings that differ from those of the first run are an error."""
     settings = refuse_changed(_saved(spark, f"{path}/settings"), {"start": start, "end": end, "days": str(options.get("days", 90))})
     spark.createDataFrame([(settings,)], "settings string").write.mode("overwrite").json(f"{path}/settings")
     ledger = "page string, first string, last string, job string"
     done = {(r["page"], r["first"], r["last"]) for r in _table(spark, f"{path}/done", ledger).collect()}  # as many as segments were asked for
     for k in range(0, len(entities), batch):
         part = entities[k : k + batch]
-        left = PagedReader({"entities": json.dumps(part), "start": start, "end": end, "days": options.get("days", 90), "done": json.dumps(sorted(done))}).partitions()
+        days = int(options.get("days", 90))
+        every = plan_ranges(spark, part, start, end, days, **{k: v for k, v in options.items() if k in ("dir", "url", "token_env", "rate")}) if planned else day_ranges(part, start, end, days)
+        left = [r for r in every if (r.page_id, r.start, r.end) not in done]
         if not left:
             continue
-        rows = read_ads(spark, part, start, end, done=json.dumps(sorted(x for x in done if x[0] in {p[2] for p in part})), **options)
+        rows = read_ads(spark, part, start, end, ranges=json.dumps(left), **options)
         job = refuse_changed(None, {"segments": [(p.page_id, p.start, p.end) for p in left]})
         rows.write.mode("overwrite").parquet(f"{path}/rows/job={job}")  # a job that broke off is written anew
         spark.createDataFrame([(p.page_id, p.start, p.end, job) for p in left], ledger).write.mode("append").parquet(f"{path}/done")

@@ -40,6 +40,41 @@ class TooMuchData(RuntimeError):
     """The smallest page size is still too large: the range must be split."""
 
 
+class Pace:
+    """Keeps requests of one task at least `interval` seconds apart, also the first from whatever an attempt before this one sent."""
+
+    def __init__(self, interval: float, clock=time.monotonic, sleep=time.sleep):
+        self.interval, self.clock, self.sleep = interval, clock, sleep
+        self.due = clock() + interval
+
+    def wait(self) -> None:
+        now = self.clock()
+        if now < self.due:
+            self.sleep(self.due - now)
+        self.due = max(now, self.due) + self.interval
+
+
+def paced(send: Callable[[dict], Reply], interval: float) -> Callable[[dict], Reply]:
+    """Every request that is sent, repeated ones too, waits for its turn."""
+    if not interval:
+        return send
+    pace = Pace(interval)
+
+    def wait_and_send(params: dict) -> Reply:
+        pace.wait()
+        return send(params)
+
+    return wait_and_send
+
+
+def lanes(jobs: list, rate: float | None, most: int) -> list[tuple[list, float]]:
+    """Deals jobs out to tasks so that a server's limit of `rate` requests a second holds over all of them, wherever they run: each of at most `most` lanes is one task and has an equal share of the rate, so no task needs to know of another. Without a rate each job is a task of its own. Returns (jobs, seconds between requests) of each lane. Over any T seconds at most rate * T requests are sent and one more a lane."""
+    if rate is None:
+        return [([j], 0.0) for j in jobs]
+    n = max(1, min(most, len(jobs)))
+    return [(jobs[k::n], n / rate) for k in range(n) if jobs[k::n]]
+
+
 def rate_limited(r: Reply, c: Control) -> bool:
     error = r.body.get("error") or {}
     return r.status == 429 or error.get("code") in c.rate_codes or bool(error.get("is_transient") and r.status < 500)
@@ -84,6 +119,12 @@ def fetch(send: Callable[[dict], Reply], params: dict, c: Control, sleep=time.sl
         sleep(rate_wait(waited, reply.headers, c))
 
 
+def too_large(send: Callable[[dict], Reply], params: dict, start: date, end: date, c: Control, sleep=time.sleep) -> bool:
+    """Whether the server refuses even the smallest first page of a date range."""
+    reply = fetch(send, params | {"date_min": start.isoformat(), "date_max": end.isoformat(), "limit": c.page_sizes[-1]}, c, sleep)
+    return (reply.status != 200 or "error" in reply.body) and too_much(reply, c)
+
+
 def pages(send: Callable[[dict], Reply], params: dict, c: Control, sleep=time.sleep) -> list:
     """The items of all pages. When a page is too large, all begins anew with the next smaller size, as a cursor carries the size that it was made with; after the smallest, TooMuchData."""
     for size in c.page_sizes:

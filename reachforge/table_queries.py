@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as S
 from .functions import dates, jsonlist, scalars, text
 from .operators import audit, checks, lock, profile, reconcile
 from .queries import KEY, LINE_ORDER, query, t
-from .sources import pages
+from .shared import shared_folder
+from .sources import files, pages
 
 C = F.col
 
@@ -160,14 +164,18 @@ def sample_by_brand(spark, d):
     return audit.stratified_sample(t(spark, d, "documents").select("doc_id", "source"), "doc_id", ["source"], 20, 400, seed=8)
 
 
-@query("""SELECT s AS platform_scope, g AS gender, b AS age_band, lo AS age_min, hi AS age_max FROM (VALUES ('both'), ('first'), ('second')) a(s), (VALUES ('all'), ('female'), ('male')) c(g), (VALUES ('18-65+', 18, 65), ('18-24', 18, 24), ('25-34', 25, 34), ('35-44', 35, 44), ('45-54', 45, 54), ('55-64', 55, 64), ('65+', 65, 65)) e(b, lo, hi)""")
+@query("""SELECT r_name AS country, s AS platform_scope, g AS gender, b AS age_band, lo AS age_min, hi AS age_max FROM region, (VALUES ('both'), ('first'), ('second')) a(s), (VALUES ('all'), ('female'), ('male')) c(g), (VALUES ('18-65+', 18, 65), ('18-24', 18, 24), ('25-34', 25, 34), ('35-44', 35, 44), ('45-54', 45, 54), ('55-64', 55, 64), ('65+', 65, 65)) e(b, lo, hi)""")
 def audience_requests(spark, d):
+    """The requests of each region."""
     grid = pages.request_grid(spark, {"both": ["x", "y"], "first": ["x"], "second": ["y"]}, {"all": None, "female": [2], "male": [1]}, [("18-24", 18, 24), ("25-34", 25, 34), ("35-44", 35, 44), ("45-54", 45, 54), ("55-64", 55, 64), ("65+", 65, 65)])
-    return grid.select("platform_scope", "gender", "age_band", "age_min", "age_max")
+    return t(spark, d, "region").select(C("r_name").alias("country")).join(F.broadcast(grid), F.lit(True)).select("country", "platform_scope", "gender", "age_band", "age_min", "age_max")
 
 
 @query("SELECT count(*) AS written, count(*) AS counted, true AS same FROM orders")
 def written_rows(spark, d):
-    """What a table has against the count that its writer noted."""
-    rows = t(spark, d, "orders")
-    return checks.count_matches(rows, rows.agg(F.count(F.lit(1)).alias("counted")))
+    """What was written, against the count that its writer noted beforehand."""
+    path, rows = f"{shared_folder(spark)}/noted-{uuid4().hex}", t(spark, d, "orders")
+    files.write_json(rows.agg(F.count(F.lit(1)).alias("counted")), f"{path}/note")
+    files.write_partitioned(rows, f"{path}/rows", "o_orderpriority")
+    note = files.read_json(spark, f"{path}/note", T.StructType().add("counted", T.LongType()))
+    return checks.count_matches(spark.read.parquet(f"{path}/rows"), note)

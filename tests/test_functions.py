@@ -116,3 +116,21 @@ def test_half_even_midpoint(spark):
 def test_rule_terms_are_normalised_alike(s):
     folded = unicodedata.normalize("NFKC", s).casefold()
     assert set(text.python_normalise_a(s)) <= set(folded) | {" "}
+
+
+def test_dates_as_the_standard_library_reads_them(spark):
+    from datetime import datetime
+
+    def want(text):
+        try:
+            return datetime.fromisoformat(text.strip().replace("Z", "+00:00")).date()
+        except ValueError:
+            try:
+                return datetime.strptime(text.strip()[:10], "%Y-%m-%d").date()
+            except ValueError:
+                return None
+
+    raw = ["2024-W03-1", "2024-W03", "2024W031", "2024W03", " 2020-W53-7 ", "2021-W53-1", "2024-W00-1", "2024-W01-8", "2026-W01-1", "2024-W03-1T10:00Z", "2024-W03-1 10:00:00.5+01:00", "2024-W03-1 junk", "20240115", "20240115T101500", "20240115 junk", "20241315", "2024-01-15junk", "2024-01-15T25:00"]
+    raw += [f"{y}-W{w:02}-{d}" for y in (1999, 2004, 2009, 2015, 2016, 2020, 2032) for w in (1, 2, 52, 53) for d in (1, 4, 7)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x string").select("i", dates.date_only(F.col("x")).alias("d"))
+    assert {raw[r.i]: r.d for r in df.collect()} == {x: want(x) for x in raw}
