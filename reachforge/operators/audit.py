@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import settled
 from .running import with_running
 
 
@@ -40,16 +41,45 @@ def sample_order(key: Column, seed: int | str) -> Column:
     return F.sha2(F.concat_ws("|", key.cast("string"), F.lit(str(seed))), 256)
 
 
+def least_by_cell(rows: DataFrame, order: str, cell: str, per_cell: int, target: int) -> DataFrame:
+    """(order, cell): of each cell the per_cell least values of the order, and the least of all, as many as can be among the target least ones that are not of the first kind. A task hands on its own least only, so that many rows of each cell and task are shuffled at most."""
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        held = pd.DataFrame({"o": pd.Series(dtype=str), "cell": pd.Series(dtype=str)})
+        for batch in batches:
+            new = pd.DataFrame({"o": batch.column(0).to_pylist(), "cell": batch.column(1).to_pylist()})
+            every = pd.concat([held, new]).drop_duplicates().sort_values("o", kind="stable")
+            of_all = every["o"].ne(every["o"].shift()).cumsum()
+            held = every[(every.groupby("cell").cumcount() < per_cell) | (of_all <= target + per_cell * every["cell"].nunique())]
+        yield pa.RecordBatch.from_arrays([pa.array(held["o"].tolist(), pa.string()), pa.array(held["cell"].tolist(), pa.string())], [order, cell])
+
+    handed = settled(rows.select(order, cell).mapInArrow(run, f"{order} string, {cell} string").distinct())
+    cells = handed.select(cell).distinct().count()
+    first = handed.withColumn("_k", F.row_number().over(Window.partitionBy(cell).orderBy(order))).where(F.col("_k") <= per_cell).drop("_k")
+    rest = handed.join(handed.select(order).distinct().orderBy(order).limit(target + per_cell * cells), order, "left_semi")
+    return settled(first.unionByName(rest).distinct())
+
+
 def stratified_sample(df: DataFrame, key: str, cells: list[str], per_cell: int, target: int, seed: int = 0) -> DataFrame:
     """Distinct ids: the first per_cell of every cell in hash order, then the first of all the others, target rows in all. The cells' own rows come first when they alone pass the target. Of rows that repeat an id the least by all columns stands for it.
 
-    Both are top-k: a task hands on its own first per_cell of each cell, and its first target of the rest, so no cell and no total order meets in a task."""
+    One scan finds the ids that can be in the sample, by their hashes and cells alone, and a second one their rows. Where an id among them
+    has rows in other cells than that of its least row, it may have stood in the way of others; only then all ids are brought together."""
     others = [c for c in df.columns if c != key]
-    one = df.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns).withColumn("_o", sample_order(F.col(key), seed))
+    rows = df.withColumn("_o", sample_order(F.col(key), seed)).withColumn("_cell", F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+    least = lambda r: r.groupBy(key, "_o").agg(F.min(F.struct(*others)).alias("_r")).select(key, "_o", *[F.col("_r")[c].alias(c) for c in others])
+    asked = least_by_cell(rows, "_o", "_cell", per_cell, target)
+    one = settled(least(rows.join(F.broadcast(asked.select("_o").distinct()), "_o", "left_semi").drop("_cell")))  # at most twice per_cell rows of each cell, and target more
+    own = one.select("_o", F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("_own"))
+    if not asked.join(own, "_o").where("_cell != _own").isEmpty():
+        one = least(rows.drop("_cell"))
     first = one.withColumn("_k", F.row_number().over(Window.partitionBy(*cells).orderBy("_o", key))).where(F.col("_k") <= per_cell).drop("_k")
-    rest = one.join(first.select(key), key, "left_anti").orderBy("_o", key).limit(target)
+    rest = one.join(first.select("_o"), "_o", "left_anti").orderBy("_o", key).limit(target)
     both = first.withColumn("_rest", F.lit(False)).unionByName(rest.withColumn("_rest", F.lit(True)))
-    return both.orderBy("_rest", *[F.when(~F.col("_rest"), F.col(c)) for c in cells], "_o", key).limit(target).drop("_o", "_rest")
+    return both.orderBy("_rest", *[F.when(~F.col("_rest"), F.col(c)) for c in cells], "_o", key).limit(target).select(*df.columns)
 
 
 def coverage(sample: DataFrame, full: DataFrame, cells: list[str]) -> DataFrame:
