@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
 Notices of a file are its lines that speak of a licence, the headers (adjacent lines of a paragraph or comment, joined to one vector)
-that do, the words "all rights reserved", and the whole text of a licence file. Templates are one-line notices, headers and licence
+that do, the words "all rights reserved", and the whole text of a licence file, whatever it says. Lines and headers without any word of
+NOTICE are prose, and not compared. Templates are one-line notices, headers and licence
 texts. Distinct notices are compared to the templates as sparse TF-IDF vectors; a term's document frequency counts all notices of all
 files and the templates. A file's own licence is that of its most similar notice; RESERVED only if no notice gives another, and like
 any licence of its own it bars inheritance. Licence files, named so or given by the caller, speak for their directory: a file without a licence of its own takes the
@@ -25,7 +26,7 @@ from .common import cut, let, whole
 THRESHOLD = 0.6
 RESERVED = "All-Rights-Reserved"
 #: A line or header with one of these is a notice.
-NOTICE = r"(?i)\blicen[cs]e|copyright|spdx|creative commons|\bcc[ -]by\b|\bcc0\b|public domain|rights reserved|permission is hereby granted|permission to use, copy|redistribution and use"
+NOTICE = r"(?i)\blicen[cs]e|copyright|spdx|creative commons|\bcc[ -]by\b|\bcc0\b|public domain|rights reserved|permission is hereby granted|permission to use, copy|redistribution and use|\b[al]?gpl\b|\bunder the terms of\b|\bterms of use\b"
 RIGHTS = r"(?i)\ball rights reserved\b"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
@@ -46,6 +47,8 @@ TEMPLATES = [
     ("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-2.0", "May be used under the terms of the GPL, version 2"),
+    ("GPL-3.0", "May be used under the terms of the GPL, version 3"),
     ("ISC", "Licensed under the ISC License"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
@@ -94,7 +97,7 @@ def notices(text: Column, speaks: Column) -> Column:
     """The distinct notices of a text: lines, headers, reserved rights, and all of a licence file."""
     says = lambda s: s.rlike(NOTICE)
     found = F.concat(F.filter(F.split(text, "\n"), says), F.filter(headers(text), says), F.when(text.rlike(RIGHTS), F.array(F.lit("All rights reserved"))).otherwise(F.array().cast("array<string>")), F.when(speaks, F.array(text)).otherwise(F.array().cast("array<string>")))
-    return F.when(text.rlike(NOTICE), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(NOTICE) | speaks, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def tallied(words: Column) -> Column:
