@@ -30,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task takes on of a table that may be small, and the fewest tasks.
+ROWS_A_TASK, FEWEST = 50_000, 8
+
+
+def tasks_for(rows: int) -> int:
+    return max(FEWEST, rows // ROWS_A_TASK)
+
+
+def cut_few(df: DataFrame) -> DataFrame:
+    """cut, for a table that may be small: it is read back in as many tasks as its rows need, so that the shuffles after it write few files. A large table stays as it is."""
+    done = cut(df)
+    return done.coalesce(tasks_for(done.count()))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
-from .common import LAST_ID, cut
+from .common import LAST_ID, cut, cut_few, tasks_for
 from .components import components
 
 #: Buckets of the table of n-gram counts, a power of two, and the pieces in which a task hands its counts on.
@@ -451,32 +451,32 @@ class Join:
         # what of a set does not count in lists, as sim.seen has it
         rest = lambda n: F.col(n) - F.floor((2 * F.col(n) - need + 3 - F.ceil(F.lit(sim.percent) * F.col(n) / 100)) / 2)
         pairs = scanned.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        pairs = cut(self.near(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")))
-        hot = cut(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct())
+        pairs = cut_few(self.near(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")))
+        hot = cut_few(scanned.where("b IS NULL").select("sig", F.col("a").alias("sid"), F.col("na").alias("n")).distinct())
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w")))
         first = both.groupBy("u").agg(F.min("w").alias("w")).where("w < u").select(F.col("w").alias("a"), F.col("u").alias("b"))
-        done = cut(self.compared(cut(first.unionByName(self.near(self.led(hot))).distinct())))
+        done = cut_few(self.compared(cut_few(first.unionByName(self.near(self.led(hot))).distinct())))
         label = self.joined(done)
-        hot = cut(self.unsettled(hot, label))
-        self.hot_classes = cut(hot.select("sid").distinct().join(self.classes.select("sid", "bits", "some"), "sid"))
+        hot = cut_few(self.unsettled(hot, label))
+        self.hot_classes = cut_few(hot.select("sid").distinct().join(self.classes.select("sid", "bits", "some"), "sid"))
         new, rest = self.apart(pairs, label), True
         for partners in (8, None):
-            crossed = cut(self.crossed(hot, partners))
+            crossed = cut_few(self.crossed(hot, partners))
             rest = not crossed.where("a IS NULL").isEmpty()
-            new = cut(new.unionByName(self.near(crossed.where("a IS NOT NULL").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            new = cut_few(new.unionByName(self.near(crossed.where("a IS NOT NULL").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
-                found = cut(self.compared(new))
+                found = cut_few(self.compared(new))
                 label, done = self.joined(found, label), done.unionByName(found)
             if not rest:
                 break
-            hot, new = cut(self.unsettled(hot.select("sig", "sid", "n"), label)), new.limit(0)
+            hot, new = cut_few(self.unsettled(hot.select("sig", "sid", "n"), label)), new.limit(0)
         return label
 
     @staticmethod
     def joined(compared: DataFrame, label: DataFrame | None = None) -> DataFrame:
         """The components after these comparisons."""
         edges = compared.where("alike").select("a", "b")
-        return cut(components(edges if label is None else edges.unionByName(label.select(F.col("v").alias("a"), F.col("c").alias("b")))))
+        return cut_few(components(edges if label is None else edges.unionByName(label.select(F.col("v").alias("a"), F.col("c").alias("b")))))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and parity bits leave them a chance."""
@@ -486,7 +486,9 @@ class Join:
         total = F.col("na") + F.col("nb")
         most = F.least(F.col("na"), F.col("nb"), F.floor((total - differ) / 2))
         pairs = cut(pairs)
-        small = F.broadcast if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS else lambda df: df
+        number = pairs.count()
+        pairs = pairs.coalesce(tasks_for(number))
+        small = F.broadcast if number <= FEW_PAIRS else lambda df: df
         left = small(small(pairs).join(of("a"), "a")).join(of("b"), "b").where(100 * most >= percent * (total - most)).select("a", "b", "na", "nb")
 
         def run(batches):
@@ -562,17 +564,14 @@ class Join:
             yield from close()
             yield from flush(0)
 
-        # lists of the same sets need one comparison
-        mark = [F.sum(F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)")) for k in (0, 1)]
-        one = hot.groupBy("sig").agg(*[m.alias(f"m{k}") for k, m in enumerate(mark)]).groupBy("m0", "m1").agg(F.min("sig").alias("sig")).select("sig")
-        known = hot.join(one, "sig").join(self.hot_classes, "sid")
+        known = hot
         leader = known.groupBy("sig").agg(F.min(F.struct("sid", "c")).alias("of")).select("sig", F.col("of.c").alias("main"))
         known = known.join(leader, "sig").withColumn("main", F.col("c") == F.col("main"))
         blocks = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / BLOCK_SETS)).cast("int")
         count = known.groupBy("sig").agg(blocks(F.col("main")).alias("km"), blocks(~F.col("main")).alias("ko"), F.count(F.lit(1)).alias("all"))
         dealt = known.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.when(F.col("main"), F.col("km")).otherwise(F.col("ko"))).cast("int"))
         to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-        columns = ["sig", "i", "j", "block", "sid", "n", "c", "bits", "some"]
+        columns = ["sig", "i", "j", "block", "sid", "n", "c"]
         # a list of one block is one group; of others, blocks of the leader's component (from 0) against those of the rest (from -1 down), and those of the rest against each other
         one_block = F.col("all") <= BLOCK_SETS
         single = dealt.where(one_block).select("sig", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), *columns[4:])
@@ -580,7 +579,8 @@ class Join:
         main = dealt.where("main").withColumn("o", to("ko")).select("sig", F.col("block").alias("i"), (-1 - F.col("o")).alias("j"), *columns[3:])
         rest = dealt.where("NOT main").withColumn("o", to("km")).select("sig", F.col("o").alias("i"), (-1 - F.col("block")).alias("j"), (-1 - F.col("block")).alias("block"), *columns[4:])
         among = dealt.where("NOT main").withColumn("o", to("ko")).select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), *columns[3:])
-        rows = single.unionByName(main).unionByName(rest).unionByName(among).select(*columns)
+        # the bits are joined last, so that they are shuffled once
+        rows = single.unionByName(main).unionByName(rest).unionByName(among).coalesce(tasks_for(hot.count())).join(self.hot_classes, "sid").select(*columns, "bits", "some")
         return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary")
 
     def led(self, hot: DataFrame) -> DataFrame:
@@ -599,10 +599,12 @@ class Join:
         return self.labelled(self.labelled(pairs, label, "a", "ca"), label, "b", "cb").where("ca != cb").select("a", "b")
 
     def unsettled(self, hot: DataFrame, label: DataFrame) -> DataFrame:
-        """The entries of the lists with several components, with their component c."""
+        """The entries of the lists with several components, with their component c. Of lists of the same sets one is enough."""
         known = self.labelled(hot, label, "sid", "c")
-        several = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("sig")
-        return known.join(several, "sig", "left_semi").select("sig", "sid", "n", "c")
+        mark = [F.sum(F.xxhash64(F.lit(k), "sid").cast("decimal(38,0)")).alias(f"m{k}") for k in (0, 1)]
+        several = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), *mark).where("low != high")
+        one = several.groupBy("m0", "m1").agg(F.min("sig").alias("sig")).select("sig")
+        return known.join(one, "sig", "left_semi").select("sig", "sid", "n", "c")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """(a, b, alike) of distinct pairs. The sets of all b stream past the one of their a; an a with very many is in several tasks."""
