@@ -159,3 +159,30 @@ def link_test(spark, d):
     return table(spark, effects.link_test(m.fit), {k: k for k in ("term", "estimate", "se", "p")})
 
 
+
+
+SQL_NATIONS = "SELECT c_nationkey, avg(CAST(c_acctbal > 4000 AS DOUBLE)) AS y, count(*) AS w FROM customer GROUP BY c_nationkey"
+
+
+@query(f"""WITH r AS ({SQL_NATIONS}), m AS (SELECT sum(w * y) / sum(w) AS mu, CAST(sum(w) AS DOUBLE) AS t FROM r), a AS (SELECT w * (y - mu) AS u, w / t AS h, w / (1 - w / t) / (t * t) AS d, w * w / (1 - w / t) / (t * t * t) AS q, t FROM r, m),
+ s AS (SELECT sum(u * u / (1 - h)) / any_value(t * t) AS v, sum(d - q) AS trace, sum(d * d) - 2 * sum(d * q) + sum(q) * sum(q) AS squares FROM a) SELECT '(Intercept)' AS term, round(mu, 9) AS estimate, round(sqrt(v), 9) AS se, round(mu / sqrt(v), 6) AS t, round(trace * trace / squares, 6) AS df FROM m, s""")
+def weighted_cr2_of_a_mean(spark, d):
+    """A weighted mean of nations, each a cluster of one row: weights as counts, CR2 and Satterthwaite degrees of freedom."""
+    from .stats.weighted import weighted_model
+
+    rows = t(spark, d, "customer").groupBy("c_nationkey").agg(F.avg((F.col("c_acctbal") > 4000).cast("double")).alias("y"), F.count(F.lit(1)).alias("w")).withColumn("all", F.lit("x"))
+    found = weighted_model(rows, F.col("y"), "c_nationkey", Formula(("all",), {"all": ["x"]}), F.col("w"), link="identity").coefficients()
+    return spark.createDataFrame([(r["term"], round(r["estimate"], 9), round(r["se"], 9), round(r["t"], 6), round(r["df"], 6)) for r in found], "term string, estimate double, se double, t double, df double")
+
+
+SQL_SEGMENTS = "SELECT c_nationkey, c_custkey % 3 AS part, avg(CAST(c_acctbal > 4000 AS DOUBLE)) AS y, count(*) AS w FROM customer GROUP BY ALL"
+
+
+@query(f"""WITH r AS (SELECT part, y, w, c_nationkey, sum(w) OVER (PARTITION BY part) AS t FROM ({SQL_SEGMENTS})), m AS (SELECT part, sum(w * y) / sum(w) AS mu FROM r GROUP BY part) SELECT 'part=' || CAST(m.part AS VARCHAR) AS term, round(ln(m.mu / (1 - m.mu)) - ln(b.mu / (1 - b.mu)), 6) AS estimate FROM m, (SELECT mu FROM m WHERE part = 0) b WHERE m.part > 0 UNION ALL SELECT '(Intercept)', round(ln(mu / (1 - mu)), 6) FROM m WHERE part = 0""")
+def weighted_logit_estimates(spark, d):
+    """A weighted logit of shares with weights that differ within cells."""
+    from .stats.weighted import weighted_model
+
+    rows = t(spark, d, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 3).cast("string").alias("part")).agg(F.avg((F.col("c_acctbal") > 4000).cast("double")).alias("y"), F.count(F.lit(1)).alias("w"))
+    found = weighted_model(rows, F.col("y"), "c_nationkey", Formula(("part",), {"part": ["0", "1", "2"]}), F.col("w")).coefficients()
+    return spark.createDataFrame([(r["term"], round(r["estimate"], 6)) for r in found], "term string, estimate double")
