@@ -34,7 +34,7 @@ def test_private_characters_in_token_counts(spark):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    texts = ["a ", "", "ab" * 50, "▁▁ ▁"]
+    texts = ["a\ue000\ue001 b\uefff", "\ue000", "ab\ue123" * 50, "\u2581\u2581 \u2581\uf8ff"]
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert got == {k: len(lib.encode(t)) for k, t in enumerate(texts)}
 
