@@ -1,6 +1,6 @@
 """Jaccard self-join of word n-gram sets, size-aware, with its connected components.
 
-Documents with equal sets form one class; only classes are compared. Similar sets share n-grams early in one global order, and how
+Documents with equal sets, by a 128-bit hash, form one class; only classes are compared, and called by as many bytes of the hash as tell them apart. Similar sets share n-grams early in one global order, and how
 many they must share grows with the length of what is looked at: the first n - least + c of a set of n have c in common with any
 similar set's. So a pair of similar sets shares a signature:
   - small sets enumerate all their subsets of the fixed size SUBSET from those first n-grams;
@@ -59,6 +59,8 @@ LED = 5_000
 FEW_PAIRS = 50_000
 #: Sets of a block of a long list.
 BLOCK_SETS = 4000
+#: Bytes of a set's hash by which it is called from there on: the fewest that tell all classes apart.
+ID_BYTES = (8, 10, 12, 16)
 #: Bits of the filter that keeps sets nobody asked for from being shuffled, as 64-bit words.
 FILTER_WORDS = 1 << 17
 
@@ -172,10 +174,11 @@ def folded(x, words: int):
     return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)
 
 
-def set_id(grams) -> bytes | None:
+def set_id(grams, size: int = 16) -> bytes | None:
+    """The first bytes of a 128-bit hash."""
     from hashlib import blake2b
 
-    return blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+    return blake2b(grams.tobytes(), digest_size=16).digest()[:size] if len(grams) else None
 
 
 class Similarity:
@@ -262,11 +265,19 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.sim = docs.select(F.col("doc_id").cast("long"), "text"), n, Similarity(percent)
         first = cut(self._members())
-        self.members = first.where("piece IS NULL").select("doc_id", "n", "sid", "a", "b")
         whole = first.where("sid IS NOT NULL").groupBy("sid")
-        self.classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("some").alias("some"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
+        classes = cut(whole.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("some").alias("some"), F.first("wide").alias("wide"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "a", "b")).alias("first")))
+        self.id_bytes = self._short(classes)
+        short = F.substring("sid", 1, self.id_bytes)
+        self.members = first.where("piece IS NULL").select("doc_id", "n", short.alias("sid"), "a", "b")
+        self.classes = classes.withColumn("sid", short)
         self._order(first.where("piece IS NOT NULL").select("piece", "counts"))
 
+    @staticmethod
+    def _short(classes: DataFrame) -> int:
+        every = classes.count()
+        return next(b for b in ID_BYTES if b == ID_BYTES[-1] or classes.select(F.substring("sid", 1, b).alias("s")).distinct().count() == every)
+
     def _order(self, pieces: DataFrame) -> None:
         """pieces (piece, counts): parts of tables, which are summed up in two steps; PIECES sums reach the driver."""
         import numpy as np
@@ -316,7 +327,7 @@ class Join:
 
     def lists(self) -> DataFrame:
         """(sig, salt, sid, n, place): entries of inverted lists, those of equal sets in one task once."""
-        n, sim, border, table, salts = self.n, self.sim, self.border, self.table, self.salts
+        n, sim, border, table, salts, size = self.n, self.sim, self.border, self.table, self.salts, self.id_bytes
 
         def run(batches):
             import numpy as np
@@ -327,7 +338,7 @@ class Join:
                 for _, texts in texts_of(batch):
                     sigs, salt, sids, sizes, kinds = [], [], [], [], []
                     for s in grams.sets(texts):
-                        sid = set_id(s)
+                        sid = set_id(s, size)
                         if sid is None or sid in seen:
                             continue
                         if len(seen) > 500_000:
@@ -413,7 +424,7 @@ class Join:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(sid, grams) of the wanted set ids, from one more scan of the texts. A bit filter of fixed size over content hashes keeps most other texts from being cut into n-grams; joins drop the rest."""
-        n, size = self.n, 64 * FILTER_WORDS
+        n, size, short = self.n, 64 * FILTER_WORDS, self.id_bytes
         words = wanted.join(self.classes, "sid").select(F.pmod("first.a", F.lit(size)).alias("p")).select(F.expr("CAST(p DIV 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("m"))
         found = [(r[0], r[1]) for r in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect()]  # FILTER_WORDS rows at most
 
@@ -432,7 +443,7 @@ class Join:
                 for _, texts in texts_of(batch):
                     keep = []
                     for s in grams.sets(texts):
-                        sid = set_id(s)
+                        sid = set_id(s, short)
                         if sid is None or sid in seen:
                             continue
                         if len(seen) > 200_000:
