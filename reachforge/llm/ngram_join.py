@@ -55,8 +55,8 @@ SALTED = 20_000
 HELD_PAIRS, HELD_ENTRIES = 50_000, 20_000
 #: Sets compared to one leader in a task.
 LED = 5_000
-#: So few pairs are broadcast to the table of classes; of more, both are dealt by set.
-FEW_PAIRS = 50_000
+#: So few pairs, or names of sets, are broadcast to the table of classes (some 12 MB); of more, both are dealt by set.
+FEW_PAIRS = 250_000
 #: Sets of a block of a long list.
 BLOCK_SETS = 4000
 #: Bytes of a set's hash by which it is called from there on: the fewest that tell all classes apart.
@@ -469,18 +469,21 @@ class Join:
         done = cut_few(self.compared(cut_few(first.unionByName(self.near(self.led(hot))).distinct())))
         label = self.joined(done)
         hot = cut_few(self.unsettled(hot, label))
-        self.hot_classes = cut_few(hot.select("sid").distinct().join(self.classes.select("sid", "bits", "some"), "sid"))
+        asked = cut(hot.select("sid").distinct())
+        asked = F.broadcast(asked) if asked.count() <= FEW_PAIRS else asked
+        self.hot_classes = cut_few(asked.join(self.classes.select("sid", "bits", "some"), "sid"))
         new, rest = self.apart(pairs, label), True
         for partners in (8, None):
             crossed = cut_few(self.crossed(hot, partners))
-            rest = not crossed.where("a IS NULL").isEmpty()
-            new = cut_few(new.unionByName(self.near(crossed.where("a IS NOT NULL").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            left = crossed.where("a IS NULL").select("sig").distinct()
+            rest = not left.isEmpty()
+            new = cut_few(new.unionByName(self.near(crossed.where("a IS NOT NULL").select("a", "b").distinct())).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
                 found = cut_few(self.compared(new))
                 label, done = self.joined(found, label), done.unionByName(found)
             if not rest:
                 break
-            hot, new = cut_few(self.unsettled(hot.select("sig", "sid", "n"), label)), new.limit(0)
+            hot, new = cut_few(self.unsettled(hot.select("sig", "sid", "n").join(left, "sig", "left_semi"), label)), new.limit(0)
         return label
 
     @staticmethod
@@ -517,7 +520,7 @@ class Join:
         return less.unionByName(both.select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(run, "a binary, b binary"))
 
     def crossed(self, hot: DataFrame, partners: int | None) -> DataFrame:
-        """(a, b): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner and the first few in its block, or all (None). A row of nulls says that pairs were left out."""
+        """(a, b, sig): pairs of different components in long lists that parity bits leave a chance. Of each set the likeliest partner and the first few in its block, or all (None). A row without a pair names a list of which pairs were left out."""
         percent = self.sim.percent
 
         def pairs_of(rows: list):
@@ -546,7 +549,7 @@ class Join:
                     at = np.where(like, most / total, -1).argmax(1)
                     chosen[np.arange(len(own)), at] = like[np.arange(len(own)), at]
                     if (chosen != like).any():
-                        yield (None, None)
+                        yield (None, None)  # of this list
                     like = chosen
                 for a, b in zip(*(k.tolist() for k in np.nonzero(like)), strict=True):
                     yield tuple(sorted((rows[own[a]][3], rows[b][3])))
@@ -558,12 +561,12 @@ class Join:
 
             def flush(most: int):
                 if len(found) > most:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "sig"])
                     found.clear()
 
             def close():
-                for pair in pairs_of(rows) if rows else ():
-                    found.add(pair)
+                for a, b in pairs_of(rows) if rows else ():
+                    found.add((a, b, key[0] if a is None else None))
                     yield from flush(HELD_PAIRS)
 
             for batch in batches:
@@ -592,7 +595,7 @@ class Join:
         among = dealt.where("NOT main").withColumn("o", to("ko")).select("sig", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), *columns[3:])
         # the bits are joined last, so that they are shuffled once
         rows = single.unionByName(main).unionByName(rest).unionByName(among).coalesce(tasks_for(hot.count())).join(self.hot_classes, "sid").select(*columns, "bits", "some")
-        return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary")
+        return rows.repartition(self._tasks(), "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a binary, b binary, sig long")
 
     def led(self, hot: DataFrame) -> DataFrame:
         """(a, b): the leader of each long list, and the other sets of the list."""
