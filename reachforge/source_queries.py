@@ -79,8 +79,7 @@ def recorded_search(spark, d) -> DataFrame:
     ads = t(spark, d, "orders").join(t(spark, d, "customer").select(C("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
     page = F.when(C("o_orderkey") % 11 != 0, F.concat(F.lit(" "), C("o_custkey").cast("string"), F.lit(" "))).otherwise("")
     ad = F.struct(page.alias("page_id"), F.when(C("o_orderkey") % 5 == 0, C("c_mktsegment")).otherwise(C("c_name")).alias("page_name"))
-    line = F.struct(F.regexp_replace("o_orderpriority", "^.*-", "").alias("term"), C("o_orderkey").alias("at"), ad.alias("ad"))
-    ads.select(F.to_json(line).alias("value")).write.text(path)
+    search.record(ads.select(F.regexp_replace("o_orderpriority", "^.*-", "").alias("term"), C("o_orderkey").alias("at"), ad.alias("ad")), path)
     return search.search_pages(spark, TERMS, dir=path, limit=250, most=1_000_000, page_delay=0)
 
 

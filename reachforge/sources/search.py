@@ -62,19 +62,74 @@ def found(send, params: dict, limit: int, most: int, control: Control, sleep=Non
 
 
 def recorded(folder: str, term: str):
-    """Replays recorded results: the files of a folder hold a line {"term", "at", "ad"} for each ad, with its place among those of the term."""
+    """Replays recorded results: the files of a folder hold a line {"term", "at", "ad"} for each ad, with its place among those of the term.
+
+    No more than a page is held. Where the files, by name, hold the term's ads in order of their places, as `record` writes them, they are read on from page to page; else the places of the ads and of their lines are held, 24 bytes an ad."""
+    from itertools import islice
     from pathlib import Path
 
-    lines = (json.loads(line) for f in sorted(Path(folder.removeprefix("file:")).glob("[!._]*")) for line in f.read_text(encoding="utf-8").splitlines())
-    ads = [x["ad"] for x in sorted((x for x in lines if x["term"] == term), key=lambda x: x["at"])]
+    files = sorted(Path(folder.removeprefix("file:")).glob("[!._]*"))
+    under_way: dict = {}
 
     def send(params: dict) -> Reply:
         at, n = int(params.get("after") or 0), params["limit"]
-        return Reply(200, {"data": ads[at : at + n], "paging": {"next": str(at + n)} if at + n < len(ads) else {}}, {})
+        if under_way.get("at") != at:  # the first page, or one that is asked for again
+            under_way["ads"] = islice(in_order(files, term), at, None)
+            under_way["next"] = list(islice(under_way["ads"], 1))
+        page = under_way["next"] + list(islice(under_way["ads"], n))
+        under_way.update(at=at + n, next=page[n:])
+        return Reply(200, {"data": page[:n], "paging": {"next": str(at + n)} if page[n:] else {}}, {})
 
     return send
 
 
+def in_order(files: list, term: str):
+    """The term's ads by their places, of equal places by file and line."""
+    from array import array
+
+    def lines():
+        for k, f in enumerate(files):
+            with f.open("rb") as stream:
+                start = 0
+                for line in stream:
+                    x = json.loads(line)
+                    if x["term"] == term:
+                        yield x["at"], k, start, x["ad"]
+                    start += len(line)
+
+    before = float("-inf")
+    for place, *_ in lines():
+        if place < before:
+            break
+        before = place
+    else:
+        yield from (ad for *_, ad in lines())
+        return
+
+    import numpy as np
+
+    places, numbers, starts = array("q"), array("q"), array("q")
+    for place, k, start, _ in lines():
+        places.append(place)
+        numbers.append(k)
+        starts.append(start)
+    opened, stream = None, None
+    for i in np.argsort(np.array(places, np.int64), kind="stable"):
+        if numbers[i] != opened:
+            if stream:
+                stream.close()
+            opened, stream = numbers[i], files[numbers[i]].open("rb")
+        stream.seek(starts[i])
+        yield json.loads(stream.readline())["ad"]
+    stream.close()
+
+
+def record(ads: DataFrame, path: str) -> None:
+    """Writes results for `recorded`, in order. ads: term, at (place among those of the term), ad (struct)."""
+    line = F.to_json(F.struct("term", "at", "ad"))
+    ads.orderBy("term", "at").select(line.alias("value")).write.text(path)
+
+
 def search_pages(spark: SparkSession, terms: list[tuple[str, str]], **options) -> DataFrame:
     """An ad a row: search_brand, term, term_at (place of the term), page_id, page_name, seq (place among the term's ads). Ads without a page are left out."""
     spark.dataSource.register(PageSearch)
