@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,9 +11,39 @@ from pyspark.sql.types import StringType
 UNIT, RECORD = "\u001f", "␞"
 
 
-@F.pandas_udf(StringType())
-def nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+#: Bytes of the texts of an Arrow batch that are Python strings at a time.
+SLICE_BYTES = 1_000_000
+
+
+def slices(texts, most: int | None = None):
+    """The parts of an Arrow array of texts, in order, each of at most so many bytes or of one text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = before = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, before + (most or SLICE_BYTES), side="right")))
+        yield texts.slice(start, end - start)
+        start, before = end, int(ends[end - 1])
+
+
+def folded(x: str | None) -> str | None:
+    if x is None:
+        return None
+    return x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold()
+
+
+def fold_texts(texts):
+    """Of an Arrow array of texts; beside it and the result only a slice is held."""
+    import pyarrow as pa
+
+    parts = [pa.array([folded(x) for x in part.to_pylist()], texts.type) for part in slices(texts)]
+    return pa.concat_arrays(parts) if parts else texts
+
+
+def nfkc_casefold(c: Column) -> Column:
+    return F.arrow_udf(fold_texts, StringType())(c)
 
 
 def squeeze(c: Column) -> Column:
