@@ -32,10 +32,15 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import GROUP_CHARS
 from .common import LAST_ID, cut, cut_few, tasks_for
 from .components import components
 
+#: Characters of texts that are cut into n-grams at a time: some 100 bytes of arrays each.
+GROUP_CHARS = 500_000
+#: N-grams of sets that are looked up in their leader's at a time.
+COMPARED = 1_000_000
+#: Sets of a block that are compared to all of the block at a time.
+ROWS_AT_ONCE = 125
 #: Buckets of the table of n-gram counts, a power of two, and the pieces in which a task hands its counts on.
 BUCKETS = 1 << 17
 PIECES = 64
@@ -245,12 +250,15 @@ def hash_all(grams: tuple[int, ...]) -> int:
 
 
 def texts_of(batch):
-    """The rows of an Arrow batch of (doc_id, text), a few million characters at a time."""
-    ids, texts, start, size = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_CHARS or i == len(texts) - 1:
-            yield ids[start : i + 1], texts[start : i + 1]
+    """The rows of an Arrow batch of (doc_id, text), some texts at a time; only these are Python strings."""
+    import pyarrow.compute as pc
+
+    start = size = 0
+    for i, length in enumerate(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+        size += length
+        if size >= GROUP_CHARS or i == batch.num_rows - 1:
+            part = batch.slice(start, i + 1 - start)
+            yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             start, size = i + 1, 0
 
 
@@ -533,8 +541,8 @@ class Join:
             bits = np.array([r[6] for r in rows], np.int64)
             large = np.flatnonzero([r[7] is not None for r in rows])
             some = np.frombuffer(b"".join(rows[k][7] for k in large), np.int64).reshape(len(large), SOME_WORDS)
-            for start in range(0, len(rows), 500):
-                own = np.arange(start, min(start + 500, len(rows)))
+            for start in range(0, len(rows), ROWS_AT_ONCE):
+                own = np.arange(start, min(start + ROWS_AT_ONCE, len(rows)))
                 total = n[own][:, None] + n[None, :]
                 differ = differing(bits[own], bits)
                 mine = np.flatnonzero(np.isin(large, own))
@@ -641,7 +649,7 @@ class Join:
                         i += 1
                         continue
                     j = i
-                    while j < len(a) and led[j] and (a[j], salt[j]) == key:
+                    while j < len(a) and led[j] and (a[j], salt[j]) == key and (j == i or offsets[j + 1] - offsets[i] <= COMPARED):
                         j += 1
                     if i == j:
                         raise ValueError("a set without its leader")
