@@ -1,6 +1,6 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Texts are cut into words by built-in Arrow functions, a few million characters at a time, and the distinct words are numbered. New
+Texts are cut into words by built-in Arrow functions, half a million characters at a time, and the distinct words are numbered. New
 words are walked in trie order with their last-token states (last_token.WordBpe), so shared prefixes are computed once; a bounded
 table of each Python worker, which lasts from task to task, keeps their ids. Texts are decoded from their ids alone. Special strings
 in a text, as the vocabulary lists them, become their own ids, as the library does by default. Nothing is shuffled.
@@ -20,12 +20,13 @@ from hashlib import sha256
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from .common import parts
 from .last_token import WordBpe
 
 #: Words, and characters of words, kept by a worker; beyond either the table starts anew.
-KEPT_WORDS, KEPT_CHARS = 600_000, 12_000_000
+KEPT_WORDS, KEPT_CHARS = 150_000, 3_000_000
 #: Texts are taken in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -157,17 +158,10 @@ def worker_codec(path: str) -> Codec:
     return Codec(path)
 
 
-def groups(batch, columns: tuple[str, ...] = ("doc_id", "text"), most: int = GROUP_CHARS):
-    """The rows of an Arrow batch as lists, a few million characters at a time; null texts are empty."""
-    lists = [batch.column(k).to_pylist() for k in range(len(columns))]
-    at = columns.index("text")
-    lists[at] = [t or "" for t in lists[at]]
-    start = size = 0
-    for i, text in enumerate(lists[at]):
-        size += len(text)
-        if size >= most or i == batch.num_rows - 1:
-            yield [c[start : i + 1] for c in lists]
-            start, size = i + 1, 0
+def groups(batch, most: int | None = None):
+    """The rows of an Arrow batch of (doc_id, text) as lists, some texts at a time; only these are Python strings. Null texts are empty."""
+    for part in parts(batch, 1, most or GROUP_CHARS):
+        yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -189,5 +183,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        pa.default_memory_pool().release_unused()  # the worker stays when its task ends
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if keep_ids else ""))

@@ -48,6 +48,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(batch, column: int, most: int):
+    """Slices of an Arrow batch, each ended by the text with which that column reaches so many characters."""
+    import pyarrow.compute as pc
+
+    start = size = 0
+    for i, length in enumerate(pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()):
+        size += length
+        if size >= most or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text; empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import GROUP_CHARS
-from .common import cut, remove, shared_dir
+from .common import cut, parts, remove, shared_dir
 
 SEED = 5
 COVERAGE = 0.5
@@ -231,15 +231,9 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> tuple[int, DataFram
     return n, equal.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
 
 
-def by_groups(texts: list[str], most: int = GROUP_CHARS):
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+def leaks_of(batch, column: int, items: Items, coverage: float) -> list[list[tuple[int, float]]]:
+    """Of each row of an Arrow batch: the leaked items. Some texts at a time are Python strings."""
+    return [x for part in parts(batch, column, GROUP_CHARS) for x in items.leaks([t or "" for t in part.column(column).to_pylist()], coverage)]
 
 
 def through_blocks(docs: DataFrame, benchmark: DataFrame, scan, schema, seed: int, block_chars: int) -> DataFrame:
@@ -272,8 +266,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAG
 
             kind = pa.list_(pa.struct([("item", pa.int64()), ("part", pa.float64())]))
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                new = [[{"item": i, "part": c} for i, c in x] for g in by_groups(texts) for x in items.value.leaks(g, coverage)]
+                new = [[{"item": i, "part": c} for i, c in x] for x in leaks_of(batch, 1, items.value, coverage)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a + b for a, b in zip(batch.column(2).to_pylist(), new, strict=True)], kind)], ["doc_id", "text", "found"])
 
         return run
@@ -293,8 +286,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
             import pyarrow as pa
 
             for batch in batches:
-                texts = [t or "" for t in batch.column(place).to_pylist()]
-                yield batch.filter(pa.array([not x for g in by_groups(texts) for x in items.value.leaks(g, coverage)], pa.bool_()))
+                yield batch.filter(pa.array([not x for x in leaks_of(batch, place, items.value, coverage)], pa.bool_()))
 
         return run
 

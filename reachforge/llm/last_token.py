@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import json
 
+#: Pairs of tokens whose fit a worker keeps, some 250 bytes each; beyond that the table starts anew.
+SEEN_PAIRS = 200_000
+
+
 def byte_alphabet() -> list[str]:
     """The printable character of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -26,7 +30,7 @@ class Merges:
         key = (a, b)
         found = self.seen.get(key)
         if found is None:
-            if len(self.seen) > 1_000_000:
+            if len(self.seen) >= SEEN_PAIRS:
                 self.seen.clear()
             found = self.seen[key] = self._fits(a, b)
         return found
@@ -61,9 +65,9 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.vocab = model["vocab"]
-        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        rank = {m: i for i, m in enumerate(self.merges)}
-        self.fit = Merges({a + b: (a, b) for a, b in reversed(self.merges)}, rank)
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        rank = {m: i for i, m in enumerate(merges)}
+        self.fit = Merges({a + b: (a, b) for a, b in reversed(merges)}, rank)
         self.lib = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ends = {t[i:] for t in self.vocab for i in range(len(t))}
